@@ -19,6 +19,8 @@ from trackloom.llm import text as tx
 BUCKETS = 1 << 16
 MAX_TRAINING_ROWS = 4000
 FOLDS = 5
+#: Buckets of the shapes "another word" and "the same word again".
+SHAPE_BUCKETS = (tx.mix(np.array([1, 2], dtype=np.uint64)) >> np.uint64(48)).astype(np.int32)
 
 
 def held_out(id_col: str) -> Column:
@@ -27,10 +29,12 @@ def held_out(id_col: str) -> Column:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) arrays: words, 3-grams and 4-grams of bytes of each text."""
+    """(buckets, offset of each text): words, shapes of word pairs (the same word again or another), 3-grams and 4-grams of bytes."""
     starts, ends, first = tx.word_spans(data, offsets, tx.NOT_SPACE)
-    words = tx.span_hash(tx.prefix_hash(data), starts, ends) >> np.uint64(48)
-    out = [(words.astype(np.int32), first)]
+    words = tx.span_hash(tx.prefix_hash(data), starts, ends)
+    again = np.zeros(len(words), dtype=np.int32)
+    again[1:] = words[1:] == words[:-1]
+    out = [((words >> np.uint64(48)).astype(np.int32), first), (SHAPE_BUCKETS[again], first)]
     code = data.astype(np.uint32)
     for n in (3, 4):
         gram = code[: len(code) - n + 1] if len(code) >= n else code[:0]
