@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
+from trackloom.llm.bits import bit_filter, may_contain
 from trackloom.llm.store import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-FILTER_BITS = 1 << 24  # of the bit filter of benchmark fingerprints: 2 MB at most, however many there are
 
 _HITS = "array<struct<length:int,hash:bigint,pos:int,context:array<string>>>"
 _HIT_TYPE = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32()), ("context", pa.list_(pa.string()))]))
@@ -35,7 +35,7 @@ def _prints(batches, lengths, own_length, keep, pad):
     """mapInArrow body: (id column.., text) -> (id columns.., n_words, hits).
 
     own_length: a text of fewer words than ``lengths[0]`` uses its own count (the benchmark side).
-    keep: boolean bit filter over the low bits of hashes, or None.
+    keep: broadcast bit filter of the other side's hashes, or None.
     """
     for batch in batches:
         counts, hits = [], []
@@ -59,8 +59,7 @@ def _prints(batches, lengths, own_length, keep, pad):
                 at = tx.winnow(grams, usable, length - _k(length) + 1)
                 values = grams[at]
                 if keep is not None:
-                    bit = values & np.uint64(FILTER_BITS - 1)
-                    known = (keep.value[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                    known = may_contain(keep.value, values)
                     at, values = at[known], values[known]
                 found.extend((int(p), length, int(v)) for p, v in zip(at, values.view(np.int64), strict=True))
             rows: list[list] = [[] for _ in per_text]
@@ -80,15 +79,6 @@ def _exploded(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode("hits").alias("h")).select(key, "h.*")
 
 
-def _bit_filter(spark: SparkSession, prints: DataFrame):
-    """Bit filter over all benchmark fingerprints, built on the executors; its size never exceeds FILTER_BITS."""
-    words = prints.selectExpr(f"(hash & {FILTER_BITS - 1}) >> 6 AS at", "shiftleft(1L, CAST(hash & 63 AS INT)) AS b").groupBy("at").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    got = words.toPandas()
-    table[got["at"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(table)
-
-
 def _same_window(length: Column, at: Column) -> Column:
     return F.slice("context", at + 1, length) == F.slice("item_context", at + 1, length)
 
@@ -101,7 +91,6 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, *, id_col:
     item_id, start, length): words start .. start+length-1 of the document equal
     a window of the item.
     """
-    spark = documents.sparkSession
     schema = f"item_id {benchmark.schema[item_col].dataType.simpleString()}, n_words bigint, hits {_HITS}"
     items = stored(
         benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).mapInArrow(lambda it: _prints(it, [window], True, None, ">"), schema),
@@ -109,7 +98,7 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, *, id_col:
     )
     prints = _exploded(items, "item_id").withColumnRenamed("context", "item_context").drop("pos")
     lengths = sorted((r.length for r in prints.select("length").distinct().collect()), reverse=True)  # window at most
-    keep = _bit_filter(spark, prints)
+    keep = bit_filter(prints, "hash")
     id_type = documents.schema[id_col].dataType.simpleString()
     scanned = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(lambda it: _prints(it, lengths, False, keep, "<"), f"id {id_type}, n_words bigint, hits {_HITS}")
     scanned = stored(scanned.withColumn("row_key", F.monotonically_increasing_id()), "doc-prints")

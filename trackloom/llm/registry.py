@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from trackloom.llm import decontam, mixing, quality, sharding
+from trackloom.llm import decontam, jaccard, mixing, quality, sharding
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_jump_sharding": sharding.op5_jump_sharding,
 }
 SQL = {"op1_winnowing": decontam.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
