@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, mixing, quality, sharding
+from trackloom.llm import ann, decontam, jaccard, mixing, quality, sharding, suffixes
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -11,5 +11,6 @@ QUERIES = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op9_additive_ann": ann.op9_additive_ann,
+    "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
 SQL = {"op1_winnowing": decontam.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
