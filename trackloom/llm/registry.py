@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, mixing, quality, sharding, suffixes
+from trackloom.llm import ann, decontam, jaccard, mixing, quality, sharding, suffixes, urls, warc
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_jump_sharding": sharding.op5_jump_sharding,
+    "op6_warc": warc.op6_warc,
+    "op8_url_rules": urls.op8_url_rules,
     "op9_additive_ann": ann.op9_additive_ann,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op1_winnowing": decontam.OP1_SQL, "op3_mixing": mixing.OP3_SQL}
+SQL = {"op1_winnowing": decontam.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_url_rules": urls.OP8_SQL}
