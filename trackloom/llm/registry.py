@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, mixing, quality, sharding, suffixes, urls, warc
+from trackloom.llm import ann, decontam, jaccard, lines, mixing, quality, sharding, suffixes, urls, warc
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_jump_sharding": sharding.op5_jump_sharding,
     "op6_warc": warc.op6_warc,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_url_rules": urls.op8_url_rules,
     "op9_additive_ann": ann.op9_additive_ann,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
