@@ -14,7 +14,10 @@ two documents share. Only entries that may reach the threshold are computed:
 * For the pairs that are left the remaining columns are multiplied, over whole
   texts, which gives the exact overlap.
 
-The order of n-grams comes from counts per task; it decides the cost only.
+The order goes by document frequency, counted over all documents and kept in bit
+filters of fixed size, one for each level. Every filter is a function of the
+n-gram alone, so a wrong bit changes the order for all documents alike: filters
+decide the cost, never the result.
 """
 
 from __future__ import annotations
@@ -25,14 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
-from trackloom.llm.bits import bit_filter, may_contain, passes
+from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, passes
 from trackloom.llm.graph import components
 from trackloom.llm.store import stored
 
-COUNTED_GRAMS = 1 << 22  # n-grams that a task counts at a time
-COMMON = 64  # documents from which on an n-gram counts as common, and a column as wide
-COMMON_LIMIT = 1 << 20  # common n-grams whose counts are broadcast, the most frequent ones: 9 MB at most
-BLOCK_ROWS = 256  # rows of a block of the product over wide columns
+LEVELS = (2, 4, 16, 64, 512)  # document frequencies that the order tells apart
+WIDE = 64  # rows from which on a column is multiplied in blocks
+BLOCK_ROWS = 256  # rows of a block
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,36 +60,15 @@ def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     return hash_, np.searchsorted(owner_, np.arange(len(count) + 1))
 
 
-def _frequent(batches, width):
-    """mapInArrow body: n-grams that occur in several documents among those that a task sees together, with counts."""
-
-    def counted(parts):
-        hash_, count = np.unique(np.concatenate(parts), return_counts=True)
-        many = count > 1
-        return pa.RecordBatch.from_arrays([pa.array(hash_[many].view(np.int64)), pa.array(count[many])], names=["hash", "count"])
-
-    parts, size = [], 0
-    for batch in batches:
-        for _, data, offsets in tx.text_chunks(batch.column(0)):
-            hash_, _ = gram_sets(data, offsets, width)
-            parts.append(hash_)
-            size += len(hash_)
-            if size >= COUNTED_GRAMS:
-                yield counted(parts)
-                parts, size = [], 0
-    if parts:
-        yield counted(parts)
-
-
 def _tail(n, percent: int):
     """n-grams after the head: ceil(percent n / 100) - 1."""
     return -(-percent * n // 100) - 1
 
 
-def _heads(batches, width, percent, common):
-    """mapInArrow body: (id, text key, text) -> id, text key, n, digest of the set, head in the common order."""
+def _heads(batches, width, percent, levels):
+    """mapInArrow body: (id, text key, text) -> id, text key, n, digest of the set, and of its head the n-grams that may be elsewhere too, with their places."""
     for batch in batches:
-        n_all, low, high, heads = [], [], [], []
+        n_all, low, high, grams, places = [], [], [], [], []
         for _, data, offsets in tx.text_chunks(batch.column(2)):
             hash_, first = gram_sets(data, offsets, width)
             n = np.diff(first)
@@ -96,31 +77,17 @@ def _heads(batches, width, percent, common):
             low.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
             high.append((more[first[1:]] - more[first[:-1]]).view(np.int64))
             n_all.append(n)
-            known, level = common.value
-            rank = np.repeat(np.arange(len(n)), n) * 64
-            if len(known) and len(hash_):
-                at = np.minimum(np.searchsorted(known, hash_), len(known) - 1)
-                rank += np.where(known[at] == hash_, level[at], 0)
-            ordered = hash_[np.argsort(rank, kind="stable")].view(np.int64)
-            head = np.where(n > 0, n - _tail(n, percent), 0)
-            inside = np.arange(len(ordered)) - np.repeat(first[:-1], n) < np.repeat(head, n)
-            heads.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(head)]).astype(np.int32)), pa.array(ordered[inside])))
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        head_list = pa.concat_arrays(heads) if heads else pa.array([], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(join(n_all)), pa.array(join(low)), pa.array(join(high)), head_list], names=["id", "text_key", "n", "low", "high", "head"])
-
-
-def _shared_heads(batches, shared):
-    """mapInArrow body: (row, n, head) -> row, n, the n-grams of the head that may be elsewhere too, and their positions."""
-    for batch in batches:
-        head = batch.column(2)
-        values, offsets = head.flatten().to_numpy().view(np.uint64), head.offsets.to_numpy() - head.offsets[0].as_py()
-        keep = may_contain(shared.value, values)
-        at = np.arange(len(values)) - np.repeat(offsets[:-1], np.diff(offsets))
-        bounds = pa.array(np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32))
-        rows = [batch.column(0), batch.column(1), pa.ListArray.from_arrays(bounds, pa.array(values[keep].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(at[keep].astype(np.int32)))]
-        out = pa.RecordBatch.from_arrays(rows, names=["row", "n", "grams", "places"])
-        yield out.filter(pa.array(np.diff(bounds.to_numpy()) > 0))
+            level = frequency_level(levels.value, hash_)
+            order = np.argsort(np.repeat(np.arange(len(n)), n) * 8 + level, kind="stable")
+            place = np.arange(len(hash_)) - np.repeat(first[:-1], n)
+            keep = (place < np.repeat(np.where(n > 0, n - _tail(n, percent), 0), n)) & (level[order] > 0)
+            bounds = pa.array(np.concatenate([[0], np.cumsum(keep)])[first].astype(np.int32))
+            grams.append(pa.ListArray.from_arrays(bounds, pa.array(hash_[order][keep].view(np.int64))))
+            places.append(pa.ListArray.from_arrays(bounds, pa.array(place[keep].astype(np.int32))))
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+        lists = lambda x, kind: pa.concat_arrays(x) if x else pa.array([], pa.list_(kind))
+        rows = [batch.column(0), batch.column(1), join(n_all), join(low), join(high), lists(grams, pa.int64()), lists(places, pa.int32())]
+        yield pa.RecordBatch.from_arrays(rows, names=["id", "text_key", "n", "low", "high", "grams", "places"])
 
 
 def _sets(column, width) -> list[np.ndarray]:
@@ -184,17 +151,12 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     the component has no other). Repeated rows and ties link as equal sets.
     Columns other than the named ones are ignored.
     """
-    spark = documents.sparkSession
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    counts = source.select("body").mapInArrow(lambda it: _frequent(it, width), "hash bigint, count bigint")
-    counts = counts.groupBy("hash").agg(F.sum("count").alias("count")).filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(COMMON_LIMIT).toPandas()
-    known = counts["hash"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    common = spark.sparkContext.broadcast((known[order], np.log2(counts["count"].to_numpy(np.float64)).astype(np.int64)[order] if len(known) else np.zeros(0, np.int64)))
+    levels = frequency_filters(source.select("body"), lambda data, offsets: gram_sets(data, offsets, width)[0], LEVELS)
 
     keyed = source.select("id", F.xxhash64("body").alias("text_key"), "body")
     id_type = keyed.schema["id"].dataType.simpleString()
-    heads = keyed.mapInArrow(lambda it: _heads(it, width, percent, common), f"id {id_type}, text_key bigint, n bigint, low bigint, high bigint, head array<bigint>")
+    heads = keyed.mapInArrow(lambda it: _heads(it, width, percent, levels), f"id {id_type}, text_key bigint, n bigint, low bigint, high bigint, grams array<bigint>, places array<int>")
     heads = stored(heads.withColumn("row", F.monotonically_increasing_id()), "heads")
 
     # rows of the matrix: one per distinct set
@@ -205,16 +167,13 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     copies = member.filter("row != rep").select("row")
 
     # columns of the head with at least two rows
-    twice = heads.select(F.explode("head").alias("hash")).groupBy("hash").count().filter("count > 1")
-    shared = bit_filter(twice, "hash")
-    slim = heads.select("row", "n", "head").mapInArrow(lambda it: _shared_heads(it, shared), "row bigint, n bigint, grams array<bigint>, places array<int>")
-    slim = stored(slim.join(copies, "row", "left_anti"), "slim-heads")
+    slim = heads.filter(F.size("grams") > 0).select("row", "n", "grams", "places").join(copies, "row", "left_anti")
     entries = slim.select("row", "n", F.explode(F.arrays_zip("grams", "places")).alias("e")).select("row", "n", F.col("e.grams").alias("hash"), F.col("e.places").alias("place"))
     rows_of = entries.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     entries = stored(entries.join(rows_of, "hash"), "entries")
 
     # product over narrow columns: overlaps of pairs within the head
-    narrow = entries.filter(F.col("rows") < COMMON)
+    narrow = entries.filter(F.col("rows") < WIDE)
     a, b = (narrow.select("hash", *[F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "place")]) for s in "ab")
     bound = "100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b) AND (100 + {p}) * (least(n_a - place_a, n_b - place_b) + least(place_a, place_b)) >= {p} * (n_a + n_b)".format(p=percent)
     pairs = a.join(b, "hash").filter(f"row_a < row_b AND {bound}")
@@ -224,7 +183,7 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     pairs = stored(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), "pairs")
 
     # wide columns: every row that has one visits the blocks of the rows that it meets there
-    wide = entries.filter(F.col("rows") >= COMMON).select("hash", "row")
+    wide = entries.filter(F.col("rows") >= WIDE).select("hash", "row")
     heart = wide.groupBy("hash").agg(F.min(F.struct(F.xxhash64("row").alias("k"), "row")).alias("heart"))
     block_of = wide.join(heart, "hash").groupBy("row").agg(F.min("heart").alias("heart")).select("row", F.col("heart.row").alias("block"))
     met = wide.join(block_of, "row").select("hash", "block").distinct()
