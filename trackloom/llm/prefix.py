@@ -17,8 +17,8 @@ def hash_key(column: str) -> Column:
     return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str]) -> DataFrame:
-    """Adds ``before``: the sum of ``value`` over the rows of the group that come earlier in order of (key, *ties).
+def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str], out: str = "before") -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of the group that come earlier in order of (key, *ties).
 
     ``key`` is hexadecimal text, evenly spread. A group of n rows is range-split
     into about sqrt(n) buckets of about sqrt(n) rows; bucket sums are added up
@@ -31,5 +31,5 @@ def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(group, "_bucket").agg(F.sum(value).alias("_sum")).select(group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(group, "_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(starts, [group, "_bucket"]).withColumn("before", F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return out.drop("_bucket", "_start")
+    summed = rows.join(starts, [group, "_bucket"]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.drop("_bucket", "_start")

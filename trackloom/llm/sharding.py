@@ -53,6 +53,14 @@ def shard_documents(documents: DataFrame, shards: int, *, id_col: str = "doc_id"
     return placed.select(F.col("id").alias(id_col), "text_key", "size", "text_crc32", "shard", F.col("before").alias("slot"), "grown_shard")
 
 
+def with_shards(documents: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, and ``shard`` and ``slot`` as in ``shard_documents``; pass a stored table."""
+    keyed = documents.withColumns({"_hkey": hash_key(id_col), "_text_key": F.md5(F.coalesce(F.col(text_col), F.lit(""))), "_one": F.lit(1).cast("bigint")})
+    keyed = keyed.withColumn("shard", shard_of(F.col("_hkey"), shards))
+    placed = with_running_sum(keyed, "shard", "_hkey", "_one", [id_col, F.octet_length(text_col), "_text_key"], out="slot")
+    return placed.drop("_hkey", "_text_key", "_one")
+
+
 def write_shards(documents: DataFrame, path: str, shards: int, *, id_col: str = "doc_id") -> None:
     """Write the rows into folders ``shard=0`` .. of Parquet files, several writers to a shard."""
     keyed = documents.withColumn("shard", shard_of(hash_key(id_col), shards))
