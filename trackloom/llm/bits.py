@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import text as tx
 
 FILTER_BITS = 1 << 24  # 2 MB
+PACKED_HASHES = 1 << 20  # hashes that a task packs at a time
 FREQUENCY_LOG2 = 25  # 2**25 bits for each level: 4 MB
 
 
@@ -44,27 +45,38 @@ def passes(shared: Broadcast, column: Column) -> Column:
 
 def _buckets(batches, hashes, log2):
     """mapInArrow body: text -> for each range of hashes the next 32 bits of the hashes in it, packed."""
-    for batch in batches:
-        found = [hashes(data, offsets) for _, data, offsets in tx.text_chunks(batch.column(0))]
-        hash_ = np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+    def packed(found):
+        hash_ = np.concatenate(found)
         bucket = (hash_ >> np.uint64(64 - log2)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         rest = (hash_[order] >> np.uint64(32 - log2)).astype(np.uint32)
         present, first = np.unique(bucket[order], return_index=True)
         cut = np.append(first, len(rest))
-        packed = [rest[cut[i] : cut[i + 1]].tobytes() for i in range(len(present))]
-        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "hashes"])
+        rows = [rest[cut[i] : cut[i + 1]].tobytes() for i in range(len(present))]
+        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "hashes"])
+
+    found, size = [], 0
+    for batch in batches:
+        for _, data, offsets in tx.text_chunks(batch.column(0)):
+            found.append(hashes(data, offsets))
+            size += len(found[-1])
+            if size >= PACKED_HASHES:
+                yield packed(found)
+                found, size = [], 0
+    if found:
+        yield packed(found)
 
 
-def _slices(levels, log2):
+def _slices(levels, log2, size):
     """applyInArrow body: the hashes of a range -> its slice of each level's filter."""
 
     def run(table: pa.Table) -> pa.Table:
         hash_, count = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["hashes"]]), return_counts=True)
-        at = hash_ >> np.uint32(32 - (FREQUENCY_LOG2 - log2))
+        at = hash_ >> np.uint32(32 - (size - log2))
         out = []
         for level in levels:
-            bits = np.zeros(1 << (FREQUENCY_LOG2 - log2), dtype=bool)
+            bits = np.zeros(1 << (size - log2), dtype=bool)
             bits[at[count >= level]] = True
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(levels), pa.int32()), "level": pa.array(range(len(levels)), pa.int32()), "bits": pa.array(out, pa.binary())})
@@ -72,27 +84,32 @@ def _slices(levels, log2):
     return run
 
 
-def frequency_filters(texts: DataFrame, hashes, levels: tuple[int, ...]) -> Broadcast:
+def hash_ranges(spark) -> int:
+    """log2 of the number of hash ranges: about four ranges to a shuffle partition."""
+    return max(4, min(15, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
+
+
+def frequency_filters(texts: DataFrame, hashes, levels: tuple[int, ...], size: int = FREQUENCY_LOG2) -> Broadcast:
     """Broadcast filters: which hashes occur at least ``levels[i]`` times in all of ``texts`` (one string column).
 
     hashes(data, offsets) gives the well-mixed hashes of a chunk of texts. Counts
-    are exact for the leading bits that are shuffled (4 bytes a hash); there are
-    about four ranges of hashes to a shuffle partition.
+    are exact for the leading bits that are shuffled (4 bytes a hash). Each level
+    takes 2**size bits.
     """
     spark = texts.sparkSession
-    log2 = max(4, min(16, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
+    log2 = hash_ranges(spark)
     packed = texts.mapInArrow(lambda it: _buckets(it, hashes, log2), "bucket int, hashes binary")
-    got = packed.groupBy("bucket").applyInArrow(_slices(levels, log2), "bucket int, level int, bits binary").toArrow()
-    size = 1 << (FREQUENCY_LOG2 - log2 - 3)
-    table = np.zeros((len(levels), 1 << (FREQUENCY_LOG2 - 3)), dtype=np.uint8)
+    got = packed.groupBy("bucket").applyInArrow(_slices(levels, log2, size), "bucket int, level int, bits binary").toArrow()
+    width = 1 << (size - log2 - 3)
+    table = np.zeros((len(levels), 1 << (size - 3)), dtype=np.uint8)
     for bucket, level, bits in zip(*(got[c].to_pylist() for c in ("bucket", "level", "bits")), strict=True):
-        table[level, bucket * size : (bucket + 1) * size] = np.frombuffer(bits, np.uint8)
+        table[level, bucket * width : (bucket + 1) * width] = np.frombuffer(bits, np.uint8)
     return spark.sparkContext.broadcast(table)
 
 
 def frequency_level(table: np.ndarray, hash_: np.ndarray) -> np.ndarray:
     """How many of the levels each hash may reach."""
-    at = (hash_ >> np.uint64(64 - FREQUENCY_LOG2)).astype(np.int64)
+    at = (hash_ >> np.uint64(64 - (table.shape[1].bit_length() + 2))).astype(np.int64)
     level = np.zeros(len(hash_), dtype=np.int64)
     for row in table:
         level += (row[at >> 3] >> (at & 7).astype(np.uint8)) & 1

@@ -35,6 +35,7 @@ from trackloom.llm.store import stored
 LEVELS = (2, 4, 16, 64, 512)  # document frequencies that the order tells apart
 WIDE = 64  # rows from which on a column is multiplied in blocks
 BLOCK_ROWS = 256  # rows of a block
+PAIRS = 256  # pairs whose sets a task holds at a time
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +105,7 @@ def _linked(overlap, n_a, n_b, percent):
 
 def _verified(batches, width, percent):
     """mapInArrow body: (a, b, text of a, text of b) -> the pairs that link, with their overlap."""
-    for batch in batches:
+    for batch in (b.slice(lo, PAIRS) for b in batches for lo in range(0, b.num_rows, PAIRS)):
         a, b = _sets(batch.column(2), width), _sets(batch.column(3), width)
         overlap = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype=np.int64)
         n_a, n_b = (np.array([len(x) for x in s], dtype=np.int64) for s in (a, b))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import text as tx
 
 BUCKETS = 1 << 16
-MAX_TRAINING_ROWS = 4000
+MAX_TRAINING_ROWS = 3000
 FOLDS = 5
 #: Buckets of the shapes "another word" and "the same word again".
 SHAPE_BUCKETS = (tx.mix(np.array([1, 2], dtype=np.uint64)) >> np.uint64(48)).astype(np.int32)
@@ -73,7 +73,7 @@ def train(labels: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], *, dim
     steps, step = max(epochs * len(texts), 1), 0
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
-            index, share = texts[i]
+            index, share = texts[i][0].astype(np.intp), texts[i][1]
             now = rate * (1 - step / steps)
             step += 1
             rows = vectors[index]
@@ -106,7 +106,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     rows = documents.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("body")).join(sample, "label_id").select("label", "body")
     got = rows.mapInArrow(_sparse, "label int, buckets binary, shares binary").toPandas()
     got = got.sort_values(["label", "buckets"], kind="stable")  # the same order whatever task came first
-    texts = [(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(s, np.float32)) for b, s in zip(got["buckets"], got["shares"], strict=True)]
+    texts = [(np.frombuffer(b, np.uint16), np.frombuffer(s, np.float32)) for b, s in zip(got["buckets"], got["shares"], strict=True)]
     return train(got["label"].to_numpy(np.int64), texts, **options)
 
 
