@@ -1 +1 @@
-"""Track analytics on Spark."""
+"""Column expressions shared by the operators."""

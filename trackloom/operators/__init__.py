@@ -1 +1 @@
-"""Track analytics on Spark."""
+"""Operators: functions from DataFrames to DataFrames."""

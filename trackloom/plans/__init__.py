@@ -1 +1 @@
-"""Track analytics on Spark."""
+"""Operators put together into whole analyses."""

@@ -1 +1 @@
-"""Track analytics on Spark."""
+"""Readers and writers of measurement files, metadata, tables and models."""

@@ -1 +1 @@
-"""Track analytics on Spark."""
+"""Row-local and windowed steps on unbounded input."""
