@@ -45,7 +45,7 @@ def read_statistics(spark: SparkSession, paths: str | list[str], *, preamble: in
     found by its ``TrackID`` or ``Time Index`` field, and lines before it are the
     preamble. Each file is small; its lines are grouped by file.
     """
-    files = spark.read.option("wholetext", True).text(paths).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
     files = files.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
     lines = F.filter(F.split("value", r"\r?\n"), lambda _, i: i >= preamble)
     rows = files.select("path", lines.alias("lines")).filter(F.size("lines") > 0)
