@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.store import new_path, stored
+from trackloom.llm.bits import bit_filter, passes
+from trackloom.llm.store import new_path, small_batches, stored
 
 DATE = "1970-01-01T00:00:00Z"  # of records whose table has no date
 _BINS = 4096
@@ -146,12 +147,17 @@ def write_warc(pages: DataFrame, root: str, *, shards: int, id_col: str = "page_
     id are revisits of the same page only if an id is smaller. Other columns are
     ignored.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col(html_col), F.lit(""))
     payloads = pages.select(F.col(id_col).cast("bigint").alias("page"), F.sha1(F.encode(body, "UTF-8")).alias("sha1"), F.octet_length(body).alias("size"))
     first = payloads.filter(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
+    first = stored(first, "repeated-payloads")
     bounds = range_bounds(pages.select(F.col(id_col).cast("bigint").alias("id")), shards)
     full = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), F.encode(body, "UTF-8").alias("payload"), F.sha1(F.encode(body, "UTF-8")).alias("sha1"))
-    joined = full.join(first, "sha1", "left")
+    # only pages whose payload may occur twice are joined; the others go to their shards at once
+    twice = passes(bit_filter(first.withColumn("k", F.xxhash64("sha1")), "k"), F.xxhash64("sha1"))
+    marked = full.withColumn("twice", twice)
+    joined = marked.filter("twice").join(first, "sha1", "left").unionByName(marked.filter("NOT twice").withColumn("first", F.lit(None).cast("bigint")))
     refers = F.when((F.col("first") < F.col("page")) & (F.octet_length("payload") >= min_revisit_bytes), F.col("first"))
     digest = _base32(F.unhex("sha1"))
     records = joined.select(shard_by_range(F.col("page"), bounds).alias("shard"), F.col("page").alias("id"), F.coalesce(F.col("page").cast("string"), F.lit("null")).alias("page"), "url", "payload", digest.alias("digest"), refers.cast("string").alias("refers"))
