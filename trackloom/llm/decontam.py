@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, may_contain
-from trackloom.llm.store import stored
+from trackloom.llm.store import small_batches, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -91,6 +91,7 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, *, id_col:
     item_id, start, length): words start .. start+length-1 of the document equal
     a window of the item.
     """
+    small_batches(documents.sparkSession)
     schema = f"item_id {benchmark.schema[item_col].dataType.simpleString()}, n_words bigint, hits {_HITS}"
     items = stored(
         benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).mapInArrow(lambda it: _prints(it, [window], True, None, ">"), schema),

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, passes
 from trackloom.llm.graph import components
-from trackloom.llm.store import stored
+from trackloom.llm.store import small_batches, stored
 
 LEVELS = (2, 4, 16, 64, 512)  # document frequencies that the order tells apart
 WIDE = 64  # rows from which on a column is multiplied in blocks
@@ -152,6 +152,7 @@ def jaccard_components(documents: DataFrame, *, id_col: str = "doc_id", text_col
     the component has no other). Repeated rows and ties link as equal sets.
     Columns other than the named ones are ignored.
     """
+    small_batches(documents.sparkSession)
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     levels = frequency_filters(source.select("body"), lambda data, offsets: gram_sets(data, offsets, width)[0], LEVELS)
 

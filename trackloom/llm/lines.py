@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, passes
-from trackloom.llm.store import stored
+from trackloom.llm.store import small_batches, stored
 
 MIN_WORDS = 20
 
@@ -151,6 +151,7 @@ def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     """
     keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"), F.col(text_col).alias("body"))
     id_type = keyed.schema["id"].dataType.simpleString()
+    small_batches(documents.sparkSession)
     lines = keyed.mapInArrow(lambda it: _lines(it, min_words), f"id {id_type}, text_key bigint, text_sha256 string, lines array<bigint>, words array<int>, keys array<bigint>")
     lines = stored(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
     keys = lines.select("row", "id", F.explode("keys").alias("key"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
+from trackloom.llm.store import small_batches
 
 BUCKETS = 1 << 16
 MAX_TRAINING_ROWS = 3000
@@ -102,6 +103,7 @@ def training_rows(labels: DataFrame, *, id_col: str, label_col: str, limit: int)
 
 def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = MAX_TRAINING_ROWS, **options) -> tuple[np.ndarray, float]:
     """Train on the documents of at most ``limit`` labelled ids; with none, every score is a half."""
+    small_batches(documents.sparkSession)
     sample = F.broadcast(training_rows(labels, id_col=id_col, label_col=label_col, limit=limit))  # limit rows at most
     rows = documents.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("body")).join(sample, "label_id").select("label", "body")
     got = rows.mapInArrow(_sparse, "label int, buckets binary, shares binary").toPandas()
@@ -112,6 +114,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def score_documents(documents: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``documents`` and ``_score``: the probability of label 1 from the whole text; null and empty texts score as the offset alone."""
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = documents.withColumn("_score", F.lit(0.0)).schema
     at = documents.columns.index(text_col)

@@ -58,7 +58,7 @@ def with_shards(documents: DataFrame, shards: int, *, id_col: str = "doc_id", te
     keyed = documents.withColumns({"_hkey": hash_key(id_col), "_text_key": F.md5(F.coalesce(F.col(text_col), F.lit(""))), "_one": F.lit(1).cast("bigint")})
     keyed = keyed.withColumn("shard", shard_of(F.col("_hkey"), shards))
     placed = with_running_sum(keyed, "shard", "_hkey", "_one", [id_col, F.octet_length(text_col), "_text_key"], out="slot")
-    return placed.drop("_hkey", "_text_key", "_one")
+    return placed.select(*documents.columns, "shard", "slot")
 
 
 def write_shards(documents: DataFrame, path: str, shards: int, *, id_col: str = "doc_id") -> None:
