@@ -24,17 +24,17 @@ def plain(df):
     for c in df.columns:
         if df[c].dtype.kind == "f":
             df[c] = df[c].round(5)
-    return df.astype(object).where(df.notna(), None).map(lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x)
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    return [tuple(float(x) if number(x) and x == x else x if isinstance(x, (str, bool)) else None for x in row) for row in df.astype(object).to_numpy().tolist()], list(df.columns)
 
 
 def same(spark_df, sql_df):
-    a, b = plain(spark_df), plain(sql_df)
-    assert list(a.columns) == list(b.columns)
-    key = lambda r: tuple((x is None, str(type(x)), x if x is not None else 0) for x in r)
-    x, y = sorted(map(tuple, a.to_numpy()), key=key), sorted(map(tuple, b.to_numpy()), key=key)
-    assert len(x) == len(y)
-    for r, s in zip(x, y, strict=True):
-        assert r == pytest.approx(s, nan_ok=True) if all(isinstance(v, float) for v in r) else all(v == pytest.approx(w) if isinstance(v, float) else v == w for v, w in zip(r, s, strict=True))
+    (a, names), (b, others) = plain(spark_df), plain(sql_df)
+    assert names == others
+    key = lambda r: tuple((x is None, str(type(x)), 0 if x is None else x) for x in r)
+    assert len(a) == len(b)
+    for r, s in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
+        assert all(v == pytest.approx(w) if isinstance(v, float) else v == w for v, w in zip(r, s, strict=True)), (r, s)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")

@@ -13,6 +13,7 @@ from trackloom.functions.columns import at_most_is_contact, below_is_contact, de
 from trackloom.operators import classify, composition, death, embed, features, filters, ids, joins, normalize, qc, series, similarity, smooth, spatial
 from trackloom.plans import organoid, tcell
 from trackloom.plans import surrogates as s
+from trackloom.sources.measurements import with_stats_folders
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -259,8 +260,6 @@ _META = [("E0", "folder0/E0_Statistics", 6.0), ("E1", None, 5.0), ("E2", "folder
        + RAW + " SELECT filled.*, time, number, " + _r("speed") + " FROM filled LEFT JOIN (SELECT basename, time, number, speed FROM raw) USING (basename)")
 def metadata_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata with default folders and its observations; an experiment without any stays."""
-    from trackloom.sources.measurements import with_stats_folders
-
     meta = with_stats_folders(spark.createDataFrame(_META, "basename string, tcell_stats_folder string, organoid_contact_threshold double"), "data/", "tcell_stats_folder")
     return rounded(joins.with_observations(meta, _raw(spark, sf_dir).select("basename", "time", "number", "speed"), ["basename"]))
 
@@ -279,7 +278,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _M = tcell.MEASURES
 GAPS = NEAR + f""", spans AS (SELECT track_id, min(time) AS lo, max(time) AS hi FROM cut GROUP BY 1),
 spine AS (SELECT track_id, t AS time FROM spans JOIN (SELECT DISTINCT time AS t FROM cut) ON t BETWEEN lo AND hi),
-sides AS (SELECT spine.track_id, spine.time, {', '.join(_M)}, {', '.join(f'{c}' for c in ['cut.time AS seen'])} FROM spine LEFT JOIN cut ON cut.track_id = spine.track_id AND cut.time = spine.time),
+sides AS (SELECT spine.track_id, spine.time, {', '.join(_M)}, cut.time AS seen FROM spine LEFT JOIN cut ON cut.track_id = spine.track_id AND cut.time = spine.time),
 ends AS (SELECT *, last_value(seen IGNORE NULLS) OVER b AS t0, first_value(seen IGNORE NULLS) OVER a AS t1, {', '.join(f'last_value({c} IGNORE NULLS) OVER b AS {c}0, first_value({c} IGNORE NULLS) OVER a AS {c}1' for c in _M)} FROM sides
   WINDOW b AS (PARTITION BY track_id ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY track_id ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 filled AS (SELECT track_id, time, {', '.join(f'CASE WHEN seen IS NOT NULL THEN CAST({c} AS DOUBLE) ELSE {c}0 + ({c}1 - {c}0) * (time - t0) / (t1 - t0) END AS {c}' for c in _M)} FROM ends)
