@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, lines, mixing, quality, sharding, suffixes, urls, warc
+from trackloom.llm import ann, decontam, jaccard, lines, mixing, oracles, quality, sharding, suffixes, urls, warc
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -16,4 +16,11 @@ QUERIES = {
     "op9_additive_ann": ann.op9_additive_ann,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
-SQL = {"op1_winnowing": decontam.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op8_url_rules": urls.OP8_SQL}
+SQL = {
+    "op1_winnowing": decontam.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
+    "op4_jaccard": oracles.OP4,
+    "op5_jump_sharding": oracles.OP5,
+    "op6_warc": oracles.OP6,
+    "op8_url_rules": urls.OP8_SQL,
+}
