@@ -120,6 +120,12 @@ def test_mixing(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in got)
     out = mixing.mixed_documents(documents(spark, texts, sources=sources))
     assert out.columns == documents(spark, texts).columns
+    words = {}
+    for r in out.collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+        words[r.source] = words.get(r.source, 0) + n
+    longest = max(len((t or "").split()) for t in texts)
+    assert all(abs(words.get(s, 0) - want[s]) <= 4 * longest for s in sizes)
     assert mixing.mix_sources(documents(spark, texts).limit(0)).count() == 0
 
 
