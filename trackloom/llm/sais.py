@@ -46,7 +46,7 @@ def _append(sa, ptr, symbols, entries, step):
 
 def _induce(s, smaller, sa_lms, bucket_start, bucket_end, alphabet):
     """The order of all suffixes from a sequence of LMS positions."""
-    sa = np.full(len(s), -1, dtype=np.int64)
+    sa = np.full(len(s), -1, dtype=np.int32)
     symbols = s[sa_lms]
     order = np.argsort(symbols, kind="stable")  # LMS at the ends of their buckets
     lms_sorted = sa_lms[order]

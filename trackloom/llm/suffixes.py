@@ -10,8 +10,8 @@ go to shards by anchor. A shard sorts the suffixes of its contexts by induced
 sorting and reads the groups of equal windows off the permuted common prefixes;
 the first window of each group stays, all others are removed.
 
-Copies of a whole text are folded beforehand. An anchor whose contexts would
-outgrow a shard is taken apart by the hash of each window instead.
+An anchor that occurs so often that its contexts could outgrow a shard is taken
+apart by the hash of each window instead.
 """
 
 from __future__ import annotations
@@ -19,19 +19,23 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackloom.llm import text as tx
-from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, passes
+from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, hash_ranges, passes
 from trackloom.llm.sais import common_prefixes, suffix_array
-from trackloom.llm.store import stored
+from trackloom.llm.store import small_batches, stored
 
 GRAM = 32  # bytes of an anchor
-SHARD_BYTES = 1_500_000  # of contexts in a shard
-HOT_BYTES = 4_000_000  # of contexts from which on an anchor is taken apart
+SHARD_BYTES = 400_000  # of contexts in a shard, about
+HOT = 1 << 17  # occurrences from which on an anchor is taken apart
+FILTER_LOG2 = 25  # bits of the filter of anchors: 4 MB for each of two levels
+PACKED = 1 << 16  # occurrences that a task folds and packs at a time
 _SEGMENT = 1 << 23
-_OCCURRENCES = "array<struct<anchor:bigint,context:bigint,first:int,last:int>>"
+_RUNS = "array<struct<first:int,last:int>>"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,33 +66,109 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         last.append(ends + lo)
         where.append(place[starts])
     first, last, where = (np.concatenate(x) for x in (first, last, where))
-    return hash_[where], tx.span_hash(sums, first, last + length), first, last
+    # smallest hashes crowd at the low end; mixed again they spread over filters and parts
+    return tx.mix(hash_[where]), tx.span_hash(sums, first, last + length), first, last
 
 
-def _occurrences(batches, length, repeated):
-    """mapInArrow body: (id, text key, digest, text) -> id, text key, digest, bytes, occurrences of anchors that may repeat."""
+def _ordered(table: pa.Table, before: list[str] = ()) -> pa.Table:
+    """Rows in order of the columns ``before`` and then of place: null ids last, id, row, first."""
+    keys = {k: table[k] for k in before} | {"none": pc.is_null(table["id"]), "id": table["id"], "row": table["row"], "first": table["first"]}
+    return table.take(pc.sort_indices(pa.table(keys), [(k, "ascending") for k in keys]))
+
+
+def _folded(table: pa.Table) -> pa.Table:
+    """The first occurrence of each context."""
+    table = _ordered(table.combine_chunks(), ["anchor", "context"])
+    anchor, context = table["anchor"].to_numpy(), table["context"].to_numpy()
+    fresh = np.ones(len(anchor), dtype=bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
+    return table.filter(pa.array(fresh))
+
+
+def _scan(batches, length, filters, log2, schema):
+    """mapInArrow body: (row, id, text key, digest, text) -> a row per document, and rows of packed anchor occurrences.
+
+    Occurrences are folded within the batch. part: the range of the anchor's
+    hash; from 2**log2 on the range of the context's hash, for hot anchors; from
+    2 * 2**log2 on for documents, which carry the runs of windows whose anchors
+    may repeat.
+    """
+    ranges = 1 << log2
+
+    def packed(batch, found):
+        anchor, context, first, last, owner, level = (np.concatenate(x) for x in zip(*found, strict=True))
+        at = pa.array(owner)
+        part = np.where(level > 1, ranges + (context >> np.uint64(64 - log2)).astype(np.int64), (anchor >> np.uint64(64 - log2)).astype(np.int64))
+        rows = {"anchor": pa.array(anchor.view(np.int64)), "context": pa.array(context.view(np.int64)), "row": batch.column(0).take(at), "id": batch.column(1).take(at), "first": pa.array(first.astype(np.int32)), "last": pa.array(last.astype(np.int32))}
+        table = _folded(pa.table(rows | {"part": pa.array(part.astype(np.int32))}))
+        table = table.take(pa.array(np.argsort(table["part"].to_numpy(), kind="stable"))).combine_chunks()
+        parts, begin = np.unique(table["part"].to_numpy(), return_index=True)
+        bounds = pa.array(np.append(begin, len(table)).astype(np.int32))
+        lists = {f"{c}s": pa.ListArray.from_arrays(bounds, pa.concat_arrays(table[c].chunks) if table[c].num_chunks else pa.array([], rows[c].type)) for c in rows}
+        return _filled({"part": pa.array(parts)} | lists, schema)
+
     for batch in batches:
-        sizes, rows = [], []
-        for _, data, offsets in tx.text_chunks(batch.column(3)):
-            sizes.append(np.diff(offsets))
+        found, size = [], 0
+        for at, data, offsets in tx.text_chunks(batch.column(4)):
             anchor, context, first, last = anchors(data, offsets, length)
-            keep = frequency_level(repeated.value, anchor) > 0
-            anchor, context, first, last = anchor[keep], context[keep], first[keep], last[keep]
+            level = frequency_level(filters.value, anchor)
+            keep = level > 0
+            anchor, context, first, last, level = anchor[keep], context[keep], first[keep], last[keep], level[keep]
             owner = np.searchsorted(offsets, first, side="right") - 1
-            shift = offsets[owner]
-            items = pa.StructArray.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array((first - shift).astype(np.int32)), pa.array((last - shift).astype(np.int32))], names=["anchor", "context", "first", "last"]
-            )
-            rows.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(offsets))).astype(np.int32)), items))
-        kind = pa.struct([("anchor", pa.int64()), ("context", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
-        lists = pa.concat_arrays(rows) if rows else pa.array([], pa.list_(kind))
-        size = pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], size, lists], names=["id", "text_key", "text_sha256", "n_bytes", "found"])
+            first, last = first - offsets[owner], last - offsets[owner]
+            start = np.ones(len(first), dtype=bool)
+            start[1:] = (owner[1:] != owner[:-1]) | (first[1:] != last[:-1] + 1)
+            end = np.append(start[1:], True) if len(start) else start
+            runs = pa.StructArray.from_arrays([pa.array(first[start].astype(np.int32)), pa.array(last[end].astype(np.int32))], names=["first", "last"])
+            runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[start], np.arange(len(offsets))).astype(np.int32)), runs)
+            row, id_, key, sha = (batch.column(c).slice(at, len(offsets) - 1) for c in range(4))
+            yield _filled({"part": pa.array((2 * ranges + row.to_numpy() % ranges).astype(np.int32)), "row": row, "id": id_, "text_key": key, "text_sha256": sha, "n_bytes": pa.array(np.diff(offsets)), "runs": runs}, schema)
+            if len(anchor):
+                found.append((anchor, context, first, last, owner + at, level))
+                size += len(anchor)
+            if size >= PACKED:
+                yield packed(batch, found)
+                found, size = [], 0
+        if found:
+            yield packed(batch, found)
+
+
+def _filled(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of the schema with nulls for the columns that are not given."""
+    n = len(columns["part"])
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _fold(log2, shard_bytes, length, schema):
+    """applyInArrow body: a part -> documents as they are; runs of windows that stay (no shard) and contexts to compare (with a shard; -1 if hot)."""
+    ranges = 1 << log2
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        if part >= 2 * ranges:
+            return table.select([f.name for f in schema if f.name not in ("first", "last", "shard")]).append_column("first", pa.nulls(len(table), pa.int32())).append_column("last", pa.nulls(len(table), pa.int32())).append_column("shard", pa.nulls(len(table), pa.int64())).select(schema.names)
+        flat = _folded(pa.table({c: pc.list_flatten(table[f"{c}s"]) for c in ("anchor", "context", "row", "id", "first", "last")}))
+        anchor = flat["anchor"].to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        many = np.repeat(np.diff(np.append(heads, len(anchor))) > 1, np.diff(np.append(heads, len(anchor))))
+        if part >= ranges:
+            shard = np.full(len(anchor), -1)
+            alone = np.zeros(len(anchor), dtype=bool)
+        else:
+            size = (flat["last"].to_numpy().astype(np.int64) - flat["first"].to_numpy() + length)[many].sum()
+            shards = max(1, -(-int(size) // shard_bytes))
+            shard = part * (1 << 20) + (tx.mix(anchor.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            alone = ~many  # nothing to compare with: all windows stay
+        n = len(anchor)
+        columns = {"part": pa.array(np.full(n, part, np.int32)), "row": flat["row"], "id": flat["id"], "first": flat["first"], "last": flat["last"], "shard": pa.array(shard, mask=alone)}
+        return pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    return run
 
 
 def _contexts(batches, length):
     """mapInArrow body: (row, id, text, wanted [(shard, first, last)]) -> one row for each context with its bytes."""
-    for batch in batches:
+    for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
         wanted = batch.column(3)
         items, bounds = wanted.flatten(), wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
         shard, first, last = (items.field(i) for i in range(3))
@@ -140,10 +220,7 @@ def _shard(length):
     """applyInArrow body: the contexts of a shard -> runs of windows that stay."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        none = pc.is_null(table["id"])
-        order = pc.sort_indices(pa.table({"none": none, "id": table["id"], "row": table["row"], "first": table["first"]}), [("none", "ascending"), ("id", "ascending"), ("row", "ascending"), ("first", "ascending")])
-        table = table.take(order)
+        table = _ordered(table.combine_chunks())
         row, first = table["row"].to_numpy(), table["first"].to_numpy().astype(np.int64)
         rank = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
         at, lo, hi = first_windows(table["body"].to_pylist(), (rank << 32) + first, length)
@@ -172,7 +249,7 @@ def _windows(batches, length):
 
 
 def _spans(batches, length):
-    """mapInArrow body: (row, n_bytes, found, kept) -> row, the byte ranges to remove."""
+    """mapInArrow body: (row, n_bytes, runs, kept) -> row, the byte ranges to remove."""
     for batch in batches:
         n = batch.column(1).to_numpy()
         found, kept = batch.column(2), batch.column(3)
@@ -194,69 +271,55 @@ def _spans(batches, length):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["row", "spans"])
 
 
-def _order() -> Column:
-    return F.struct(F.col("id").isNull().alias("none"), "id", "row")
-
-
-def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
     """One row per document: row, id, text_key, text_sha256, n_bytes, spans (array of byte ranges to remove, apart and in order).
 
     A document comes before another if its id is smaller; null ids come last,
     and rows with one id follow in the order in which they are read. Null, empty
-    and short texts (under ``length`` bytes) keep all. A copy of an earlier text
-    is removed whole. Columns other than the named ones are ignored.
+    and short texts (under ``length`` bytes) keep all. Of repeated rows the first
+    stays. Columns other than the named ones are ignored.
     """
-    keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"), F.col(text_col).alias("body"))
-    id_type = keyed.schema["id"].dataType.simpleString()
-    repeated = frequency_filters(keyed.select("body"), lambda data, offsets: anchors(data, offsets, length)[0], (2,))
-    found = keyed.mapInArrow(lambda it: _occurrences(it, length, repeated), f"id {id_type}, text_key bigint, text_sha256 string, n_bytes bigint, found {_OCCURRENCES}")
-    found = stored(found.withColumn("row", F.monotonically_increasing_id()), "occurrences")
-
-    # whole copies: the first of each text stays in the search
-    plain = found.select("row", "id", "text_sha256", "n_bytes").filter(F.col("n_bytes") >= length)
-    firsts = plain.groupBy("text_sha256").agg(F.min(_order()).alias("f"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    copies = stored(plain.join(firsts, "text_sha256").filter("row != f.row").select("row"), "copies")
-    search = found.filter(F.size("found") > 0).join(copies, "row", "left_anti")
-
-    # contexts, folded into their first occurrence
-    item = search.select("row", "id", F.explode("found").alias("o")).select("row", "id", "o.*")
-    contexts = item.groupBy("anchor", "context").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "first", "last")).alias("f"))
-    contexts = stored(contexts.select("anchor", "f.id", "f.row", "f.first", "f.last", (F.col("f.last") - F.col("f.first") + length).alias("size")), "contexts")
-    by_anchor = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"), F.sum("size").alias("bytes"))
-    by_anchor = by_anchor.withColumn("hot", F.col("bytes") > hot_bytes)
-    total = by_anchor.filter("contexts > 1").agg(F.sum("bytes").alias("b")).collect()[0]["b"] or 0
-    shards = max(1, -(-total // shard_bytes))
-    contexts = contexts.join(by_anchor, "anchor")
-    alone = contexts.filter("contexts = 1").select("row", "first", "last")  # nothing to compare with: all its windows stay
-    shard = F.when(F.col("hot"), F.lit(-1).cast("bigint")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    wanted = contexts.filter("contexts > 1").groupBy("row", "id").agg(F.collect_list(F.struct(shard.alias("shard"), "first", "last")).alias("wanted"))
-    wanted = stored(wanted.join(found.select("row", "text_key"), "row").select("row", F.col("id").alias("_id"), F.col("text_key").alias("_key"), "wanted"), "wanted")
+    spark = documents.sparkSession
+    small_batches(spark)
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("body"))
+    id_type = keyed.schema["id"].dataType
+    filters = frequency_filters(keyed.select("body"), lambda data, offsets: anchors(data, offsets, length)[0], (2, hot), FILTER_LOG2)
+    log2 = hash_ranges(spark)
+    kind = id_type.simpleString()
+    doc = f"part int, row bigint, id {kind}, text_key bigint, text_sha256 string, n_bytes bigint, runs {_RUNS}"
+    packed = f"anchors array<bigint>, contexts array<bigint>, rows array<bigint>, ids array<{kind}>, firsts array<int>, lasts array<int>"
+    result = f"{doc}, first int, last int, shard bigint"
+    arrow = lambda ddl: to_arrow_schema(T.StructType.fromDDL(ddl))
+    scan_schema, fold_schema = arrow(f"{doc}, {packed}"), arrow(result)
+    source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(body, 256).alias("text_sha256"), F.col(text_col).alias("body"))
+    scanned = source.mapInArrow(lambda it: _scan(it, length, filters, log2, scan_schema), f"{doc}, {packed}")
+    folded = stored(scanned.groupBy("part").applyInArrow(_fold(log2, shard_bytes, length, fold_schema), result), "folded")
+    docs = folded.filter("n_bytes IS NOT NULL").select("row", "id", "text_key", "text_sha256", "n_bytes", "runs")
+    alone = folded.filter("first IS NOT NULL AND shard IS NULL").select("row", "first", "last")
+    compared = folded.filter("shard IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("shard", "first", "last")).alias("wanted"))
+    wanted = stored(compared.join(docs.select("row", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "row"), "wanted")
     texts = keyed.filter(passes(bit_filter(wanted, "_key"), F.col("text_key")))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"]))
-    bodies = texts.select("row", "id", "body", "wanted").mapInArrow(lambda it: _contexts(it, length), f"shard bigint, row bigint, id {id_type}, first int, body binary")
-    hot = by_anchor.filter("hot").limit(1).count() > 0
-    if hot:
+    bodies = texts.select("row", "id", "body", "wanted").mapInArrow(lambda it: _contexts(it, length), f"shard bigint, row bigint, id {kind}, first int, body binary")
+    any_hot = wanted.filter(F.exists("wanted", lambda w: w["shard"] < 0)).limit(1).count() > 0
+    if any_hot:
         bodies = stored(bodies, "bodies")
     kept = bodies.filter("shard >= 0").groupBy("shard").applyInArrow(_shard(length), "row bigint, first int, last int")
-    if hot:
-        windows = bodies.filter("shard < 0").mapInArrow(lambda it: _windows(it, length), f"high bigint, low bigint, row bigint, id {id_type}, first int")
+    if any_hot:
+        windows = bodies.filter("shard < 0").mapInArrow(lambda it: _windows(it, length), f"high bigint, low bigint, row bigint, id {kind}, first int")
         windows = windows.groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "first")).alias("f"))
         kept = kept.union(windows.select("f.row", "f.first", F.col("f.first").alias("last")))
     kept = kept.union(alone).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
-
-    parts = search.select("row", "n_bytes", F.transform("found", lambda o: F.struct(o["first"].alias("first"), o["last"].alias("last"))).alias("found"))
-    parts = parts.join(kept, "row", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<struct<first:int,last:int>>")))
-    spans = parts.mapInArrow(lambda it: _spans(it, length), "row bigint, spans array<struct<start:bigint,end:bigint>>")
-    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("end")))
-    gone = copies.join(found.select("row", "n_bytes"), "row").select("row", whole.alias("spans"))
-    spans = stored(spans.union(gone).filter(F.size("spans") > 0), "spans")
-    out = found.select("row", "id", "text_key", "text_sha256", "n_bytes").join(spans, "row", "left")
+    parts = docs.filter(F.size("runs") > 0).select("row", "n_bytes", "runs").join(kept, "row", "left").withColumn("kept", F.coalesce("kept", F.array().cast(_RUNS)))
+    spans = stored(parts.mapInArrow(lambda it: _spans(it, length), "row bigint, spans array<struct<start:bigint,end:bigint>>").filter(F.size("spans") > 0), "spans")
+    out = docs.drop("runs").join(spans, "row", "left")
     return out.select("row", F.col("id").alias(id_col), "text_key", "text_sha256", "n_bytes", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
 
 
 def _cut(batches):
     """mapInArrow body: (row, text, spans) -> row, the bytes that stay."""
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         out = []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             data, end, parts = (text or "").encode("utf-8"), 0, []
