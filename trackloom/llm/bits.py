@@ -102,8 +102,10 @@ def frequency_filters(texts: DataFrame, hashes, levels: tuple[int, ...], size: i
     got = packed.groupBy("bucket").applyInArrow(_slices(levels, log2, size), "bucket int, level int, bits binary").toArrow()
     width = 1 << (size - log2 - 3)
     table = np.zeros((len(levels), 1 << (size - 3)), dtype=np.uint8)
-    for bucket, level, bits in zip(*(got[c].to_pylist() for c in ("bucket", "level", "bits")), strict=True):
-        table[level, bucket * width : (bucket + 1) * width] = np.frombuffer(bits, np.uint8)
+    for batch in got.to_batches():
+        for bucket, level, bits in zip(*(batch.column(c) for c in ("bucket", "level", "bits")), strict=True):
+            table[level.as_py(), bucket.as_py() * width : (bucket.as_py() + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+    del got
     return spark.sparkContext.broadcast(table)
 
 

@@ -91,6 +91,18 @@ def train(labels: np.ndarray, texts: list[tuple[np.ndarray, np.ndarray]], *, dim
     return (vectors @ (output[:, 1] - output[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+def _trained(options: dict):
+    """applyInArrow body: the training rows -> the model, on an executor."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("buckets", "ascending")])  # the same order whatever task came first
+        texts = [(np.frombuffer(b.as_py(), np.uint16), np.frombuffer(s.as_py(), np.float32)) for b, s in zip(table["buckets"], table["shares"], strict=True)]
+        weights, offset = train(table["label"].to_numpy().astype(np.int64), texts, **options)
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary()), "offset": [offset]})
+
+    return run
+
+
 def training_rows(labels: DataFrame, *, id_col: str, label_col: str, limit: int) -> DataFrame:
     """(label_id, label) of at most ``limit`` labelled ids that are not held out, in hash order.
 
@@ -106,10 +118,9 @@ def fit(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     small_batches(documents.sparkSession)
     sample = F.broadcast(training_rows(labels, id_col=id_col, label_col=label_col, limit=limit))  # limit rows at most
     rows = documents.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("body")).join(sample, "label_id").select("label", "body")
-    got = rows.mapInArrow(_sparse, "label int, buckets binary, shares binary").toPandas()
-    got = got.sort_values(["label", "buckets"], kind="stable")  # the same order whatever task came first
-    texts = [(np.frombuffer(b, np.uint16), np.frombuffer(s, np.float32)) for b, s in zip(got["buckets"], got["shares"], strict=True)]
-    return train(got["label"].to_numpy(np.int64), texts, **options)
+    sparse = rows.mapInArrow(_sparse, "label int, buckets binary, shares binary")
+    got = sparse.groupBy(F.lit(1).alias("all")).applyInArrow(_trained(options), "weights binary, offset double").collect()  # one task: limit rows at most
+    return (np.frombuffer(got[0]["weights"], np.float64), got[0]["offset"]) if got else (np.zeros(BUCKETS), 0.0)
 
 
 def score_documents(documents: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # texts are handled in chunks of about this size, long ones alone
+CHUNK_BYTES = 1 << 18  # texts are handled in chunks of about this size, long ones alone
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
