@@ -537,7 +537,7 @@ def dye_at_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- mining --------------------------------------------------------------------------------------
 
 
-@query()
+@query(s.CELLS + "SELECT track_id, time, CASE WHEN CAST('0x' || substr(md5(track_id || '-123'), 1, 8) AS BIGINT) % 100 < 95 THEN 'train' ELSE 'test' END AS part FROM cells")
 def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks dealt into training and test by hash."""
     train, test = classify.split_tracks(s.cells(spark, sf_dir))
