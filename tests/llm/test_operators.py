@@ -263,6 +263,24 @@ def test_line_dedup(spark):
     assert kept.filter("kept = ''").count() >= 1
 
 
+def test_line_dedup_tries_all_partners(spark):
+    rng = random.Random(13)
+    one, two, three = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqr")
+    texts = ["\n".join(x) for x in (["x", one, "y", one, "z"], ["q", one, "r"], ["s", one, "t"], ["u", two, three, "v"], ["w", three, two], ["k", three, "l", two, "m"], ["n", one, "o", one])]
+    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 8, 25]))) for _ in range(12)]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    texts += [*texts[:20], None, ""]
+    found = lines.repeated_lines(documents(spark, texts), retry=True).collect()
+    got = {r.doc_id: sorted({i for b in r.blocks for i in range(b.start, b.end)}) for r in found}
+    parts = [t.split("\n") if t else [] for t in texts]
+    for d, own in enumerate(parts):
+        count = [len(x.split()) for x in own]
+        assert got[d] == sorted({i for p in parts[:d] for lo, hi in lines.common_blocks(p, own, count, 20) for i in range(lo, hi)}), d
+    assert got[2] == [1]
+    once = {r.doc_id: r.blocks for r in lines.repeated_lines(documents(spark, texts)).collect()}
+    assert once[2] == []
+
+
 def test_patience_aligns_equal_lines_in_order():
     rng = random.Random(12)
     for _ in range(200):

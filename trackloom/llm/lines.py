@@ -7,7 +7,10 @@ key, and the keys in it reach all of its lines. Each key links the documents
 that have it with the first of them, so a key that thousands of documents share
 makes as many links and not their square. Linked documents are aligned by
 patience diff, and the blocks of at least ``min_words`` words that align are
-deleted from the later document.
+deleted from the later document. Keys that a document keeps after that, as its
+lines repeat or stand in another order in the first holder, are linked with the
+next holders, four times as many in each round, until they are deleted or all
+earlier holders are tried: the lines deleted are those of aligning all pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
@@ -24,6 +27,9 @@ from trackloom.llm.bits import bit_filter, passes
 from trackloom.llm.store import small_batches, stored
 
 MIN_WORDS = 20
+RETRY_GROWTH = 4  # how many times as many holders each round of retries takes
+
+_BLOCKS = "array<struct<start:int,end:int>>"
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,8 +42,8 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.concatenate([[0], np.cumsum(count)])
 
 
-def run_keys(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Distinct hashes of the shortest runs with ``min_words`` words from and up to each line of one text."""
+def runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the shortest runs with ``min_words`` words from and up to each line of one text."""
     total = np.concatenate([[0], np.cumsum(words)])
     n = len(lines)
     at = np.arange(n)
@@ -47,7 +53,12 @@ def run_keys(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray
     hi = np.concatenate([stop[stop <= n], at[total[1:] >= min_words] + 1])
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(lines * tx.powers(tx._BASE, n), out=sums[1:])
-    return np.unique(tx.span_hash(sums, lo, hi))
+    return lo, hi, tx.span_hash(sums, lo, hi)
+
+
+def run_keys(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Distinct hashes of the runs of one text."""
+    return np.unique(runs(lines, words, min_words)[2])
 
 
 def _lines(batches, min_words):
@@ -140,13 +151,64 @@ def _aligned(batches, min_words):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "blocks"])
 
 
-def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def _kept_keys(batches, min_words):
+    """mapInArrow body: (row, lines, words, blocks) -> row, keys of the runs of which a line is kept."""
+    for batch in batches:
+        keys = []
+        for line, words, blocks in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
+            lo, hi, key = runs(np.asarray(line.values).view(np.uint64), np.asarray(words.values), min_words)
+            gone = np.zeros(len(line) + 1, dtype=np.int64)
+            for b in blocks.as_py() or ():
+                gone[b["start"] + 1 : b["end"] + 1] = 1
+            gone = np.cumsum(gone)
+            keys.append(np.unique(key[gone[hi] - gone[lo] < hi - lo]).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["row", "keys"])
+
+
+def _align(links: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """Links (row, first) -> (row, blocks), stored; rows without blocks are left out."""
+    pairs = links.join(lines.select("row", F.col("lines").alias("later"), "words"), "row").join(lines.select(F.col("row").alias("first"), F.col("lines").alias("earlier")), "first")
+    blocks = pairs.select("row", "earlier", "later", "words").mapInArrow(lambda it: _aligned(it, min_words), f"row bigint, blocks {_BLOCKS}")
+    return stored(_merged(blocks.filter(F.size("blocks") > 0)), "blocks")
+
+
+def _merged(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+
+
+def _retried(lines: DataFrame, links: DataFrame, blocks: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
+    """Blocks of all rounds: (row, blocks). ``copies`` (rows that equal an earlier one) are no holders, as they align as their first does."""
+
+    def kept(rows: DataFrame) -> DataFrame:
+        found = rows.join(lines.select("row", "lines", "words"), "row").join(blocks, "row", "left").select("row", "lines", "words", "blocks")
+        return found.mapInArrow(lambda it: _kept_keys(it, min_words), "row bigint, keys array<bigint>").select("row", F.explode("keys").alias("key"))
+
+    open_ = stored(kept(links.select("row").distinct().join(copies, "row", "left_anti")), "kept-keys")
+    order = Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "row")
+    held = lines.select("row", "id", F.explode("keys").alias("key")).join(open_.select("key").distinct(), "key", "left_semi").join(copies, "row", "left_anti")
+    held = stored(held.select("key", "row", F.row_number().over(order).alias("rank")), "holders")
+    open_ = stored(open_.join(held, ["row", "key"]).filter("rank > 2"), "open-keys")
+    done, size = 1, RETRY_GROWTH  # the first holder of each key has been tried
+    while open_.head(1):
+        holders = held.filter((F.col("rank") > done) & (F.col("rank") <= done + size)).select("key", F.col("row").alias("first"), F.col("rank").alias("at"))
+        tries = stored(open_.join(holders, "key").filter("at < rank").select("row", "first").distinct().join(links, ["row", "first"], "left_anti"), "line-links")
+        links = links.union(tries)
+        blocks = stored(_merged(blocks.union(_align(tries, lines, min_words))), "blocks")
+        done, size = done + size, size * RETRY_GROWTH
+        left = open_.filter(F.col("rank") > done + 1)
+        open_ = stored(left.join(kept(left.select("row").distinct()), ["row", "key"], "left_semi"), "open-keys")
+    return blocks
+
+
+def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, retry: bool = False) -> DataFrame:
     """One row per document: row, id, text_key, text_sha256, n_lines, blocks (array of line ranges to delete; they may overlap).
 
     Lines end at newlines and are compared byte by byte. The earlier document is
     the one with the smaller id; null ids come last and rows that share an id
     follow in the order in which they are read, so of rows that repeat the first
     stays. Null and empty texts have no lines. Repeats inside one document stay.
+    Without ``retry`` each key is tried with its first holder only; with it, the
+    lines deleted are those of aligning each document with all earlier ones.
     Columns other than the named ones are ignored.
     """
     keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"), F.col(text_col).alias("body"))
@@ -157,12 +219,19 @@ def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     keys = lines.select("row", "id", F.explode("keys").alias("key"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     holders = keys.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").select("key", F.col("first.row").alias("first"))
-    links = stored(keys.join(holders, "key").filter("row != first").select("row", "first").distinct(), "line-links")
-    pairs = links.join(lines.select("row", F.col("lines").alias("later"), "words"), "row").join(lines.select(F.col("row").alias("first"), F.col("lines").alias("earlier")), "first")
-    blocks = pairs.select("row", "earlier", "later", "words").mapInArrow(lambda it: _aligned(it, min_words), "row bigint, blocks array<struct<start:int,end:int>>")
-    blocks = stored(blocks.filter(F.size("blocks") > 0).groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks")), "blocks")
+    links = keys.join(holders, "key").filter("row != first").select("row", "first").distinct()
+    if retry:
+        equal = lines.filter(F.size("keys") > 0).groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("documents")).filter("documents > 1")
+        equal = equal.select("text_sha256", F.col("first.row").alias("first"))
+        equal = stored(lines.select("row", "text_sha256").join(equal, "text_sha256").filter("row != first").select("row", "first"), "line-copies")
+        copies = equal.select("row")
+        links = links.join(copies, "row", "left_anti").union(equal)
+    links = stored(links, "line-links")
+    blocks = _align(links, lines, min_words)
+    if retry:
+        blocks = _retried(lines, links, blocks, copies, min_words)
     out = lines.select("row", "id", "text_key", "text_sha256", F.size("lines").alias("n_lines")).join(blocks, "row", "left")
-    return out.select("row", F.col("id").alias(id_col), "text_key", "text_sha256", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("blocks", F.array().cast("array<struct<start:int,end:int>>")).alias("blocks"))
+    return out.select("row", F.col("id").alias(id_col), "text_key", "text_sha256", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("blocks", F.array().cast(_BLOCKS)).alias("blocks"))
 
 
 def _deleted(line: Column) -> Column:
@@ -181,7 +250,7 @@ def delete_lines(documents: DataFrame, found: DataFrame, *, id_col: str = "doc_i
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n_deleted = F.size(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("n_lines")), _deleted)).cast("bigint")
-    found = repeated_lines(documents).withColumn("n_deleted", F.when(F.size("blocks") > 0, n_deleted).otherwise(F.lit(0).cast("bigint")))
+    found = repeated_lines(documents, retry=True).withColumn("n_deleted", F.when(F.size("blocks") > 0, n_deleted).otherwise(F.lit(0).cast("bigint")))
     found = stored(found, "repeated-lines")
     changed = delete_lines(documents, found.filter("n_deleted > 0"))
     changed = changed.select("row", F.sha2("kept", 256).alias("sha")).groupBy("row").agg(F.min("sha").alias("sha"))
