@@ -235,6 +235,14 @@ def test_range_bounds_are_exact(spark):
     assert len(counts) == 4 and max(counts) - min(counts) <= 8
 
 
+@pytest.mark.parametrize("words", [6, 7, 8])
+def test_decontamination_of_a_short_document_alone(spark, words):
+    long, short = " ".join(f"w{i}" for i in range(10)), " ".join(f"w{i}" for i in range(words))
+    items = spark.createDataFrame([(0, long), (1, "w1 w2 w3 w4 w5")], "item_id bigint, text string")
+    got = decontam.decontaminate(documents(spark, [short]).repartition(1), items).collect()
+    assert [(r.n_words, r.n_hit, r["items"]) for r in got] == [(words, 5, ["1"])]
+
+
 def test_line_dedup(spark):
     rng = random.Random(11)
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 8, 25]))) for _ in range(40)]

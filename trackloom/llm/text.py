@@ -136,6 +136,8 @@ def winnow(grams: np.ndarray, usable: np.ndarray, width: int) -> np.ndarray:
 
     usable: whether the window that starts at a gram lies in one text.
     """
+    if len(grams) < width:  # no window
+        return np.zeros(0, dtype=np.intp)
     low = sliding(grams, width, np.minimum)
     low = np.where(usable[: len(low)], low, _U(0))
     pad = np.zeros(width - 1, dtype=_U)
