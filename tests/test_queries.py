@@ -61,3 +61,10 @@ def test_invariants(spark):
     for r in found.itertuples():
         d = ((centres.to_numpy() - [getattr(r, f"f{i}") for i in range(8)]) ** 2).sum(1)
         assert centres.index[d.argmin()] == r.cluster2 or d.min() == pytest.approx(d[list(centres.index).index(r.cluster2)], rel=0.2)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_forest_takes_all_components(spark):
+    found = catalog.rf_importance(spark, SF).toPandas()
+    assert set(found["feature"]) == {f"f{i}" for i in range(64)}
+    assert found.loc[~found["feature"].isin([f"f{i}" for i in range(8)]), "importance"].sum() > 0

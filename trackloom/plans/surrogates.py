@@ -62,9 +62,13 @@ points AS (SELECT CAST(vec_id AS VARCHAR) AS track_id, vec_id, label AS well, CA
 """
 
 
-def vectors(spark: SparkSession, sf_dir: str, dims: int = 8) -> DataFrame:
+def vectors(spark: SparkSession, sf_dir: str, dims: int | None = None) -> DataFrame:
+    """Embeddings as columns f0, f1, ..: all components, or the first ``dims``."""
     v = F.col("embedding")
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("track_id"), F.col("label").cast("string").alias("label"), *[v[i].cast("double").alias(f"f{i}") for i in range(dims)])
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    if dims is None:
+        dims = rows.agg(F.max(F.size(v))).first()[0] or 0
+    return rows.select(F.col("vec_id").alias("track_id"), F.col("label").cast("string").alias("label"), *[v[i].cast("double").alias(f"f{i}") for i in range(dims)])
 
 
 WELL = "organoid_line, tcell_line, exp_nr, well, date"
