@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from trackloom import catalog
+from trackloom.operators import classify
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -68,3 +69,8 @@ def test_forest_takes_all_components(spark):
     found = catalog.rf_importance(spark, SF).toPandas()
     assert set(found["feature"]) == {f"f{i}" for i in range(64)}
     assert found.loc[~found["feature"].isin([f"f{i}" for i in range(8)]), "importance"].sum() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_forest_has_the_trees_of_the_reference(spark):
+    assert len(classify.forest_of(catalog._forest(spark, SF)[0]).trees) == 100
