@@ -16,20 +16,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # runs of letters, digits and bytes beyond ASCII
+_TOKEN = r"[A-Za-z0-9]+"  # a literal token; anything else, letters beyond ASCII too, ends it
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(_UPPER, _LOWER)  # the only change of case: it makes no new tokens
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule on ``host path``: its name, verdict, pattern, literal tokens (lower-case), and rank (the highest wins)."""
+    """A rule: its name, verdict, patterns that the whole host and a head of the path fit, literal tokens (lower-case) and rank (the highest wins)."""
 
     name: str
     verdict: str
-    pattern: str
+    host: str
+    path: str
     tokens: tuple[str, ...]
     rank: int
 
 
+def _tokens_of(text: str) -> tuple[str, ...]:
+    return tuple(re.findall(_TOKEN, text.translate(_TO_LOWER)))
+
+
 def host_rule(rule: str, verdict: str) -> Rule:
     """Rule for a host with all its subdomains and a path prefix, written ``example.org/es/``; the longest wins.
 
@@ -38,14 +45,16 @@ def host_rule(rule: str, verdict: str) -> Rule:
     """
     host, slash, path = rule.partition("/")
     path = slash + path
-    whole = path if not path or not re.match(_TOKEN, path[-1]) else re.sub(_TOKEN + r"\Z", "", path)
-    pattern = rf"(?:[^ ]*\.)?{re.escape(host.lower())} {re.escape(path)}"
-    return Rule(rule, verdict, pattern, tuple(t.lower() for t in re.findall(_TOKEN, f"{host} {whole}")), 1000 + len(rule))
+    host = host.translate(_TO_LOWER)
+    whole = re.sub(_TOKEN + r"\Z", "", path)
+    return Rule(rule, verdict, rf"(?:.*\.)?{re.escape(host)}", re.escape(path), _tokens_of(host) + _tokens_of(whole), 1000 + len(rule))
 
 
 def path_rule(word: str) -> Rule:
-    """Block any URL with the word as a whole token of its path."""
-    return Rule(f"*{word}*", "block", rf"[^ ]* .*(?<![A-Za-z0-9]){re.escape(word)}(?![A-Za-z0-9])", (word,), len(word))
+    """Block any URL with the word as a whole token of its path, in just this case; ``word`` is one token."""
+    if not re.fullmatch(_TOKEN, word):
+        raise ValueError(f"not a token: {word}")
+    return Rule(f"*{word}*", "block", ".*", rf".*(?<![A-Za-z0-9]){word}(?![A-Za-z0-9])", _tokens_of(word), len(word))
 
 
 #: Rules of the registered query (fixed values), host rules first.
@@ -56,12 +65,12 @@ BLOCKED_WORDS = ("casino", "login", "porn", "signup", "viagra")
 def with_host_and_path(urls: DataFrame, url_col: str) -> DataFrame:
     """Adds ``host`` (A-Z lowered) and ``path``; both are empty for a null URL or one without ``://``."""
     rest = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)^.*?://(.*)$", 1)
-    lowered = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    lowered = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), _UPPER, _LOWER)
     return urls.withColumns({"host": lowered, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
 def _tokens() -> Column:
-    return F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(f"({_TOKEN})"), F.lit(1))
+    return F.regexp_extract_all(F.translate(F.concat_ws(" ", "host", "path"), _UPPER, _LOWER), F.lit(f"({_TOKEN})"), F.lit(1))
 
 
 def token_counts(parts: DataFrame, tokens: set[str]) -> dict[str, int]:
@@ -78,21 +87,26 @@ def rule_index(rules: list[Rule], counts: dict[str, int]) -> dict[str, list[Rule
     return index
 
 
+def best_rule(host: str, path: str, index: dict[str, list[tuple[re.Pattern, re.Pattern, Rule]]]) -> Rule | None:
+    """The rule of highest rank that fits; only rules filed under a token of the URL, or under none, are tried."""
+    best = None
+    for t in {"", *_tokens_of(f"{host} {path}")}:
+        for on_host, on_path, rule in index.get(t, ()):
+            if (best is None or (rule.rank, rule.name) > (best.rank, best.name)) and on_host.fullmatch(host) and on_path.match(path):
+                best = rule
+    return best
+
+
+def compiled(index: dict[str, list[Rule]]) -> dict[str, list[tuple[re.Pattern, re.Pattern, Rule]]]:
+    return {t: [(re.compile(r.host, re.DOTALL), re.compile(r.path, re.DOTALL), r) for r in rules] for t, rules in index.items()}
+
+
 def _judge(batches, index):
     """mapInArrow body: (.., host, path) -> .., host, path, the name and the verdict of the best rule that fits."""
-    token = re.compile(_TOKEN)
-    compiled = {k: [(re.compile(r.pattern, re.DOTALL), r) for r in rules] for k, rules in index.items()}
+    ready = compiled(index)
     for batch in batches:
-        names, verdicts = [], []
-        for host, path in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-            target = f"{host} {path}"
-            best = None
-            for t in {"", *token.findall(target.lower())}:
-                for pattern, rule in compiled.get(t, ()):
-                    if (best is None or (rule.rank, rule.name) > (best.rank, best.name)) and pattern.match(target):
-                        best = rule
-            names.append(best.name if best else None)
-            verdicts.append(best.verdict if best else None)
+        best = [best_rule(h, p, ready) for h, p in zip(*(batch.column(batch.num_columns - i).to_pylist() for i in (2, 1)), strict=True)]
+        names, verdicts = ([getattr(r, field) if r else None for r in best] for field in ("name", "verdict"))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], names=[*batch.schema.names, "rule", "verdict"])
 
 
