@@ -81,10 +81,10 @@ def test_quality(spark):
     texts = [t for pair in zip(good, bad) for t in pair] + ["", None]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(240)] + [(0, 0), (1, None)], "doc_id bigint, quality int")
-    scored = quality.score_documents(docs, quality.fit(docs, labels)).collect()
+    scored = docs.withColumn("_score", quality.score(spark, "text", quality.fit(docs, labels))).collect()
     assert all((r._score >= 0.5) == (r.doc_id % 2 == 0) for r in scored if r.doc_id < 240) and all(0 <= r._score <= 1 for r in scored)
     assert [r.h for r in spark.range(20).select(quality.held_out("id").alias("h")).collect()] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(20)]
-    unlabelled = quality.score_documents(docs, quality.fit(docs, labels.limit(0))).select("_score").distinct().collect()
+    unlabelled = docs.select(quality.score(spark, "text", quality.fit(docs, labels.limit(0))).alias("_score")).distinct().collect()
     assert all(abs(r._score - 0.5) < 0.2 for r in unlabelled)
 
 

@@ -10,6 +10,8 @@ query are scored again on the original vectors.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -65,17 +67,31 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tupl
     return codes[row, best], np.linalg.norm(vectors - rest[row, best], axis=1).astype(np.float32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+def _scaled(vectors: np.ndarray, exponent: int | np.ndarray) -> np.ndarray:
+    """Vectors times 2**exponent, as float32."""
+    return np.ldexp(vectors, exponent).astype(np.float32)
+
+
+def _matrix(column: pa.Array, exponent: int | None) -> np.ndarray:
+    """The vectors as float32 rows, scaled alike; with no exponent each by its own."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    values = values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+    if exponent is None:
+        exponent = -np.frexp(np.abs(values).max(axis=1, initial=0))[1][:, None]
+    return _scaled(values, exponent)
 
 
-def _packed(batches, codebooks, block):
-    """mapInArrow body: (id, vector) -> packed blocks; with codebooks the codes and norms, else the vectors themselves."""
+def _packed(batches, codebooks, block, exponent):
+    """mapInArrow body: (id, vector) -> packed blocks; with codebooks the codes and norms, else the vectors themselves.
+
+    Vectors are scaled by a power of two that is the same for all of them, or (for
+    the queries of an inner product) one for each, which changes no order and
+    keeps all products inside float32.
+    """
     for batch in batches:
         for lo in range(0, batch.num_rows, block):
             part = batch.slice(lo, block)
-            ids, vectors = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(1))
+            ids, vectors = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(1), exponent)
             if codebooks is None:
                 body, norms = vectors, np.zeros(0, np.float32)
             else:
@@ -103,17 +119,22 @@ def _scan(codebooks, measure, keep):
                 score += tables[q, b].take(codes[b])
             if measure == "l2":
                 score = 2 * score - norms * norms
-            score[np.searchsorted(ids, q_id) : np.searchsorted(ids, q_id, side="right")] = -np.inf
+            other = ids != q_id  # a query is no candidate of its own
+            score, mine = score[other], np.flatnonzero(other)
             n = min(keep, len(score))
+            if not n:
+                continue
             least = np.partition(score, len(score) - n)[len(score) - n]
             best = np.flatnonzero(score >= least)
             if len(best) > n:
                 above = score[best] > least
                 best = np.sort(np.concatenate([best[above], best[~above][: n - above.sum()]]))
-            best = best[np.isfinite(score[best])]
+            best, score = mine[best], score[best]
             out_q.append(np.full(len(best), q_id))
             out_c.append(ids[best])
-            out_s.append(score[best])
+            out_s.append(score)
+        if not out_q:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "cand_id": np.zeros(0, np.int64), "approx": np.zeros(0, np.float32)})
         return pd.DataFrame({"query_id": np.concatenate(out_q), "cand_id": np.concatenate(out_c), "approx": np.concatenate(out_s)})
 
     return run
@@ -145,13 +166,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "ve
     spark = vectors.sparkSession
     base = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
     asked = stored(usable_vectors(queries, id_col, vector_col), "queries")
+    largest = base.unionByName(asked).agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
     sample = base.orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").toPandas()["vector"]
     if not len(sample):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    codebooks = spark.sparkContext.broadcast(train_codebooks(np.stack(sample.to_numpy())))
+    exponent = -math.frexp(largest)[1]  # components are below 1 after scaling
+    codebooks = spark.sparkContext.broadcast(train_codebooks(_scaled(np.stack(sample.to_numpy()).astype(np.float64), exponent)))
     schema = "ids binary, body binary, norms binary"
-    codes = stored(base.mapInArrow(lambda it: _packed(it, codebooks, BLOCK), schema).withColumn("block", F.monotonically_increasing_id()), "codes")
-    packed = stored(asked.mapInArrow(lambda it: _packed(it, None, QUERY_BLOCK), schema).select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")).withColumn("q_block", F.monotonically_increasing_id()), "packed-queries")
+    codes = stored(base.mapInArrow(lambda it: _packed(it, codebooks, BLOCK, exponent), schema).withColumn("block", F.monotonically_increasing_id()), "codes", batch_rows=BLOCK)
+    packed = stored(asked.mapInArrow(lambda it: _packed(it, None, QUERY_BLOCK, None if measure == "ip" else exponent), schema).select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")).withColumn("q_block", F.monotonically_increasing_id()), "packed-queries")
     groups = max(1, -(-base.count() // GROUP))
     lanes = max(1, min(packed.count(), 64))
     # every block of queries meets every block of codes once: codes go to all lanes, a block of queries is in one

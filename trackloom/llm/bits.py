@@ -7,17 +7,17 @@ filter; no row that matters is ever lost.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
+from trackloom.llm.store import small_batches
 
 FILTER_BITS = 1 << 24  # 2 MB
 PACKED_HASHES = 1 << 20  # hashes that a task packs at a time
-FREQUENCY_LOG2 = 25  # 2**25 bits for each level: 4 MB
+FREQUENCY_LOG2 = 25  # 2**25 bits for the first level (4 MB), half as many for each further one, as fewer hashes reach it
 
 
 def bit_filter(keys: DataFrame, column: str) -> Broadcast:
@@ -36,9 +36,9 @@ def may_contain(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def passes(shared: Broadcast, column: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def check(values: pd.Series) -> pd.Series:
-        return pd.Series(may_contain(shared.value, values.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def check(values: pa.Array) -> pa.Array:
+        return pa.array(may_contain(shared.value, values.to_numpy().view(np.uint64)))
 
     return check(column)
 
@@ -68,16 +68,21 @@ def _buckets(batches, hashes, log2):
         yield packed(found)
 
 
+def _level_bits(size: int, level: int, log2: int) -> int:
+    """log2 of the bits of a level's filter; each range of hashes has whole bytes of it."""
+    return max(size - level, log2 + 3)
+
+
 def _slices(levels, log2, size):
     """applyInArrow body: the hashes of a range -> its slice of each level's filter."""
 
     def run(table: pa.Table) -> pa.Table:
         hash_, count = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["hashes"]]), return_counts=True)
-        at = hash_ >> np.uint32(32 - (size - log2))
         out = []
-        for level in levels:
-            bits = np.zeros(1 << (size - log2), dtype=bool)
-            bits[at[count >= level]] = True
+        for n, level in enumerate(levels):
+            width = _level_bits(size, n, log2) - log2
+            bits = np.zeros(1 << width, dtype=bool)
+            bits[(hash_ >> np.uint32(32 - width))[count >= level]] = True
             out.append(np.packbits(bits, bitorder="little").tobytes())
         return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(levels), pa.int32()), "level": pa.array(range(len(levels)), pa.int32()), "bits": pa.array(out, pa.binary())})
 
@@ -93,26 +98,28 @@ def frequency_filters(texts: DataFrame, hashes, levels: tuple[int, ...], size: i
     """Broadcast filters: which hashes occur at least ``levels[i]`` times in all of ``texts`` (one string column).
 
     hashes(data, offsets) gives the well-mixed hashes of a chunk of texts. Counts
-    are exact for the leading bits that are shuffled (4 bytes a hash). Each level
-    takes 2**size bits.
+    are exact for the leading bits that are shuffled (4 bytes a hash). The first
+    level takes 2**size bits, each further one half of that.
     """
     spark = texts.sparkSession
     log2 = hash_ranges(spark)
     packed = texts.mapInArrow(lambda it: _buckets(it, hashes, log2), "bucket int, hashes binary")
-    got = packed.groupBy("bucket").applyInArrow(_slices(levels, log2, size), "bucket int, level int, bits binary").toArrow()
-    width = 1 << (size - log2 - 3)
-    table = np.zeros((len(levels), 1 << (size - 3)), dtype=np.uint8)
+    tables = [np.zeros(1 << (_level_bits(size, n, log2) - 3), dtype=np.uint8) for n in range(len(levels))]
+    with small_batches(spark):
+        got = packed.groupBy("bucket").applyInArrow(_slices(levels, log2, size), "bucket int, level int, bits binary").toArrow()
     for batch in got.to_batches():
         for bucket, level, bits in zip(*(batch.column(c) for c in ("bucket", "level", "bits")), strict=True):
-            table[level.as_py(), bucket.as_py() * width : (bucket.as_py() + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+            part = np.frombuffer(bits.as_buffer(), np.uint8)
+            tables[level.as_py()][bucket.as_py() * len(part) : (bucket.as_py() + 1) * len(part)] = part
     del got
-    return spark.sparkContext.broadcast(table)
+    return spark.sparkContext.broadcast(tables)
 
 
-def frequency_level(table: np.ndarray, hash_: np.ndarray) -> np.ndarray:
-    """How many of the levels each hash may reach."""
-    at = (hash_ >> np.uint64(64 - (table.shape[1].bit_length() + 2))).astype(np.int64)
-    level = np.zeros(len(hash_), dtype=np.int64)
-    for row in table:
-        level += (row[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+def frequency_level(tables: list[np.ndarray], hash_: np.ndarray) -> np.ndarray:
+    """How many of the levels each hash may reach; one that misses a level reaches no later one."""
+    level, open_ = np.zeros(len(hash_), dtype=np.int64), np.arange(len(hash_))
+    for bits in tables:
+        at = (hash_[open_] >> np.uint64(64 - (len(bits).bit_length() + 2))).astype(np.int64)
+        open_ = open_[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        level[open_] += 1
     return level

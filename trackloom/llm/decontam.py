@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, may_contain
-from trackloom.llm.store import small_batches, stored
+from trackloom.llm.rows import picked, quoted, restored, text_key
+from trackloom.llm.store import stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_HITS = "array<struct<length:int,hash:bigint,pos:int,context:array<string>>>"
-_HIT_TYPE = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32()), ("context", pa.list_(pa.string()))]))
+_HITS = "array<struct<length:int,hash:bigint,context:array<string>,places:array<int>>>"
+_HIT_TYPE = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("context", pa.list_(pa.string())), ("places", pa.list_(pa.int32()))]))
 
 
 def _k(length: int) -> int:
@@ -34,6 +35,8 @@ def _k(length: int) -> int:
 def _prints(batches, lengths, own_length, keep, pad):
     """mapInArrow body: (id column.., text) -> (id columns.., n_words, hits).
 
+    A hit is a fingerprint with the words around it; where a text repeats them,
+    it is one hit with several places, so repeated words don't multiply in the join.
     own_length: a text of fewer words than ``lengths[0]`` uses its own count (the benchmark side).
     keep: broadcast bit filter of the other side's hashes, or None.
     """
@@ -62,14 +65,14 @@ def _prints(batches, lengths, own_length, keep, pad):
                     known = may_contain(keep.value, values)
                     at, values = at[known], values[known]
                 found.extend((int(p), length, int(v)) for p, v in zip(at, values.view(np.int64), strict=True))
-            rows: list[list] = [[] for _ in per_text]
+            rows: list[dict] = [{} for _ in per_text]
             if found:
                 text_of = np.searchsorted(first, [p for p, _, _ in found], side="right") - 1
                 for (p, length, value), d in zip(found, text_of.tolist(), strict=True):
                     lo, hi, reach = int(first[d]), int(first[d + 1]), length - _k(length)
-                    context = [tx.LOWER[data[starts[i] : ends[i]]].tobytes().decode("utf-8", "replace") if lo <= i < hi else pad for i in range(p - reach, p + length)]
-                    rows[d].append({"length": length, "hash": value, "pos": p - lo, "context": context})
-            hits.extend(rows)
+                    context = tuple(tx.LOWER[data[starts[i] : ends[i]]].tobytes().decode("utf-8", "replace") if lo <= i < hi else pad for i in range(p - reach, p + length))
+                    rows[d].setdefault((length, value, context), []).append(p - lo)
+            hits.extend([{"length": n, "hash": h, "context": c, "places": at} for (n, h, c), at in row.items()] for row in rows)
         ids = [batch.column(i) for i in range(batch.num_columns - 1)]
         names = batch.schema.names[:-1]
         yield pa.RecordBatch.from_arrays([*ids, pa.array(counts, pa.int64()), pa.array(hits, _HIT_TYPE)], names=[*names, "n_words", "hits"])
@@ -91,24 +94,26 @@ def contaminated_windows(documents: DataFrame, benchmark: DataFrame, *, id_col:
     item_id, start, length): words start .. start+length-1 of the document equal
     a window of the item.
     """
-    small_batches(documents.sparkSession)
     schema = f"item_id {benchmark.schema[item_col].dataType.simpleString()}, n_words bigint, hits {_HITS}"
     items = stored(
         benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text")).mapInArrow(lambda it: _prints(it, [window], True, None, ">"), schema),
         "bench-prints",
     )
-    prints = _exploded(items, "item_id").withColumnRenamed("context", "item_context").drop("pos")
+    prints = _exploded(items, "item_id").withColumnRenamed("context", "item_context").drop("places")
     lengths = sorted((r.length for r in prints.select("length").distinct().collect()), reverse=True)  # window at most
     keep = bit_filter(prints, "hash")
     id_type = documents.schema[id_col].dataType.simpleString()
-    scanned = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(lambda it: _prints(it, lengths, False, keep, "<"), f"id {id_type}, n_words bigint, hits {_HITS}")
+    scanned = documents.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("body")).mapInArrow(lambda it: _prints(it, lengths, False, keep, "<"), f"id {id_type}, n_words bigint, hits {_HITS}")
     scanned = stored(scanned.withColumn("row_key", F.monotonically_increasing_id()), "doc-prints")
+    keep.destroy()
     hits = _exploded(scanned.filter(F.size("hits") > 0), "row_key")
     pairs = hits.join(prints, ["length", "hash"])
     reach = F.col("length") - F.floor((F.col("length") + 1) / 2).cast("int")
     at = F.explode(F.filter(F.sequence(F.lit(0), reach), lambda o: _same_window(F.col("length"), o)))
-    windows = pairs.select("row_key", "item_id", "length", "pos", reach.alias("reach"), at.alias("o"))
-    return scanned, windows.select("row_key", "item_id", (F.col("pos") - F.col("reach") + F.col("o")).alias("start"), "length").distinct()
+    windows = pairs.select("row_key", "item_id", "length", "places", reach.alias("reach"), at.alias("o"))
+    windows = windows.select("row_key", "item_id", "length", (F.col("o") - F.col("reach")).alias("shift"), F.explode("places").alias("pos"))
+    windows = windows.select("row_key", "item_id", (F.col("pos") + F.col("shift")).alias("start"), "length").distinct()
+    return scanned, windows
 
 
 def covered_words(windows: DataFrame) -> DataFrame:
@@ -142,12 +147,11 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
-    """The documents without a single hit word, with all their columns."""
-    marked = documents.withColumn("_text_key", F.xxhash64(text_col))
-    scanned, windows = contaminated_windows(marked.select(F.struct(id_col, "_text_key").alias("key"), F.col(text_col).alias("body")), benchmark, id_col="key", text_col="body", **names)
-    bad = scanned.join(windows.select("row_key").distinct(), "row_key", "left_semi").select(F.col("id.*")).toDF("_bad_id", "_bad_text").distinct()
-    same = marked[id_col].eqNullSafe(bad["_bad_id"]) & (marked["_text_key"] == bad["_bad_text"])
-    return marked.join(bad, same, "left_anti").drop("_text_key")
+    """The documents without a single hit word, with all their columns, whatever their names; null and empty texts stay."""
+    marked = documents.select(F.struct(F.col(quoted(id_col)).alias("id"), text_key(text_col).alias("text_key")).alias("key"), F.col(quoted(text_col)).alias("body"))
+    scanned, windows = contaminated_windows(marked, benchmark, id_col="key", text_col="body", **names)
+    bad = stored(scanned.join(windows.select("row_key").distinct(), "row_key", "left_semi").select("id.*").distinct(), "contaminated")
+    return restored(picked(documents, bad, id_col, text_col)[0])
 
 
 OP1_SQL = r"""

@@ -1,16 +1,21 @@
 """Line deduplication by pairwise alignment.
 
-Documents that overlap are found through shared line hashes: from every line on,
-the shortest run of lines with ``min_words`` words is a key, and so is the
-shortest run up to every line. Any common block of that many words holds such a
-key, and the keys in it reach all of its lines. Each key links the documents
-that have it with the first of them, so a key that thousands of documents share
-makes as many links and not their square. Linked documents are aligned by
-patience diff, and the blocks of at least ``min_words`` words that align are
-deleted from the later document. Keys that a document keeps after that, as its
-lines repeat or stand in another order in the first holder, are linked with the
-next holders, four times as many in each round, until they are deleted or all
-earlier holders are tried: the lines deleted are those of aligning all pairs.
+Documents that overlap are found through shared rare lines. How often a line
+occurs is counted over all documents and kept in bit filters of fixed size. From
+every line on, the shortest run of lines with ``min_words`` words chooses its
+rarest line as a key, and so does the shortest run up to every line; runs with a
+line that occurs once cannot be shared and choose none. Any common block of that
+many words holds such a run, so both documents have its key, and the keys in it
+reach all of its lines.
+
+Each key links the documents that have it with the first of them, so a key that
+thousands of documents share makes as many links and not their square. Linked
+documents are aligned by patience diff, and the blocks of at least ``min_words``
+words that align are deleted from the later document. Keys that a document keeps
+after that, as its lines repeat or stand in another order in the first holder,
+are linked with the next holders, four times as many in each round, until they
+are deleted or all earlier holders are tried: the lines deleted are those of
+aligning all pairs. Copies of whole texts are linked by their digest.
 """
 
 from __future__ import annotations
@@ -19,14 +24,17 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
-from trackloom.llm.bits import bit_filter, passes
-from trackloom.llm.store import small_batches, stored
+from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, passes
+from trackloom.llm.rows import quoted, text_key
+from trackloom.llm.store import stored
 
 MIN_WORDS = 20
+LEVELS = (2, 4, 16, 64, 512)  # occurrences of a line that rarity tells apart
 RETRY_GROWTH = 4  # how many times as many holders each round of retries takes
 
 _BLOCKS = "array<struct<start:int,end:int>>"
@@ -42,8 +50,13 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.concatenate([[0], np.cumsum(count)])
 
 
-def runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the shortest runs with ``min_words`` words from and up to each line of one text."""
+def run_keys(lines: np.ndarray, level: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs with ``min_words`` words from and up to each line of one text, and their rarest lines.
+
+    level: how frequent each line is, 0 for one that occurs once. A key is a
+    line's hash behind its level, so the least key of a run is its rarest line
+    (ties by hash); runs with a line that occurs once are left out.
+    """
     total = np.concatenate([[0], np.cumsum(words)])
     n = len(lines)
     at = np.arange(n)
@@ -51,30 +64,34 @@ def runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarr
     begin = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     lo = np.concatenate([at[stop <= n], begin[total[1:] >= min_words]])
     hi = np.concatenate([stop[stop <= n], at[total[1:] >= min_words] + 1])
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(lines * tx.powers(tx._BASE, n), out=sums[1:])
-    return lo, hi, tx.span_hash(sums, lo, hi)
+    if not len(lo):
+        return lo, hi, np.zeros(0, np.uint64)
+    key = np.append((level.astype(np.uint64) << np.uint64(60)) | (lines >> np.uint64(4)), np.uint64(0))
+    least = np.minimum.reduceat(key, np.stack([lo, hi], axis=1).ravel())[::2]
+    shared = least >> np.uint64(60) > 0
+    return lo[shared], hi[shared], least[shared]
 
 
-def run_keys(lines: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Distinct hashes of the runs of one text."""
-    return np.unique(runs(lines, words, min_words)[2])
+def _line_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    starts, ends, _ = line_spans(data, offsets)
+    return tx.span_hash(tx.prefix_hash(data), starts, ends)
 
 
-def _lines(batches, min_words):
-    """mapInArrow body: (id, text key, digest, text) -> id, text key, digest, line hashes, words of each line, run keys."""
+def _lines(batches, min_words, filters):
+    """mapInArrow body: (id, text key, digest, text) -> id, text key, digest, line hashes, words of each line, keys."""
     for batch in batches:
         hashes, words, keys = [], [], []
         for _, data, offsets in tx.text_chunks(batch.column(3)):
             starts, ends, first = line_spans(data, offsets)
             line = tx.span_hash(tx.prefix_hash(data), starts, ends)
+            level = frequency_level(filters.value, line)
             word_starts, _, _ = tx.word_spans(data, offsets, tx.NOT_SPACE)
             count = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
             for d in range(len(offsets) - 1):
                 mine = slice(first[d], first[d + 1])
                 hashes.append(line[mine].view(np.int64))
                 words.append(count[mine].astype(np.int32))
-                keys.append(run_keys(line[mine], count[mine], min_words).view(np.int64))
+                keys.append(np.unique(run_keys(line[mine], level[mine], count[mine], min_words)[2]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_key", "text_sha256", "lines", "words", "keys"]
         )
@@ -151,12 +168,13 @@ def _aligned(batches, min_words):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["row", "blocks"])
 
 
-def _kept_keys(batches, min_words):
+def _kept_keys(batches, min_words, filters):
     """mapInArrow body: (row, lines, words, blocks) -> row, keys of the runs of which a line is kept."""
     for batch in batches:
         keys = []
         for line, words, blocks in zip(*(batch.column(i) for i in (1, 2, 3)), strict=True):
-            lo, hi, key = runs(np.asarray(line.values).view(np.uint64), np.asarray(words.values), min_words)
+            hash_ = np.asarray(line.values).view(np.uint64)
+            lo, hi, key = run_keys(hash_, frequency_level(filters.value, hash_), np.asarray(words.values), min_words)
             gone = np.zeros(len(line) + 1, dtype=np.int64)
             for b in blocks.as_py() or ():
                 gone[b["start"] + 1 : b["end"] + 1] = 1
@@ -176,12 +194,12 @@ def _merged(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
 
 
-def _retried(lines: DataFrame, links: DataFrame, blocks: DataFrame, copies: DataFrame, min_words: int) -> DataFrame:
+def _retried(lines: DataFrame, links: DataFrame, blocks: DataFrame, copies: DataFrame, min_words: int, filters: Broadcast) -> DataFrame:
     """Blocks of all rounds: (row, blocks). ``copies`` (rows that equal an earlier one) are no holders, as they align as their first does."""
 
     def kept(rows: DataFrame) -> DataFrame:
         found = rows.join(lines.select("row", "lines", "words"), "row").join(blocks, "row", "left").select("row", "lines", "words", "blocks")
-        return found.mapInArrow(lambda it: _kept_keys(it, min_words), "row bigint, keys array<bigint>").select("row", F.explode("keys").alias("key"))
+        return found.mapInArrow(lambda it: _kept_keys(it, min_words, filters), "row bigint, keys array<bigint>").select("row", F.explode("keys").alias("key"))
 
     open_ = stored(kept(links.select("row").distinct().join(copies, "row", "left_anti")), "kept-keys")
     order = Window.partitionBy("key").orderBy(F.col("id").isNull(), "id", "row")
@@ -200,36 +218,34 @@ def _retried(lines: DataFrame, links: DataFrame, blocks: DataFrame, copies: Data
     return blocks
 
 
-def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, retry: bool = False) -> DataFrame:
+def repeated_lines(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: row, id, text_key, text_sha256, n_lines, blocks (array of line ranges to delete; they may overlap).
 
     Lines end at newlines and are compared byte by byte. The earlier document is
     the one with the smaller id; null ids come last and rows that share an id
     follow in the order in which they are read, so of rows that repeat the first
     stays. Null and empty texts have no lines. Repeats inside one document stay.
-    Without ``retry`` each key is tried with its first holder only; with it, the
-    lines deleted are those of aligning each document with all earlier ones.
+    The lines deleted are those of aligning each document with all earlier ones.
     Columns other than the named ones are ignored.
     """
-    keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"), F.col(text_col).alias("body"))
+    body = F.col(quoted(text_col))
+    keyed = documents.select(F.col(quoted(id_col)).alias("id"), text_key(text_col).alias("text_key"), F.sha2(F.coalesce(body, F.lit("")), 256).alias("text_sha256"), body.alias("body"))
     id_type = keyed.schema["id"].dataType.simpleString()
-    small_batches(documents.sparkSession)
-    lines = keyed.mapInArrow(lambda it: _lines(it, min_words), f"id {id_type}, text_key bigint, text_sha256 string, lines array<bigint>, words array<int>, keys array<bigint>")
+    filters = frequency_filters(keyed.select("body"), _line_hashes, LEVELS)
+    lines = keyed.mapInArrow(lambda it: _lines(it, min_words, filters), f"id {id_type}, text_key string, text_sha256 string, lines array<bigint>, words array<int>, keys array<bigint>")
     lines = stored(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
     keys = lines.select("row", "id", F.explode("keys").alias("key"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     holders = keys.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("documents")).filter("documents > 1").select("key", F.col("first.row").alias("first"))
     links = keys.join(holders, "key").filter("row != first").select("row", "first").distinct()
-    if retry:
-        equal = lines.filter(F.size("keys") > 0).groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("documents")).filter("documents > 1")
-        equal = equal.select("text_sha256", F.col("first.row").alias("first"))
-        equal = stored(lines.select("row", "text_sha256").join(equal, "text_sha256").filter("row != first").select("row", "first"), "line-copies")
-        copies = equal.select("row")
-        links = links.join(copies, "row", "left_anti").union(equal)
+    equal = lines.filter(F.size("keys") > 0).groupBy("text_sha256").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("documents")).filter("documents > 1")
+    equal = equal.select("text_sha256", F.col("first.row").alias("first"))
+    equal = stored(lines.select("row", "text_sha256").join(equal, "text_sha256").filter("row != first").select("row", "first"), "line-copies")
+    copies = equal.select("row")
+    links = links.join(copies, "row", "left_anti").union(equal)
     links = stored(links, "line-links")
     blocks = _align(links, lines, min_words)
-    if retry:
-        blocks = _retried(lines, links, blocks, copies, min_words)
+    blocks = _retried(lines, links, blocks, copies, min_words, filters)
     out = lines.select("row", "id", "text_key", "text_sha256", F.size("lines").alias("n_lines")).join(blocks, "row", "left")
     return out.select("row", F.col("id").alias(id_col), "text_key", "text_sha256", F.col("n_lines").cast("bigint").alias("n_lines"), F.coalesce("blocks", F.array().cast(_BLOCKS)).alias("blocks"))
 
@@ -239,10 +255,10 @@ def _deleted(line: Column) -> Column:
 
 
 def delete_lines(documents: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, kept) for rows of ``repeated_lines``: the text without its deleted lines."""
-    keyed = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("body"))
-    keyed = keyed.filter(passes(bit_filter(found, "text_key"), F.col("_key")))
-    texts = keyed.join(found, keyed["_id"].eqNullSafe(found[id_col]) & (keyed["_key"] == found["text_key"]))
+    """(row, kept) for stored rows of ``repeated_lines``: the text without its deleted lines."""
+    keyed = documents.select(F.col(quoted(id_col)).alias("_id"), text_key(text_col).alias("_key"), F.col(quoted(text_col)).alias("body"))
+    keyed = keyed.filter(passes(bit_filter(found.select(F.xxhash64("text_key").alias("k")), "k"), F.xxhash64("_key")))
+    texts = keyed.join(found, keyed["_id"].eqNullSafe(found[id_col]) & (keyed["_key"] == found["text_key"])).dropDuplicates(["row"])
     kept = F.array_join(F.filter(F.split("body", "\n", -1), lambda _, i: ~_deleted(i)), "\n")
     return texts.select("row", kept.alias("kept"))
 
@@ -250,8 +266,8 @@ def delete_lines(documents: DataFrame, found: DataFrame, *, id_col: str = "doc_i
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n_deleted = F.size(F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("n_lines")), _deleted)).cast("bigint")
-    found = repeated_lines(documents, retry=True).withColumn("n_deleted", F.when(F.size("blocks") > 0, n_deleted).otherwise(F.lit(0).cast("bigint")))
+    found = repeated_lines(documents).withColumn("n_deleted", F.when(F.size("blocks") > 0, n_deleted).otherwise(F.lit(0).cast("bigint")))
     found = stored(found, "repeated-lines")
     changed = delete_lines(documents, found.filter("n_deleted > 0"))
-    changed = changed.select("row", F.sha2("kept", 256).alias("sha")).groupBy("row").agg(F.min("sha").alias("sha"))
+    changed = changed.select("row", F.sha2("kept", 256).alias("sha"))
     return found.join(changed, "row", "left").select("doc_id", "n_lines", "n_deleted", F.coalesce("sha", "text_sha256").alias("kept_sha256"))

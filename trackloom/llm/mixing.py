@@ -7,10 +7,11 @@ its budget ends: whole epochs first, then the head of one more, to the word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.prefix import group_key, hash_key, with_running_sum
+from trackloom.llm.prefix import group_key, hash_key, running_totals, with_running_sum
+from trackloom.llm.rows import quoted, restored, whole_row
 from trackloom.llm.store import stored
 
 MAX_EPOCHS = 3
@@ -22,17 +23,35 @@ def source_targets(sizes: DataFrame, *, cycle: int = 3, max_epochs: int = MAX_EP
     Sources in order of skey weigh 1 .. cycle, repeating, and share the sum of
     all sizes. A target stops at max_epochs times its source's size; what is
     over goes to the others by weight, until none is above. Sorted by limit per
-    weight, the sources that stop are a head of the list, so one pass finds the
-    common level of the rest.
+    weight, the sources that stop are a head of the list, so running totals over
+    that order find the common level of the rest. Only the level is collected.
     """
-    every = Window.partitionBy(F.lit(0))
-    by_need = every.orderBy("need", "skey")
-    s = sizes.withColumn("weight", (F.row_number().over(every.orderBy("skey")) - 1) % cycle + 1)
-    s = s.withColumn("cap", F.col("source_size") * max_epochs).withColumn("need", F.col("cap") / F.col("weight"))
-    s = s.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(by_need.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    s = s.withColumn("level", F.col("left") / F.sum("weight").over(by_need.rowsBetween(0, Window.unboundedFollowing)))
-    s = s.withColumn("level", F.first(F.when(F.col("level") <= F.col("need"), F.col("level")), ignorenulls=True).over(by_need.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return s.select("skey", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
+    s = running_totals(sizes.withColumn("one", F.lit(1).cast("bigint")), ["skey"], {"rank": "one"}).drop("one")
+    s = s.withColumn("weight", F.col("rank") % cycle + 1).withColumn("cap", F.col("source_size") * max_epochs)
+    s = s.withColumn("need", F.col("cap") / F.col("weight")).drop("rank")
+    s = stored(running_totals(s, ["need", "skey"], {"cap_before": "cap", "weight_before": "weight"}), "source-needs")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(whole["size"]) - F.col("cap_before")) / (F.lit(whole["weight"]) - F.col("weight_before"))
+    first = s.select("need", "skey", level.alias("level")).filter("level <= need").agg(F.min(F.struct("need", "skey", "level")).alias("f")).first()["f"]
+    target = F.least(F.col("cap").cast("double"), F.lit(first["level"] if first else None).cast("double") * F.col("weight"))
+    return s.select("skey", "source_size", target.alias("target"))
+
+
+def _sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """Keys and size of each row: skey, hkey, text_key, size."""
+    body = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    size = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    return [group_key(source_col).alias("skey"), hash_key(id_col).alias("hkey"), F.md5(body).alias("text_key"), size.alias("size")]
+
+
+def _taken(rows: DataFrame, ties: list[str], cycle: int, max_epochs: int) -> DataFrame:
+    """Adds source_size, target and taken to stored rows with the columns of ``_sized``."""
+    targets = source_targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), cycle=cycle, max_epochs=max_epochs)
+    mix = with_running_sum(rows, "skey", "hkey", "size", ties, per_group=targets)
+    mix = mix.withColumn("budget", F.floor(F.col("target") + 0.5))
+    mix = mix.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
+    head = F.least(F.greatest(F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
+    return mix.withColumn("taken", F.col("epochs") * F.col("size") + head)
 
 
 def mix_sources(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -45,32 +64,25 @@ def mix_sources(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     share one key and are ordered by size and text; a null source is a source of
     its own, the last. Columns other than the named ones are ignored.
     """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    sized = stored(
-        documents.select(F.col(id_col).alias("id"), group_key(source_col).alias("skey"), hash_key(id_col).alias("hkey"), F.md5(body).alias("text_key"), F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size")),
-        "sized",
-    )
-    targets = source_targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), cycle=cycle, max_epochs=max_epochs)
-    rows = with_running_sum(sized, "skey", "hkey", "size", ["size", "text_key"]).join(targets, "skey")
-    rows = rows.withColumn("budget", F.floor(F.col("target") + 0.5))
-    rows = rows.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
-    head = F.least(F.greatest(F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
-    return rows.select(F.col("id").alias(id_col), "text_key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + head).alias("taken"))
+    sized = documents.select(F.col(quoted(id_col)).alias("id"), *_sized(id_col, text_col, source_col))
+    mix = _taken(stored(sized, "sized"), ["size", "text_key"], cycle, max_epochs)
+    return mix.select(F.col("id").alias(id_col), "text_key", "size", "source_size", "target", "taken")
 
 
-def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: int = 3, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix as documents: each row as often as it is taken, with all its columns.
 
     The document in which a budget ends is taken whole if half of it or more is
     due. Documents without words take no part in the budgets and stay once. Rows
-    with equal id and text share their copies evenly, rounded.
+    with equal id and text follow each other in order of their other columns'
+    hash. A table of any column names will do, as rows are carried whole; pass a
+    stored table, as it is read several times.
     """
-    mix = mix_sources(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    copies = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5).cast("double"))
-    mix = mix.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_text")).agg(F.floor(F.avg(copies) + 0.5).cast("int").alias("_times"))
-    marked = documents.withColumn("_text_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(mix.filter("_times > 0"), marked[id_col].eqNullSafe(mix["_id"]) & (marked["_text_key"] == mix["_text"]))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*[documents[c] for c in documents.columns])
+    rows = documents.select(whole_row(documents).alias("carried"), *_sized(id_col, text_col, source_col), F.xxhash64(*[quoted(c) for c in documents.columns]).alias("tie"))
+    mix = _taken(rows, ["size", "text_key", "tie"], cycle, max_epochs)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    taken = mix.select("carried", copies.alias("copies")).filter("copies > 0")
+    return restored(taken.select("carried", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,35 +1,62 @@
-"""Running sums over rows in hash order inside groups of any size."""
+"""Running sums over rows in hash order inside groups of any size, and over all rows in order of a key."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm.rows import quoted
+from trackloom.llm.store import stored
+
 
 def group_key(column: str) -> Column:
     """A text that is never null; its byte order is the column's code point order with null last."""
-    value = F.col(column).cast("string")
+    value = F.col(quoted(column)).cast("string")
     return F.concat(F.when(value.isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(value, F.lit("")))
 
 
 def hash_key(column: str) -> Column:
     """Hash of the column as text: 32 hexadecimal digits."""
-    return F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    return F.md5(F.coalesce(F.col(quoted(column)).cast("string"), F.lit("")))
 
 
-def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str], out: str = "before") -> DataFrame:
+def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str], out: str = "before", per_group: DataFrame | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come earlier in order of (key, *ties).
 
-    ``key`` is hexadecimal text, evenly spread. A group of n rows is range-split
-    into about sqrt(n) buckets of about sqrt(n) rows; bucket sums are added up
-    first, then each bucket on its own, so no task holds a whole group. ``df``
-    is read three times: pass a stored table. Null groups are not allowed.
+    ``key`` is hexadecimal text, evenly spread. With n rows in all, every group
+    is range-split by key into about sqrt(n) buckets. Sums of buckets are added
+    up first, then the rows of each bucket on their own: a task holds sqrt(n)
+    bucket sums of a group or n_group / sqrt(n) rows of a bucket, never a group.
+    Rows meet their bucket's sum under (group, bucket), so a large group is
+    spread as its buckets are. per_group: further columns of each group, added
+    to the bucket sums, thus never joined with the rows of a group under one key.
+    ``df`` is read three times: pass a stored table or a cheap view of one. Null
+    groups are not allowed; ``df`` has no columns of the names used here.
     """
-    sizes = df.groupBy(group).agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_buckets"))
+    buckets = max(1, math.isqrt(df.count()))
     at = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
-    rows = df.join(sizes, group).withColumn("_bucket", F.shiftright(at * F.col("_buckets"), 32)).drop("_buckets")
+    rows = df.withColumn("_bucket", F.shiftright(at * buckets, 32))
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(group, "_bucket").agg(F.sum(value).alias("_sum")).select(group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    if per_group is not None:
+        starts = starts.join(per_group, group)
     inside = Window.partitionBy(group, "_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.join(starts, [group, "_bucket"]).withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return summed.drop("_bucket", "_start")
+
+
+def running_totals(df: DataFrame, keys: list[str], totals: dict[str, str]) -> DataFrame:
+    """Adds each ``out`` of totals (out -> column): the column's sum over all rows that come earlier in order of ``keys``.
+
+    Rows are range-partitioned and summed by partition; only those sums, one row
+    for each shuffle partition, are added up in one task.
+    """
+    parts = stored(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ordered")
+    sums = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in totals.items()])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_part", *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_from_{out}") for out in totals])
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    added = parts.join(F.broadcast(sums), "_part").withColumns({out: F.col(f"_from_{out}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for out, c in totals.items()})
+    return added.drop("_part", *[f"_from_{out}" for out in totals])

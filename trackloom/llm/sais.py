@@ -2,20 +2,17 @@
 
 Suffixes are classified as smaller or larger than their right neighbour; the
 leftmost smaller ones (LMS) are sorted through the names of their substrings,
-recursively, and all others follow from them in two passes over the buckets. A
-pass handles the entries of a bucket together, so it takes a few array
-operations for each byte value. Strings of many distinct names, as they arise
-below the first level, are sorted by doubling ranks instead, where such passes
-would be one short array after the other.
+recursively, and all others follow from them in two passes over the buckets. For
+the few symbols of the first level a pass handles the entries of a bucket
+together, in a few array operations for each symbol. Below it there are many
+names and most buckets are short, so the same pass goes entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from trackloom.llm import text as tx
-
-SMALL_ALPHABET = 1024
+FEW_SYMBOLS = 1024  # up to which a pass goes bucket by bucket
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -46,6 +43,38 @@ def _append(sa, ptr, symbols, entries, step):
 
 def _induce(s, smaller, sa_lms, bucket_start, bucket_end, alphabet):
     """The order of all suffixes from a sequence of LMS positions."""
+    by_bucket = alphabet <= FEW_SYMBOLS
+    return (_induce_buckets if by_bucket else _induce_entries)(s, smaller, sa_lms, bucket_start, bucket_end, alphabet)
+
+
+def _induce_entries(s, smaller, sa_lms, bucket_start, bucket_end, alphabet):
+    """``_induce`` entry by entry: larger suffixes from the left, smaller ones from the right."""
+    symbols, is_smaller, sa = s.tolist(), smaller.tolist(), [0] * len(s)
+    back = bucket_end.tolist()
+    for p in reversed(sa_lms.tolist()):
+        c = symbols[p]
+        back[c] -= 1
+        sa[back[c]] = p
+    front = bucket_start.tolist()
+    for i in range(len(sa)):
+        p = sa[i] - 1
+        if p >= 0 and not is_smaller[p]:
+            c = symbols[p]
+            sa[front[c]] = p
+            front[c] += 1
+    back = bucket_end.tolist()
+    for i in range(len(sa) - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and is_smaller[p]:
+            c = symbols[p]
+            back[c] -= 1
+            sa[back[c]] = p
+    sa[0] = len(s) - 1
+    return np.array(sa, dtype=np.int32)
+
+
+def _induce_buckets(s, smaller, sa_lms, bucket_start, bucket_end, alphabet):
+    """``_induce`` bucket by bucket."""
     sa = np.full(len(s), -1, dtype=np.int32)
     symbols = s[sa_lms]
     order = np.argsort(symbols, kind="stable")  # LMS at the ends of their buckets
@@ -86,35 +115,21 @@ def _induce(s, smaller, sa_lms, bucket_start, bucket_end, alphabet):
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of names; a shorter suffix comes before its extensions."""
-    n = len(names)
-    rank = names.astype(np.int64) + 1
-    open_ = np.arange(n)
-    sa = np.argsort(rank, kind="stable")
-    sorted_rank = rank[sa]
-    head = np.concatenate([[True], sorted_rank[1:] != sorted_rank[:-1]])
-    place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, dtype=np.int64)
-    rank[sa] = place
-    h = 1
-    while True:
-        single = head & np.concatenate([head[1:], [True]])
-        open_ = np.flatnonzero(~single)  # places in sa that are not settled
-        if not len(open_):
-            return sa
-        at = sa[open_]
-        group = rank[at]
-        follow = at + h
-        second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
-        order = np.argsort(group * np.int64(n + 1) + second, kind="stable")
-        at, group, second = at[order], group[order], second[order]
-        sa[open_] = at
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-        head[open_] = fresh
-        place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank[at] = place[open_]
-        h *= 2
+def _repeats(s: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each substring equals the one before it in the list, symbol by symbol."""
+    equal = np.zeros(len(starts), dtype=bool)
+    open_ = np.flatnonzero(lengths[1:] == lengths[:-1]) + 1
+    done = 0
+    while len(open_) > 16:
+        open_ = open_[s[starts[open_] + done] == s[starts[open_ - 1] + done]]
+        done += 1
+        ended = lengths[open_] == done
+        equal[open_[ended]] = True
+        open_ = open_[~ended]
+    for i in open_:  # few, maybe long ones
+        x, y, n = starts[i], starts[i - 1], lengths[i]
+        equal[i] = np.array_equal(s[x + done : x + n], s[y + done : y + n])
+    return equal
 
 
 def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
@@ -132,10 +147,9 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
     # names: LMS substrings up to and with the next LMS position, equal ones share a name
-    ends = np.empty(n, dtype=np.int64)
-    ends[lms] = np.append(lms[1:] + 1, n)
-    key = tx.span_hash(tx.prefix_hash(s, tx.mix(np.arange(alphabet, dtype=np.uint64) + np.uint64(7))), ordered, ends[ordered])
-    name_of = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    lengths = np.zeros(n, dtype=np.int64)
+    lengths[lms] = np.append(lms[1:] + 1, n) - lms
+    name_of = np.cumsum(~_repeats(s, ordered, lengths[ordered])) - 1
     names = np.empty(n, dtype=np.int64)
     names[ordered] = name_of
     reduced = names[lms]
@@ -143,10 +157,8 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     if kinds == len(lms):
         lms_order = np.empty(len(lms), dtype=np.int64)
         lms_order[reduced] = np.arange(len(lms))
-    elif kinds <= SMALL_ALPHABET:
-        lms_order = suffix_array(reduced, kinds)
     else:
-        lms_order = _by_doubling(reduced)
+        lms_order = suffix_array(reduced, kinds)
     return _induce(s, smaller, lms[lms_order], bucket_start, bucket_end, alphabet)
 
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+PYTHON_ROWS = 1024  # rows that go to Python at a time while a table is stored
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -31,7 +35,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = PYTHON_ROWS) -> Iterator[None]:
+    """Inside, at most ``rows`` rows at a time go to Python, so that long texts don't fill a worker's memory; then the session is as before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, name: str, *, batch_rows: int = PYTHON_ROWS) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it from there.
 
     It cuts the lineage: what follows survives lost executors without running
@@ -39,12 +56,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark, batch_rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Hand at most ``rows`` rows at a time to Python in this session, so that long texts don't fill a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)

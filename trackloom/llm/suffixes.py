@@ -10,8 +10,14 @@ go to shards by anchor. A shard sorts the suffixes of its contexts by induced
 sorting and reads the groups of equal windows off the permuted common prefixes;
 the first window of each group stays, all others are removed.
 
-An anchor that occurs so often that its contexts could outgrow a shard is taken
-apart by the hash of each window instead.
+An anchor whose contexts could outgrow a shard (a common line between many
+different neighbours) is split: each of its contexts is cut again by longer
+grams, and the pieces go to shards by these. Of a longer gram that is still too
+common every window goes on alone; equal ones are folded by their bytes, which
+leaves one of each. So no shard holds much more than ``shard_bytes``.
+
+Folding tells contexts of one anchor apart by a 62-bit hash; bytes are compared
+in the shards.
 """
 
 from __future__ import annotations
@@ -27,27 +33,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, hash_ranges, passes
 from trackloom.llm.sais import common_prefixes, suffix_array
-from trackloom.llm.store import small_batches, stored
+from trackloom.llm.store import stored
 
 GRAM = 32  # bytes of an anchor
 SHARD_BYTES = 400_000  # of contexts in a shard, about
-HOT = 1 << 17  # occurrences from which on an anchor is taken apart
+HOT = 1 << 17  # occurrences from which on an anchor's contexts are folded in several tasks
 FILTER_LOG2 = 25  # bits of the filter of anchors: 4 MB for each of two levels
 PACKED = 1 << 16  # occurrences that a task folds and packs at a time
 _SEGMENT = 1 << 23
 _RUNS = "array<struct<first:int,last:int>>"
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor occurrences of a chunk of texts: (anchor hash, context hash, first and last window start), starts within the chunk."""
-    gram = min(GRAM, length)
+    gram = min(gram, length)
     width = length - gram + 1
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     sums = tx.prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    hash_ = tx.span_hash(sums, at, at + gram)
+    hash_ = tx.window_hash(sums, gram)
     size = np.diff(offsets)
     usable = np.arange(n) + length <= np.repeat(offsets[1:], size)[:n]
     first, last, where = [], [], []
@@ -140,7 +145,7 @@ def _filled(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _fold(log2, shard_bytes, length, schema):
-    """applyInArrow body: a part -> documents as they are; runs of windows that stay (no shard) and contexts to compare (with a shard; -1 if hot)."""
+    """applyInArrow body: a part -> documents as they are; runs of windows that stay (no shard) and contexts to compare (with a shard; -1 if the anchor has to be split)."""
     ranges = 1 << log2
 
     def run(table: pa.Table) -> pa.Table:
@@ -155,9 +160,11 @@ def _fold(log2, shard_bytes, length, schema):
             shard = np.full(len(anchor), -1)
             alone = np.zeros(len(anchor), dtype=bool)
         else:
-            size = (flat["last"].to_numpy().astype(np.int64) - flat["first"].to_numpy() + length)[many].sum()
-            shards = max(1, -(-int(size) // shard_bytes))
+            size = flat["last"].to_numpy().astype(np.int64) - flat["first"].to_numpy() + length
+            of_anchor = np.repeat(np.add.reduceat(size, heads), np.diff(np.append(heads, len(anchor)))) if len(anchor) else size
+            shards = max(1, -(-int(size[many].sum()) // shard_bytes))
             shard = part * (1 << 20) + (tx.mix(anchor.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            shard[of_anchor > shard_bytes] = -1
             alone = ~many  # nothing to compare with: all windows stay
         n = len(anchor)
         columns = {"part": pa.array(np.full(n, part, np.int32)), "row": flat["row"], "id": flat["id"], "first": flat["first"], "last": flat["last"], "shard": pa.array(shard, mask=alone)}
@@ -229,23 +236,49 @@ def _shard(length):
     return run
 
 
-def _windows(batches, length):
-    """mapInArrow body: (shard, row, id, first, body) -> two hashes and the start of each window."""
+def _pieces(batches, length, gram):
+    """mapInArrow body: (row, id, first, body) -> the pieces of each context by anchors of ``gram`` bytes: anchor, row, id, first, body."""
     for batch in batches:
-        bodies = batch.column(4)
-        high, low, owner, start = [], [], [], []
-        for at, data, offsets in tx.text_chunks(bodies):
-            sums, again = tx.prefix_hash(data), tx.prefix_hash(data, tx.mix(tx.BYTE_CODE))
-            for i in range(len(offsets) - 1):
-                w = np.arange(offsets[i], offsets[i + 1] - length + 1)
-                high.append(tx.span_hash(sums, w, w + length))
-                low.append(tx.span_hash(again, w, w + length))
-                owner.append(np.full(len(w), at + i))
-                start.append(w - offsets[i])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        at = pa.array(join(owner))
-        first = batch.column(3).take(at).to_numpy().astype(np.int64) + join(start)
-        yield pa.RecordBatch.from_arrays([pa.array(join(high).view(np.int64)), pa.array(join(low).view(np.int64)), batch.column(1).take(at), batch.column(2).take(at), pa.array(first.astype(np.int32))], names=["high", "low", "row", "id", "first"])
+        found, owner, first, bodies = [], [], [], []
+        for at, data, offsets in tx.text_chunks(batch.column(3)):
+            anchor, _, lo, hi = anchors(data, offsets, length, gram)
+            mine = np.searchsorted(offsets, lo, side="right") - 1
+            found.append(anchor)
+            owner.append(mine + at)
+            first.append(lo - offsets[mine])
+            bodies.extend(data[i : j + length].tobytes() for i, j in zip(lo, hi, strict=True))
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        at = pa.array(join(owner, np.int64))
+        start = batch.column(2).take(at).to_numpy().astype(np.int64) + join(first, np.int64)
+        columns = [pa.array(join(found, np.uint64).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(bodies, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "row", "id", "first", "body"])
+
+
+def _single(batches, length):
+    """mapInArrow body: (row, id, first, body) -> every window by itself."""
+    for batch in batches:
+        owner, first, bodies = [], [], []
+        for i, (start, body) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            for w in range(len(body) - length + 1):
+                owner.append(i)
+                first.append(start + w)
+                bodies.append(body[w : w + length])
+        at = pa.array(owner, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(bodies, pa.binary())], names=["row", "id", "first", "body"])
+
+
+def _split_anchors(contexts: DataFrame, kind: str, length: int, shard_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """For contexts (row, id, first, body) of anchors that are too common: (pieces with their shard, runs of windows that stay)."""
+    pieces = contexts.mapInArrow(lambda it: _pieces(it, length, (GRAM + length) // 2), f"anchor bigint, row bigint, id {kind}, first int, body binary")
+    pieces = stored(pieces, "pieces")
+    sizes = pieces.groupBy("anchor").agg(F.sum(F.octet_length("body").cast("bigint")).alias("bytes"))
+    common = stored(sizes.filter(F.col("bytes") > shard_bytes).select("anchor"), "common-pieces")
+    shards = max(1, -(-(pieces.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0) // shard_bytes))
+    rest = pieces.join(common, "anchor", "left_anti").withColumn("shard", -1 - F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    alone = pieces.join(common, "anchor", "left_semi").select("row", "id", "first", "body").mapInArrow(lambda it: _single(it, length), f"row bigint, id {kind}, first int, body binary")
+    place = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "first")).alias("f")
+    once = alone.groupBy("body").agg(place).select("f.row", "f.first", F.col("f.first").alias("last"))
+    return rest.select("shard", "row", "id", "first", "body"), once
 
 
 def _spans(batches, length):
@@ -280,7 +313,6 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     stays. Columns other than the named ones are ignored.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("body"))
     id_type = keyed.schema["id"].dataType
@@ -295,6 +327,7 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.sha2(body, 256).alias("text_sha256"), F.col(text_col).alias("body"))
     scanned = source.mapInArrow(lambda it: _scan(it, length, filters, log2, scan_schema), f"{doc}, {packed}")
     folded = stored(scanned.groupBy("part").applyInArrow(_fold(log2, shard_bytes, length, fold_schema), result), "folded")
+    filters.destroy()
     docs = folded.filter("n_bytes IS NOT NULL").select("row", "id", "text_key", "text_sha256", "n_bytes", "runs")
     alone = folded.filter("first IS NOT NULL AND shard IS NULL").select("row", "first", "last")
     compared = folded.filter("shard IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("shard", "first", "last")).alias("wanted"))
@@ -302,14 +335,14 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     texts = keyed.filter(passes(bit_filter(wanted, "_key"), F.col("text_key")))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"]))
     bodies = texts.select("row", "id", "body", "wanted").mapInArrow(lambda it: _contexts(it, length), f"shard bigint, row bigint, id {kind}, first int, body binary")
-    any_hot = wanted.filter(F.exists("wanted", lambda w: w["shard"] < 0)).limit(1).count() > 0
-    if any_hot:
+    any_common = wanted.filter(F.exists("wanted", lambda w: w["shard"] < 0)).limit(1).count() > 0
+    sorted_ = "row bigint, first int, last int"
+    if any_common:
         bodies = stored(bodies, "bodies")
-    kept = bodies.filter("shard >= 0").groupBy("shard").applyInArrow(_shard(length), "row bigint, first int, last int")
-    if any_hot:
-        windows = bodies.filter("shard < 0").mapInArrow(lambda it: _windows(it, length), f"high bigint, low bigint, row bigint, id {kind}, first int")
-        windows = windows.groupBy("high", "low").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "first")).alias("f"))
-        kept = kept.union(windows.select("f.row", "f.first", F.col("f.first").alias("last")))
+        pieces, once = _split_anchors(bodies.filter("shard < 0").select("row", "id", "first", "body"), kind, length, shard_bytes)
+        bodies = bodies.filter("shard >= 0").union(pieces)
+        alone = alone.union(once)
+    kept = bodies.groupBy("shard").applyInArrow(_shard(length), sorted_)
     kept = kept.union(alone).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("kept"))
     parts = docs.filter(F.size("runs") > 0).select("row", "n_bytes", "runs").join(kept, "row", "left").withColumn("kept", F.coalesce("kept", F.array().cast(_RUNS)))
     spans = stored(parts.mapInArrow(lambda it: _spans(it, length), "row bigint, spans array<struct<start:bigint,end:bigint>>").filter(F.size("spans") > 0), "spans")

@@ -15,8 +15,11 @@ CHUNK_BYTES = 1 << 18  # texts are handled in chunks of about this size, long on
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
-_BASE = 0xD1342543DE82EF95
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_P = _U((1 << 31) - 1)
+#: Spans are hashed by two polynomials modulo the prime 2**31 - 1. (Modulo a
+#: power of two, texts like the Thue-Morse word collide for every base.)
+_BASES = (1207559927, 1753049123)
+_INVERSES = tuple(pow(b, -1, int(_P)) for b in _BASES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,17 +46,32 @@ ALNUM = np.zeros(256, dtype=bool)
 for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     ALNUM[_lo:_hi] = True
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, up to one multiple of it."""
+    x = (x & _P) + (x >> _U(31))
+    return (x & _P) + (x >> _U(31))
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1."""
+    x = _fold(x)
+    return np.where(x >= _P, x - _P, x)
+
+
 _powers = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
+    """base**0 .. base**(n-1) modulo 2**31 - 1, up to one multiple of it."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
-        have = np.full(size, base, dtype=_U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
+        have = np.ones(size, dtype=_U)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            have[done : done + more] = _fold(have[:more] * _U(pow(base, done, int(_P))))
+            done += more
         if size <= 4 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
@@ -97,28 +115,49 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
-    """Sums of code[byte] * base**position, with which ``span_hash`` works."""
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(code[data] * powers(_BASE, len(data)), out=sums[1:])
+def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> tuple[np.ndarray, ...]:
+    """For each polynomial the sums of code[byte] * base**position, with which ``span_hash`` works."""
+    return prefix_sums(code & _P, data), prefix_sums(code >> _U(33), data, 1)
+
+
+def prefix_sums(code: np.ndarray, at: np.ndarray | None, which: int = 0) -> np.ndarray:
+    """Sums of code[at] * base**position for one polynomial; codes have 31 bits at most."""
+    values = code if at is None else code[at]
+    term = values * powers(_BASES[which], len(values))
+    sums = np.zeros(len(values) + 1, dtype=_U)
+    np.cumsum((term & _P) + (term >> _U(31)), out=sums[1:])
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same wherever it stands."""
-    inverse = powers(_BASE_INV, len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U) * _U(_ODD))
+def sequence_hash(values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """As ``prefix_hash`` for a sequence of well-mixed 64-bit values (lines of a text)."""
+    return prefix_sums(values & _P, None), prefix_sums(values >> _U(33), None, 1)
+
+
+def _spans(first: np.ndarray, last: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    return _residue(_fold(last - first) * inverse)
+
+
+def span_hash(sums: tuple[np.ndarray, ...], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span (62 bits, spread over 64), the same wherever it stands."""
+    low, high = (_spans(s[starts], s[ends], powers(i, len(s))[starts]) for s, i in zip(sums, _INVERSES, strict=True))
+    return mix((low | (high << _U(31))) + (ends - starts).astype(_U) * _U(_ODD))
+
+
+def window_hash(sums: tuple[np.ndarray, ...], width: int) -> np.ndarray:
+    """``span_hash`` of every span of ``width`` bytes, in order of their starts."""
+    n = max(len(sums[0]) - width, 0)
+    low, high = (_spans(s[:n], s[width:], powers(i, n)) for s, i in zip(sums, _INVERSES, strict=True))
+    return mix((low | (high << _U(31))) + _U(width * _ODD % (1 << 64)))
 
 
 def gram_hash(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of words[i] .. words[i+k-1] for each i that has them."""
+    """Hash of words[i] .. words[i+k-1] for each i that has them, folded in word by word."""
     n = max(len(words) - k + 1, 0)
-    total = np.zeros(n, dtype=_U)
-    factor = 1
+    out = np.full(n, k, dtype=_U)
     for j in range(k):
-        factor = factor * _BASE % (1 << 64)
-        total += words[j : j + n] * _U(factor)
-    return mix(total)
+        out = mix(out * _U(_ODD) + words[j : j + n])
+    return out
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:

@@ -13,44 +13,92 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
+import re
 import uuid
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from trackloom.llm.bits import bit_filter, passes
-from trackloom.llm.store import new_path, small_batches, stored
+from trackloom.llm.rows import quoted
+from trackloom.llm.store import new_path, stored
 
 DATE = "1970-01-01T00:00:00Z"  # of records whose table has no date
+SHARD_BYTES = 16 << 20  # payload bytes of a shard, about
+WRITE_ROWS = 64  # records that a task has in Python at a time
 _BINS = 4096
 
 
-def _record(page: str, url: str, payload: bytes, digest: str, refers: str | None, date: str) -> bytes:
-    """One WARC record; a revisit has the headers of its payload but not the payload."""
+_PLAIN = re.compile(r"[^\x00-\x20\x7f](?:[^\x00-\x1f\x7f]*[^\x00-\x20\x7f])?")
+
+
+def header_value(text: str) -> tuple[str, bool]:
+    """(value for a header line, whether it is escaped): a text that cannot stand in a line as it is gets percent escapes.
+
+    Control characters would end the line or be lost, and so would blanks at the
+    ends. An escaped text has its percent signs escaped too, so it comes back
+    as it was; ``plain_value`` undoes it.
+    """
+    if not text or _PLAIN.fullmatch(text):
+        return text, False
+    return re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", text), True
+
+
+def plain_value(value: str, escaped: bool) -> str:
+    return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value) if escaped else value
+
+
+def _headers(page: str, url: str, length: int, digest: str, refers: str | None, date: str) -> tuple[list[str], bytes]:
+    """The lines of a record's header before those of its block, and the head of the block."""
+    target, escaped = header_value(url)
     name = lambda key: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
-    body = b"" if refers is not None else payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
         f"WARC-Record-ID: {name(page)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {target}",
         f"X-Page-ID: {page}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {length}",
         f"WARC-Payload-Digest: sha1:{digest}",
     ]
+    if escaped:
+        lines.append("X-Target-Escaped: percent")
     if refers is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers)}", f"X-Refers-To-Page: {refers}"]
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + body
-    lines += [f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return lines, b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
+
+
+def _record(page: str, url: str, payload: bytes, digest: str, refers: str | None, date: str) -> list[bytes]:
+    """One WARC record in pieces; a revisit has the headers of its payload but not the payload."""
+    lines, head = _headers(page, url, len(payload), digest, refers, date)
+    body = b"" if refers is not None else payload
+    block = hashlib.sha1(head)
+    block.update(body)
+    lines += [f"WARC-Block-Digest: sha1:{base64.b32encode(block.digest()).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(head) + len(body)}"]
+    return ["\r\n".join(lines).encode() + b"\r\n\r\n" + head, body, b"\r\n\r\n"]
+
+
+class _Counted:
+    """A stream that counts the bytes and their CRC on the way to another."""
+
+    def __init__(self, out):
+        self.out, self.size, self.crc = out, 0, 0
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.size += len(data)
+        self.crc = zlib.crc32(data, self.crc)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
 
 
 def _place(root: str) -> tuple[fs.FileSystem, str]:
@@ -63,29 +111,26 @@ def _write(batches, root, file_bytes, level, date):
     context = TaskContext.get()
     temporary = f"{base}/_temporary/{context.partitionId()}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
     system.create_dir(temporary, recursive=True)
-    done, shard, number, out, size, records, crc = [], None, 0, None, 0, 0, 0
+    done, shard, number, out, records = [], None, 0, None, 0
 
     def close():
         nonlocal out
         if out is not None:
-            out.close()
-            done.append((f"shard-{shard:06d}-{number:05d}.warc.gz", f"{temporary}/shard-{shard:06d}-{number:05d}.warc.gz", records, size, crc))
+            out.out.close()
+            done.append((f"shard-{shard:06d}-{number:05d}.warc.gz", f"{temporary}/shard-{shard:06d}-{number:05d}.warc.gz", records, out.size, out.crc))
             out = None
 
     for batch in batches:
-        for row in batch.to_pylist():
-            if out is None or row["shard"] != shard or size >= file_bytes:
+        for row in (r for lo in range(0, batch.num_rows, WRITE_ROWS) for r in batch.slice(lo, WRITE_ROWS).to_pylist()):
+            if out is None or row["shard"] != shard or out.size >= file_bytes:
                 close()
                 number = number + 1 if row["shard"] == shard else 0
-                shard, size, records, crc = row["shard"], 0, 0, 0
-                out = system.open_output_stream(f"{temporary}/shard-{shard:06d}-{number:05d}.warc.gz", compression=None)
-            record = _record(row["page"], row["url"] or "", row["payload"], row["digest"], row["refers"], date)
-            buffer = io.BytesIO()
-            with gzip.GzipFile(fileobj=buffer, mode="wb", compresslevel=level, mtime=0, filename="") as member:
-                member.write(record)
-            data = buffer.getvalue()
-            out.write(data)
-            size, records, crc = size + len(data), records + 1, zlib.crc32(data, crc)
+                shard, records = row["shard"], 0
+                out = _Counted(system.open_output_stream(f"{temporary}/shard-{shard:06d}-{number:05d}.warc.gz", compression=None))
+            with gzip.GzipFile(fileobj=out, mode="wb", compresslevel=level, mtime=0, filename="") as member:
+                for piece in _record(row["page"], row["url"] or "", row["payload"], row["digest"], row["refers"], date):
+                    member.write(piece)
+            records += 1
     close()
     columns = list(zip(*done, strict=True)) or [[], [], [], [], []]
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -130,24 +175,37 @@ def range_bounds(ids: DataFrame, shards: int) -> np.ndarray:
 def shard_by_range(column: Column, bounds: np.ndarray) -> Column:
     """Number of the range of an id; nulls are in the first."""
 
-    @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.fillna(bounds[0] if len(bounds) else 0).to_numpy(np.int64)).astype(np.int32))
+    @F.arrow_udf("int")
+    def find(ids: pa.Array) -> pa.Array:
+        least = int(bounds[0]) if len(bounds) else 0
+        return pa.array(np.searchsorted(bounds, ids.fill_null(least).to_numpy()).astype(np.int32))
 
     return find(column)
 
 
-def write_warc(pages: DataFrame, root: str, *, shards: int, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = 64 << 20, level: int = 6, date: str = DATE) -> DataFrame:
+def shard_count(pages: DataFrame, html_col: str = "html", shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for all payloads of the table at about ``shard_bytes`` each."""
+    total = pages.agg(F.sum(F.octet_length(F.col(quoted(html_col))).cast("bigint"))).first()[0] or 0
+    return max(1, -(-total // shard_bytes))
+
+
+def write_warc(pages: DataFrame, root: str, *, shards: int | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = 0, file_bytes: int = 64 << 20, level: int = 6, date: str = DATE) -> DataFrame:
     """Write one record per page below the URI ``root`` and return the manifest: file, records, bytes, crc32.
 
     Of pages with equal payloads of at least min_revisit_bytes, the one with the
     smallest id is a response and the others are revisits of it. A null html is
-    an empty payload, a null url an empty target. Ids are whole numbers; pages
-    with a null id are always responses of page "null", and rows that repeat an
-    id are revisits of the same page only if an id is smaller. Other columns are
-    ignored.
+    an empty payload, a null url an empty target; a url with control characters
+    is escaped in the header and comes back as it was. Ids are whole numbers (a
+    column of another type is an error); pages with a null id are always
+    responses of page "null", and rows that repeat an id are revisits of the same
+    page only if an id is smaller. Other columns are ignored. Shards are ranges
+    of ids with equal counts, as many as the payloads' bytes ask for unless
+    ``shards`` is given, each in a task of its own.
     """
-    small_batches(pages.sparkSession)
+    if not isinstance(pages.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is not a column of whole numbers")
+    shards = shards or shard_count(pages, html_col)
+    id_col, url_col, html_col = quoted(id_col), quoted(url_col), quoted(html_col)
     body = F.coalesce(F.col(html_col), F.lit(""))
     payloads = pages.select(F.col(id_col).cast("bigint").alias("page"), F.sha1(F.encode(body, "UTF-8")).alias("sha1"), F.octet_length(body).alias("size"))
     first = payloads.filter(F.col("size") >= min_revisit_bytes).groupBy("sha1").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha1", "first")
@@ -162,7 +220,7 @@ def write_warc(pages: DataFrame, root: str, *, shards: int, id_col: str = "page_
     digest = _base32(F.unhex("sha1"))
     records = joined.select(shard_by_range(F.col("page"), bounds).alias("shard"), F.col("page").alias("id"), F.coalesce(F.col("page").cast("string"), F.lit("null")).alias("page"), "url", "payload", digest.alias("digest"), refers.cast("string").alias("refers"))
     # a shard is one range; the sort keeps its records in order of id, ties by digest
-    records = records.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "url").drop("id")
+    records = records.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "url").drop("id")
     schema = "file string, temporary string, records bigint, bytes bigint, crc32 bigint"
     manifest = stored(records.mapInArrow(lambda it: _write(it, root, file_bytes, level, date), schema), "warc-files")
     committed = manifest.repartition(max(1, min(shards, 64)), "file").mapInArrow(lambda it: _commit(it, root), schema)
@@ -171,9 +229,9 @@ def write_warc(pages: DataFrame, root: str, *, shards: int, id_col: str = "page_
 
 
 def _base32(raw: Column) -> Column:
-    @F.pandas_udf("string")
-    def code(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: base64.b32encode(x).decode())
+    @F.arrow_udf("string")
+    def code(values: pa.Array) -> pa.Array:
+        return pa.array([base64.b32encode(x).decode() for x in values.to_pylist()], pa.string())
 
     return code(raw)
 
@@ -191,8 +249,8 @@ def _read(batches, root, whole):
                 while line := stream.readline():
                     headers = {}
                     while (line := stream.readline()) not in (b"\r\n", b""):
-                        key, _, value = line.decode().partition(":")
-                        headers[key] = value.strip()
+                        key, _, value = line.decode().removesuffix("\r\n").partition(": ")
+                        headers[key] = value
                     block = stream.read(int(headers["Content-Length"]))
                     if base64.b32encode(hashlib.sha1(block).digest()).decode() != headers["WARC-Block-Digest"][5:]:
                         raise ValueError(f"damaged block in {entry['file']}")
@@ -200,7 +258,8 @@ def _read(batches, root, whole):
                     payload = block.partition(b"\r\n\r\n")[2]
                     if headers["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != headers["WARC-Payload-Digest"][5:]:
                         raise ValueError(f"damaged payload in {entry['file']}")
-                    rows.append((headers["X-Page-ID"], headers["WARC-Target-URI"], headers["WARC-Type"], headers["WARC-Payload-Digest"][5:], headers.get("X-Refers-To-Page"), payload if whole else None, int(headers["X-Payload-Length"])))
+                    url = plain_value(headers["WARC-Target-URI"], "X-Target-Escaped" in headers)
+                    rows.append((headers["X-Page-ID"], url, headers["WARC-Type"], headers["WARC-Payload-Digest"][5:], headers.get("X-Refers-To-Page"), payload if whole else None, int(headers["X-Payload-Length"])))
                     if len(rows) >= 256:
                         yield _table(rows)
                         entry["records"] -= len(rows)
@@ -225,7 +284,6 @@ def read_warc(spark: SparkSession, root: str, *, payloads: bool = True) -> DataF
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_path(spark, "warc")
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), root, shards=shards, file_bytes=16 << 20)
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), root, file_bytes=2 << 20)
     back = read_warc(spark, root, payloads=False)
     return back.select(F.expr("try_cast(page AS bigint)").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers").cast("bigint").alias("refers_to"))
