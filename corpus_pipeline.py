@@ -7,7 +7,6 @@ again. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackloom.llm import decontam, jaccard, mixing, quality, sharding
 from trackloom.llm.store import stored
@@ -22,7 +21,7 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that a classifier learned from ``labels`` scores below THRESHOLD."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_documents(docs, model).filter(F.col("_score") >= THRESHOLD).drop("_score")
+    return quality.good_documents(docs, model, THRESHOLD)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
