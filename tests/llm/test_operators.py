@@ -248,26 +248,14 @@ def test_line_dedup(spark):
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 3, 8, 25]))) for _ in range(40)]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
     texts += [texts[0], texts[1] + "\n", None, "", "\n\n"]
-    got = {r.doc_id: (r.n_lines, sorted(set(range(r.n_lines)) & {i for b in r.blocks for i in range(b.start, b.end)})) for r in lines.repeated_lines(documents(spark, texts)).collect()}
-    first = {}
+    found = lines.repeated_lines(documents(spark, texts))
+    got = {r.doc_id: (r.n_lines, sorted({i for b in r.blocks for i in range(b.start, b.end)})) for r in found.collect()}
     parts = [t.split("\n") if t else [] for t in texts]
     for d, own in enumerate(parts):
         count = [len(x.split()) for x in own]
-        keys = set()
-        for i in range(len(own)):
-            for j in range(i + 1, len(own) + 1):
-                if sum(count[i:j]) >= 20:
-                    keys.add(tuple(own[i:j]))
-                    break
-            for j in range(i, -1, -1):
-                if sum(count[j : i + 1]) >= 20:
-                    keys.add(tuple(own[j : i + 1]))
-                    break
-        gone = {i for p in {first[k] for k in keys if k in first} for lo, hi in lines.common_blocks(parts[p], own, count, 20) for i in range(lo, hi)}
-        for k in keys:
-            first.setdefault(k, d)
+        gone = {i for p in parts[:d] for lo, hi in lines.common_blocks(p, own, count, 20) for i in range(lo, hi)}
         assert got[d] == (len(own), sorted(gone)), d
-    kept = lines.delete_lines(documents(spark, texts), lines.repeated_lines(documents(spark, texts)))
+    kept = lines.delete_lines(documents(spark, texts), found)
     assert kept.filter("kept = ''").count() >= 1
 
 
@@ -278,15 +266,13 @@ def test_line_dedup_tries_all_partners(spark):
     pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 8, 25]))) for _ in range(12)]
     texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(60)]
     texts += [*texts[:20], None, ""]
-    found = lines.repeated_lines(documents(spark, texts), retry=True).collect()
+    found = lines.repeated_lines(documents(spark, texts)).collect()
     got = {r.doc_id: sorted({i for b in r.blocks for i in range(b.start, b.end)}) for r in found}
     parts = [t.split("\n") if t else [] for t in texts]
     for d, own in enumerate(parts):
         count = [len(x.split()) for x in own]
         assert got[d] == sorted({i for p in parts[:d] for lo, hi in lines.common_blocks(p, own, count, 20) for i in range(lo, hi)}), d
     assert got[2] == [1]
-    once = {r.doc_id: r.blocks for r in lines.repeated_lines(documents(spark, texts)).collect()}
-    assert once[2] == []
 
 
 def test_patience_aligns_equal_lines_in_order():

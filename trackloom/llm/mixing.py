@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.prefix import group_key, hash_key, running_totals, with_running_sum
+from trackloom.llm.prefix import group_key, hash_key, in_buckets, running_sums, running_totals
 from trackloom.llm.rows import quoted, restored, whole_row
 from trackloom.llm.store import stored
 
@@ -46,8 +46,9 @@ def _sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
 
 def _taken(rows: DataFrame, ties: list[str], cycle: int, max_epochs: int) -> DataFrame:
     """Adds source_size, target and taken to stored rows with the columns of ``_sized``."""
-    targets = source_targets(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), cycle=cycle, max_epochs=max_epochs)
-    mix = with_running_sum(rows, "skey", "hkey", "size", ties, per_group=targets)
+    rows, sums = in_buckets(rows, "skey", "hkey", "size")
+    targets = source_targets(sums.groupBy("skey").agg(F.sum("_sum").alias("source_size")), cycle=cycle, max_epochs=max_epochs)
+    mix = running_sums(rows, sums, "skey", "hkey", "size", ties, "before", per_group=targets)
     mix = mix.withColumn("budget", F.floor(F.col("target") + 0.5))
     mix = mix.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     head = F.least(F.greatest(F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))

@@ -22,24 +22,30 @@ def hash_key(column: str) -> Column:
     return F.md5(F.coalesce(F.col(quoted(column)).cast("string"), F.lit("")))
 
 
-def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str], out: str = "before", per_group: DataFrame | None = None) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the group that come earlier in order of (key, *ties).
+def in_buckets(df: DataFrame, group: str, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_bucket``, stored sums): the sum of ``value`` for each (group, _bucket), as ``_sum``.
 
     ``key`` is hexadecimal text, evenly spread. With n rows in all, every group
-    is range-split by key into about sqrt(n) buckets. Sums of buckets are added
-    up first, then the rows of each bucket on their own: a task holds sqrt(n)
-    bucket sums of a group or n_group / sqrt(n) rows of a bucket, never a group.
-    Rows meet their bucket's sum under (group, bucket), so a large group is
-    spread as its buckets are. per_group: further columns of each group, added
-    to the bucket sums, thus never joined with the rows of a group under one key.
-    ``df`` is read three times: pass a stored table or a cheap view of one. Null
-    groups are not allowed; ``df`` has no columns of the names used here.
+    is range-split by key into about sqrt(n) buckets, so a task later holds
+    sqrt(n) bucket sums of a group or n_group / sqrt(n) rows of a bucket, never a
+    group.
     """
     buckets = max(1, math.isqrt(df.count()))
     at = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
     rows = df.withColumn("_bucket", F.shiftright(at * buckets, 32))
+    return rows, stored(rows.groupBy(group, "_bucket").agg(F.sum(value).alias("_sum")), "bucket-sums")
+
+
+def running_sums(rows: DataFrame, sums: DataFrame, group: str, key: str, value: str, ties: list[str], out: str, per_group: DataFrame | None = None) -> DataFrame:
+    """Adds ``out`` to the rows of ``in_buckets``: the sum of ``value`` over the rows of the group that come earlier in order of (key, *ties).
+
+    Sums of buckets are added up first, then the rows of each bucket on their
+    own. Rows meet their bucket's sum under (group, bucket), so a large group is
+    spread as its buckets are. per_group: further columns of each group, added to
+    the bucket sums, thus never joined with all rows of a group under one key.
+    """
     earlier = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(group, "_bucket").agg(F.sum(value).alias("_sum")).select(group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    starts = sums.select(group, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
     if per_group is not None:
         starts = starts.join(per_group, group)
     inside = Window.partitionBy(group, "_bucket").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
@@ -47,6 +53,15 @@ def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list
     return summed.drop("_bucket", "_start")
 
 
+def with_running_sum(df: DataFrame, group: str, key: str, value: str, ties: list[str], out: str = "before") -> DataFrame:
+    """``running_sums`` over a stored table, or a cheap view of one, as it is read twice.
+
+    Null groups are not allowed; ``df`` has no columns of the names used here.
+    """
+    rows, sums = in_buckets(df, group, key, value)
+    return running_sums(rows, sums, group, key, value, ties, out)
+
+
 def running_totals(df: DataFrame, keys: list[str], totals: dict[str, str]) -> DataFrame:
     """Adds each ``out`` of totals (out -> column): the column's sum over all rows that come earlier in order of ``keys``.
 
