@@ -164,3 +164,32 @@ def test_local_regression_reproduces_a_parabola(spark):
     df = spark.createDataFrame([("g", float(i), 2.0 * i * i - i + 3) for i in range(12)], "g string, x double, y double")
     for r in smooth.local_quadratic(df, "x", "y", ["g"]).collect():
         assert r.smooth == pytest.approx(2 * r.x * r.x - r.x + 3)
+
+
+def test_quantiles_equal_percentile(spark, monkeypatch):
+    from trackloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 100)
+    df = spark.range(30_000).selectExpr("id % 3 AS g", "CASE WHEN id % 5 = 0 THEN 7.0D WHEN id % 97 = 0 THEN NULL ELSE pmod(xxhash64(id), 100000) / 7.0D END AS v")
+    df = df.union(spark.range(40).selectExpr("9L", "CAST(id AS DOUBLE)")).union(spark.range(2).selectExpr("10L", "CAST(NULL AS DOUBLE)"))
+    wanted = {"a": ("v", 0.75), "b": ("v", 0.9999), "c": ("v", 0.0), "d": ("v", 1.0), "e": ("v", 0.5)}
+    got = quantiles.group_quantiles(df, "g", wanted)
+    want = df.groupBy("g").agg(*[F.percentile(c, q).alias(n) for n, (c, q) in wanted.items()])
+    pairs = zip(sorted(map(tuple, got.select(want.columns).collect())), sorted(map(tuple, want.collect())), strict=True)
+    assert all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-12) for a, b in pairs)
+
+
+def test_rows_are_numbered_in_order(spark):
+    from trackloom.operators.numbering import numbered
+
+    got = numbered(spark.range(500).selectExpr("(id * 7919) % 500 AS k").repartition(6), ["k"]).collect()
+    assert sorted((r.k, r.n) for r in got) == [(i, i) for i in range(500)]
+
+
+def test_a_join_that_would_multiply_rows_is_refused(spark):
+    from trackloom.operators.ids import DuplicateRows
+
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string"), spark.createDataFrame([(1, 5), (1, 6)], "k int, y int")
+    with pytest.raises(DuplicateRows):
+        joins.join_once(left, right, ["k"])
+    assert joins.join_once(left, right.limit(1), ["k"]).count() == 1

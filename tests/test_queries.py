@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from trackloom import catalog
+from trackloom import catalog, catalog_sources  # noqa: F401
 from trackloom.operators import classify
 
 SF = "/root/testdata/sf0.001"
@@ -56,11 +56,13 @@ def test_invariants(spark):
     predicted = catalog.rf_predict(spark, SF)
     assert predicted.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     errors = catalog.rf_error_by_trees(spark, SF).toPandas()
-    assert errors["error"].between(0, 1).all() and set(errors["trees"]) == set(range(1, 21))
+    assert errors["error"].between(0, 1).all() and set(errors["trees"]) == set(range(1, 101))
     found = catalog.kmeans_best_of_n(spark, SF).toPandas()
-    centres = found.groupby("cluster2")[[f"f{i}" for i in range(8)]].mean()
+    names = [c for c in found.columns if c not in ("track_id", "label", "cluster2")]
+    assert len(names) == 64
+    centres = found.groupby("cluster2")[names].mean()
     for r in found.itertuples():
-        d = ((centres.to_numpy() - [getattr(r, f"f{i}") for i in range(8)]) ** 2).sum(1)
+        d = ((centres.to_numpy() - [getattr(r, c) for c in names]) ** 2).sum(1)
         assert centres.index[d.argmin()] == r.cluster2 or d.min() == pytest.approx(d[list(centres.index).index(r.cluster2)], rel=0.2)
 
 

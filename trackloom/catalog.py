@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.functions.columns import at_most_is_contact, below_is_contact, dead_flag
-from trackloom.operators import classify, composition, death, embed, features, filters, ids, joins, normalize, qc, series, similarity, smooth, spatial
+from trackloom.operators import classify, composition, death, embed, features, filters, ids, joins, kmeans, normalize, qc, series, similarity, smooth, spatial
 from trackloom.plans import organoid, tcell
 from trackloom.plans import surrogates as s
 from trackloom.sources.measurements import with_stats_folders
@@ -242,14 +242,14 @@ def first_row_per_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATS = [("speed", 0), ("displacement", 1), ("red_lym", 2)]
 
 
-@query(RAW + ", " + ", ".join(f"t{i} AS (SELECT stat_folder, basename, time, raw_id, number, {c} FROM raw WHERE (number + time) % 11 <> {i})" for c, i in _STATS)
+@query(RAW + ", " + ", ".join(f"t{i} AS (SELECT stat_folder, basename, time, raw_id, number, {c} FROM raw)" for c, i in _STATS)
        + " SELECT stat_folder, t0.basename, t0.time, t0.raw_id, t0.number, " + _r("speed", "displacement", "red_lym") + " FROM t0 "
        + " ".join(f"JOIN (SELECT stat_folder AS f{i}, time AS m{i}, raw_id AS r{i}, number AS n{i}, {c} FROM t{i}) ON f{i} = stat_folder AND m{i} = time AND r{i} IS NOT DISTINCT FROM raw_id AND n{i} = number" for c, i in _STATS[1:]))
 def natural_join_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of the same observation joined, null ids included."""
     raw = _raw(spark, sf_dir)
     keys = ["stat_folder", "basename", "time", "raw_id", "number"]
-    return rounded(joins.natural_join([raw.filter((F.col("number") + F.col("time")) % 11 != i).select(*keys, c) for c, i in _STATS], keys))
+    return rounded(joins.natural_join([raw.select(*keys, c) for c, _ in _STATS], keys))
 
 
 _META = [("E0", "folder0/E0_Statistics", 6.0), ("E1", None, 5.0), ("E2", "folder2/E2_Statistics", 4.0), ("E9", None, 3.0)]
@@ -368,7 +368,7 @@ _PROCESSED_COLUMNS = ["track_id", "time", "time2", *_KEYS, "contact", "death", "
 
 def _processed(spark: SparkSession, sf_dir: str):
     carried = [*_KEYS, "organoid_contact_threshold", "tcell_dead_dye_threshold"]
-    return tcell.processed_tracks(_observed(spark, sf_dir), _STEP, carried, check=False)
+    return tcell.processed_tracks(_observed(spark, sf_dir), _STEP, carried)
 
 
 @query(PROCESSED + f"SELECT track_id, time, time2, {', '.join(_KEYS)}, contact, death, contact2, {_r(*_M, 'meanspeed')} FROM processed")
@@ -512,12 +512,12 @@ def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(composition.class_profile(rows))
 
 
-@query(CLASSED + ", lists AS (SELECT 'E' || exp_nr AS basename, cluster2, string_agg(track_id, ',' ORDER BY track_id) AS ids FROM classed WHERE CAST(track_id AS BIGINT) % 7 <> 0 GROUP BY ALL), grid AS (SELECT * FROM (SELECT DISTINCT 'E' || exp_nr AS basename FROM classed WHERE CAST(track_id AS BIGINT) % 7 <> 0), (SELECT DISTINCT cluster2 FROM classed WHERE CAST(track_id AS BIGINT) % 7 <> 0)) SELECT basename, cluster2, coalesce(ids, '') AS ids FROM grid LEFT JOIN lists USING (basename, cluster2)")
+@query(CLASSED + ", lists AS (SELECT 'E' || exp_nr AS basename, cluster2, string_agg(track_id, ',' ORDER BY track_id) AS ids FROM classed GROUP BY ALL), grid AS (SELECT * FROM (SELECT DISTINCT 'E' || exp_nr AS basename FROM classed), (SELECT DISTINCT cluster2 FROM classed)) SELECT basename, cluster2, coalesce(ids, '') AS ids FROM grid LEFT JOIN lists USING (basename, cluster2)")
 def backprojection_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each class per experiment, empty classes included."""
     tracks = _classed(spark, sf_dir)
     originals = tracks.select(F.concat(F.lit("E"), F.col("exp_nr").cast("string")).alias("basename"), "track_id", F.col("track_id").alias("original_track_id"))
-    lists = composition.ids_per_class(tracks.filter(F.col("track_id").cast("bigint") % 7 != 0), originals, "basename")
+    lists = composition.ids_per_class(tracks, originals, "basename")
     return lists.select("basename", "cluster2", F.array_join("ids", ",").alias("ids"))
 
 
@@ -544,26 +544,54 @@ def train_valid_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.select("track_id", "time", F.lit("train").alias("part")).union(test.select("track_id", "time", F.lit("test")))
 
 
-_DTW = ["speed", "displacement", "red_lym"]
+_DTW = _NORMAL_COLUMNS
+
+_COST = "sqrt(" + " + ".join(f"(p[{{i}}][{c}] - y[{c}]) * (p[{{i}}][{c}] - y[{c}])" for c in range(1, len(_DTW) + 1)) + ")"
+#: Row after row of the warping table of each pair; p and q are the points of its tracks, d the row so far.
+WARPED = "RECURSIVE " + _normal_sql(*normalize.CLUSTER).strip() + f""",
+points_ AS (SELECT track_id, list([{', '.join(_DTW)}] ORDER BY time) AS p FROM normal GROUP BY 1),
+both_ AS (SELECT a.track_id AS src, b.track_id AS dst, a.p AS p, b.p AS q FROM points_ a JOIN points_ b ON a.track_id < b.track_id),
+dp AS (SELECT src, dst, p, q, 1 AS i, list_reduce(list_transform(q, lambda y: [{_COST.format(i=1)}]), lambda acc, x: list_append(acc, acc[-1] + x[1])) AS d FROM both_
+  UNION ALL SELECT src, dst, p, q, i + 1, list_reduce(list_concat([[d[1] + c[1]]], list_transform(range(2, len(q) + 1), lambda j: [c[j], d[j], d[j - 1]])), lambda acc, x: list_append(acc, least(x[2] + x[1], acc[-1] + x[1], x[3] + 2 * x[1])))
+  FROM (SELECT *, list_transform(q, lambda y: {_COST.format(i='i + 1')}) AS c FROM dp WHERE i < len(p))),
+warped AS (SELECT src, dst, d[-1] AS dist FROM dp WHERE i = len(p))"""
+
+
+def _nearest_sql(k: int) -> str:
+    return f""", nearest AS (SELECT * FROM (SELECT src, row_number() OVER (PARTITION BY src ORDER BY dist, src <> dst, dst) AS rank, dst, dist FROM
+(SELECT * FROM warped UNION ALL SELECT dst, src, dist FROM warped UNION ALL SELECT track_id, track_id, 0.0 FROM points_ WHERE (SELECT count(*) FROM points_) > 1)) WHERE rank <= {k})"""
+
+
+#: Widths by bisection, as many steps as the operator takes at most.
+FUZZY = WARPED + _nearest_sql(15) + """,
+lists_ AS (SELECT src, list(dist ORDER BY dist, dst) AS d, list(dst ORDER BY dist, dst) AS t FROM nearest WHERE src <> dst GROUP BY 1),
+start_ AS (SELECT *, coalesce(list_min(list_filter(d, lambda x: x > 0)), 0) AS rho, log2(greatest(len(d), 2)) AS target FROM lists_),
+widths AS (SELECT src, d, t, rho, target, CAST(0 AS DOUBLE) AS lo, CAST('inf' AS DOUBLE) AS hi, CAST(1 AS DOUBLE) AS sigma, 0 AS step FROM start_
+  UNION ALL SELECT src, d, t, rho, target, CASE WHEN total > target THEN lo ELSE sigma END, CASE WHEN total > target THEN sigma ELSE hi END,
+    CASE WHEN total > target THEN (lo + sigma) / 2 WHEN isinf(hi) THEN sigma * 2 ELSE (sigma + hi) / 2 END, step + 1
+  FROM (SELECT *, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / sigma))) AS total FROM widths WHERE step < 64) WHERE abs(total - target) >= 1e-9),
+settled AS (SELECT * FROM widths QUALIFY row_number() OVER (PARTITION BY src ORDER BY step DESC) = 1),
+one_way AS (SELECT src, unnest(t) AS dst, unnest(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / greatest(sigma, 1e-12)))) AS w FROM settled),
+two_way AS (SELECT src, dst, sum(w) AS s, count(*) AS c, min(w) AS a, max(w) AS b FROM (SELECT * FROM one_way UNION ALL SELECT dst, src, w FROM one_way) GROUP BY 1, 2)"""
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.track_series(_cut(spark, sf_dir), _DTW)
+    return similarity.track_series(_normal(spark, sf_dir, normalize.CLUSTER), _DTW)
 
 
-@query()
+@query(WARPED + f" SELECT src, dst, {_r('dist')} FROM warped")
 def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warping distances of all pairs of tracks."""
     return rounded(similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW)))
 
 
-@query()
+@query(WARPED + _nearest_sql(10) + f" SELECT src, CAST(rank AS INTEGER) AS rank, dst, {_r('dist')} FROM nearest")
 def dtw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest tracks by warping distance."""
     return rounded(similarity.nearest_tracks(similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW)), 10))
 
 
-@query()
+@query(FUZZY + f" SELECT src, dst, {_r('CASE WHEN c > 1 THEN s - a * b ELSE s END AS weight')} FROM two_way")
 def fuzzy_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: symmetric membership weights."""
     return rounded(embed.fuzzy_graph(similarity.nearest_tracks(similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW)), 15)))
@@ -571,7 +599,7 @@ def fuzzy_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW))
-    return embed.layout(embed.fuzzy_graph(similarity.nearest_tracks(edges, 15)), epochs=10)
+    return embed.layout(embed.fuzzy_graph(similarity.nearest_tracks(edges, 15)))
 
 
 @query()
@@ -583,16 +611,14 @@ def umap_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def behaviour_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q6, M5: layout and clusters."""
-    return embed.best_kmeans(_layout(spark, sf_dir), 6, ["v1", "v2"], starts=5)
-
-
-_KMEANS_DIMS = [f"f{i}" for i in range(8)]  # as the invariants of the tests have it; the forests take all
+    return kmeans.best_kmeans(_layout(spark, sf_dir), 6, ["v1", "v2"])
 
 
 @query()
 def kmeans_best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M5: the best of several k-means runs."""
-    return embed.best_kmeans(s.vectors(spark, sf_dir, len(_KMEANS_DIMS)), 10, _KMEANS_DIMS, starts=5)
+    vectors = s.vectors(spark, sf_dir)
+    return kmeans.best_kmeans(vectors, 10, _components(vectors))
 
 
 def _components(vectors: DataFrame) -> list[str]:
@@ -622,7 +648,7 @@ def rf_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rf_error_by_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out error against the number of trees."""
-    model, _, test = _forest(spark, sf_dir, trees=20)  # as the invariants of the tests have it
+    model, _, test = _forest(spark, sf_dir)
     return classify.error_by_trees(model, test, "label")
 
 

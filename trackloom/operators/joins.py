@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.ids import require_unique
+
 
 def natural_join(tables: list[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where null equals null; other columns must have different names."""
@@ -29,6 +31,16 @@ def with_metadata(observations: DataFrame, metadata: DataFrame, keys: list[str])
     return natural_join([observations, metadata], keys, "left")
 
 
+def join_once(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``natural_join`` with a right side that has each key once; DuplicateRows if it has not, as rows of the left would multiply."""
+    return natural_join([left, require_unique(right, keys)], keys, how)
+
+
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    """All rows of all tables; columns that a table lacks are null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def complete_grid(df: DataFrame, group: list[str], time: str, track: str) -> DataFrame:
     """Every time of a group for every track of it; rows that were missing have nulls."""
     times, tracks = df.select(*group, time).distinct(), df.select(*group, track).distinct()

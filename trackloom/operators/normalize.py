@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.columns import ratio, rescale, z_score
+from trackloom.operators.quantiles import group_quantiles
 from trackloom.sources.tables import checkpointed
 
 #: (upper end of the range, near-maximum quantile) with a trained model and for clustering.
@@ -19,7 +20,8 @@ MODEL, CLUSTER, SMALL_SAMPLE = (100.0, 0.9999), (1.0, 0.9999999), (1.0, 0.95)
 def gated(df: DataFrame, columns: dict[str, str], settings: tuple[float, float], per: str = "exp_nr") -> DataFrame:
     """For each column -> name: the z-score where it is above its upper quartile, else its minimum, rescaled to 0..upper and divided by its near-maximum quantile."""
     upper, near_max = settings
-    first = df.groupBy(per).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max), ("q", lambda x: F.percentile(x, 0.75)))])
+    first = df.groupBy(per).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    first = first.join(group_quantiles(df, per, {f"_q_{c}": (c, 0.75) for c in columns}), per)
     out = df.join(first, per)
     scaled = {}
     for c, name in columns.items():
@@ -28,18 +30,21 @@ def gated(df: DataFrame, columns: dict[str, str], settings: tuple[float, float],
         high = F.when(F.col(f"_max_{c}") > F.col(f"_q_{c}"), z(f"_max_{c}")).otherwise(low)
         scaled[name] = rescale(F.when(F.col(c) > F.col(f"_q_{c}"), z(c)).otherwise(low), low, high, (0.0, upper))
     out = out.withColumns(scaled)
-    second = out.groupBy(per).agg(*[F.percentile(n, near_max).alias(f"_top_{n}") for n in columns.values()])
+    second = group_quantiles(out, per, {f"_top_{n}": (n, near_max) for n in columns.values()})
     drop = [x for x in first.columns if x != per] + [f"_top_{n}" for n in columns.values()]
     return out.join(second, per).withColumns({n: ratio(n, f"_top_{n}") for n in columns.values()}).drop(*drop)
 
 
 def rescaled(df: DataFrame, columns: dict[str, str], to: tuple[float, float], per: str | None = None) -> DataFrame:
     """Columns rescaled between their smallest and largest values, per group or over all rows."""
-    keyed = df.withColumn("_all", F.lit(1)) if per is None else df
-    key = per or "_all"
-    ends = keyed.groupBy(key).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
-    out = keyed.join(ends, key).withColumns({n: rescale(c, f"_min_{c}", f"_max_{c}", to) for c, n in columns.items()})
-    return out.drop("_all", *[x for x in ends.columns if x != key])
+    ends = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]
+    if per is None:  # one row of ends, as literals
+        row = df.agg(*ends).first()
+        out = df.withColumns({f"_{n}_{c}": F.lit(row[f"_{n}_{c}"]) for c in columns for n in ("min", "max")})
+    else:
+        out = df.join(df.groupBy(per).agg(*ends), per)
+    scaled = out.withColumns({n: rescale(c, f"_min_{c}", f"_max_{c}", to) for c, n in columns.items()})
+    return scaled.drop(*[f"_{n}_{c}" for c in columns for n in ("min", "max")])
 
 
 def normalized(df: DataFrame, settings: tuple[float, float], per: str = "exp_nr") -> DataFrame:
@@ -54,5 +59,5 @@ def normalized(df: DataFrame, settings: tuple[float, float], per: str = "exp_nr"
 def active_contact(df: DataFrame, per: str = "exp_nr") -> DataFrame:
     """contact_lym set to 0 while touching an organoid, and where the mean speed is below its upper quartile of the experiment."""
     masked = df.withColumn("contact_lym", F.when(F.col("contact") == 1, F.lit(0.0)).otherwise(F.col("contact_lym").cast("double")))
-    quartile = masked.groupBy(per).agg(F.percentile("meanspeed", 0.75).alias("_quartile"))
+    quartile = group_quantiles(masked, per, {"_quartile": ("meanspeed", 0.75)})
     return masked.join(quartile, per).withColumn("contact_lym", F.when(F.col("meanspeed") < F.col("_quartile"), F.lit(0.0)).otherwise(F.col("contact_lym"))).drop("_quartile")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def save(df: DataFrame, path: str, *, partition_by: list[str] | None = None) -> None:
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
@@ -41,12 +43,20 @@ def write_id_lists(lists: DataFrame, path: str, experiment: str) -> None:
     lists.write.mode("overwrite").partitionBy(experiment).json(path)
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """URI of ``spark.checkpoint.dir``, which all executors share; unset on a local master, a temporary folder."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not configured and context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="trackloom-")
+    return (configured or _LOCAL[context.applicationId]).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in ``spark.checkpoint.dir``; unset on a local master, a temporary folder."""
+    """Cut the lineage by a reliable checkpoint below ``checkpoint_root``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured and context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="trackloom-"))
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
