@@ -21,7 +21,8 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that a classifier learned from ``labels`` scores below THRESHOLD."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.good_documents(docs, model, THRESHOLD)
+    # stored here, so that Python gets few whole texts at a time
+    return stored(quality.good_documents(docs, model, THRESHOLD), "good-documents")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
