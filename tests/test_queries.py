@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from trackloom import catalog, catalog_sources  # noqa: F401
+from trackloom import catalog, catalog_models, catalog_sources  # noqa: F401
 from trackloom.operators import classify
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +76,16 @@ def test_forest_takes_all_components(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_forest_has_the_trees_of_the_reference(spark):
     assert len(classify.forest_of(catalog._forest(spark, SF)[0]).trees) == 100
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_shares_of_predicted_classes(spark, monkeypatch):
+    tracks = catalog._classed(spark, SF).toPandas()
+    classes = spark.createDataFrame([(r.track_id, i % 2 + 1) for i, r in enumerate(tracks.itertuples())], "track_id string, cluster2 int")
+    monkeypatch.setattr(catalog_models, "_map_classes", lambda spark, sf_dir: classes)
+    found = catalog_models.predicted_shares(spark, SF).toPandas()
+    wells = found.groupby(catalog._KEYS, dropna=False)
+    assert set(found["cluster2"]) <= {"1", "2"} and wells["percentage"].sum().round(3).eq(100).all()
+    assert (wells["num_cluster"].sum() == wells["total_cell"].first()).all() and wells["total_cell"].first().sum() == len(tracks)
+    profile = catalog_models.behaviour_profile(spark, SF).toPandas()
+    assert set(profile["cluster2"]) == {1, 2} and profile["value"].between(0, 100).all()
