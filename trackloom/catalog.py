@@ -14,6 +14,7 @@ from trackloom.operators import classify, composition, death, embed, features, f
 from trackloom.plans import organoid, tcell
 from trackloom.plans import surrogates as s
 from trackloom.sources.measurements import with_stats_folders
+from trackloom.sources.tables import session_table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -598,8 +599,13 @@ def fuzzy_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW))
-    return embed.layout(embed.fuzzy_graph(similarity.nearest_tracks(edges, 15)))
+    """Laid out once in a session; the map, its classes and the forests refer to one layout."""
+
+    def build() -> DataFrame:
+        edges = similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW))
+        return embed.layout(embed.fuzzy_graph(similarity.nearest_tracks(edges, 15)))
+
+    return session_table(spark, "layout-of-tracks", sf_dir, build)
 
 
 @query()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +62,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet below ``checkpoint_root`` and read it from there: it cuts the lineage as a checkpoint does, and Spark learns the table's size."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def session_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of one application derive from ``source``: built and saved by the first, reused by the others."""
+    key = hashlib.sha256(source.encode()).hexdigest()[:16]
+    return reused(spark, f"{checkpoint_root(spark)}/{name}-{spark.sparkContext.applicationId}-{key}", build)
