@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, lines, mixing, oracles, quality, sharding, suffixes, urls, warc
+from trackloom.llm import ann, decontam, jaccard, lines, mixing, oracles, quality, sharding, suffixes, urls, warc, whiten
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": urls.op8_url_rules,
     "op9_additive_ann": ann.op9_additive_ann,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
+    "op11_whitening": whiten.op11_whitening,
 }
 SQL = {
     "op1_winnowing": decontam.OP1_SQL,
