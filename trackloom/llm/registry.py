@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm import ann, decontam, jaccard, lines, mixing, oracles, periodic, quality, sharding, suffixes, urls, warc, whiten
+from trackloom.llm import ann, decontam, jaccard, lines, lm, mixing, oracles, periodic, quality, sharding, suffixes, urls, warc, whiten
 
 QUERIES = {
     "op1_winnowing": decontam.op1_winnowing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_additive_ann": ann.op9_additive_ann,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
     "op11_whitening": whiten.op11_whitening,
+    "op12_trie_lm": lm.op12_trie_lm,
     "op13_periodic": periodic.op13_periodic,
 }
 SQL = {
