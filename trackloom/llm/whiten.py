@@ -156,7 +156,9 @@ def leading_eigenvectors(apply, dim: int, wanted: int, *, block: int = BLOCK, de
         top = max(value[0], np.finfo(float).tiny)
         worst = np.linalg.norm(w[:, :wanted] - q[:, :wanted] * value[:wanted], axis=0).max() / top
         if worst <= CERTIFIED and (worst <= 1e-15 or worst > before / 2):
-            return value[:wanted], q[:, :wanted]
+            found = q[:, :wanted]
+            largest = found[np.argmax(np.abs(found), axis=0), np.arange(wanted)]
+            return value[:wanted], found * np.where(largest < 0, -1.0, 1.0)  # one of both signs, so that reruns agree
         before = worst
         half = max(value[-1], 1e-6 * top) / 2  # centre and half width of what is damped
         scale = half / (top - half)
