@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,45 @@ def test_dtw(spark):
     assert near.filter("rank = 1 and src != dst").count() == 0 and near.count() == 30
 
 
+@pytest.mark.parametrize("k", [1, 3, 6])
+def test_nearest_by_bounds_equals_all_pairs(spark, k):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(6, 2)) * 8
+    tracks = {f"t{i:03}": np.cumsum(rng.normal(size=(rng.integers(1, 15), 2)), axis=0) * 0.3 + centres[i % 6] for i in range(90)}
+    tracks |= {"copy1": tracks["t000"], "copy2": tracks["t000"], "far": np.full((4, 2), 1e6)}
+    data = [(t, i, float(x), float(y)) for t, v in tracks.items() for i, (x, y) in enumerate(v)]
+    series = similarity.track_series(spark.createDataFrame(data, "track_id string, time int, x double, y double"), ["x", "y"])
+    got, work = similarity.nearest_by_bounds(series, 2, k, block_tracks=10)
+    want = similarity.nearest_tracks(similarity.dtw_pairs(series, 2, blocks=2), k)
+    plain = lambda df: sorted((r.src, r.rank, r.dst, round(r.dist, 6)) for r in df.collect())
+    assert plain(got) == plain(want) and got.count() == len(tracks) * k
+    done = work.first()
+    assert done.pairs == len(tracks) * (len(tracks) - 1) // 2 and done.full < 0.5 * done.pairs
+
+
+def test_bounds_are_below_distances():
+    rng = np.random.default_rng(7)
+    tracks = [np.cumsum(rng.normal(size=(n, 3)), axis=0) for n in (1, 2, 3, 9, 9, 14)]
+    table = pa.table({"track_id": list("abcdef"), "length": [len(t) for t in tracks], "series": [t.ravel() for t in tracks]})
+    t = similarity.Tracks(table, 3)
+    i, j = (x.ravel() for x in np.indices((6, 6)))
+    dist = similarity.distances(t, i, j)
+    assert dist == pytest.approx([_dtw_plain(tracks[a], tracks[b]) for a, b in zip(i, j, strict=True)])
+    assert (similarity.box_bounds(t, i, j) <= dist + 1e-9).all()
+    for share in (0.3, 0.7, 1.0):
+        t.bound = np.full(6, np.quantile(dist, share))
+        within, full = similarity.distances_within(t, i, j)
+        near = dist <= t.bound[0]
+        assert within[near] == pytest.approx(dist[near]) and full == np.isfinite(within).sum() <= 36
+
+
+def test_one_track_and_none(spark):
+    one = spark.createDataFrame([("a", 2, [1.0, 2.0]), ("b", 0, [])], "track_id string, length int, series array<double>")
+    assert [tuple(r) for r in similarity.nearest_by_bounds(one, 1, 3)[0].collect()] == [("a", 1, "a", 0.0)]
+    assert similarity.dtw_pairs(one, 1).count() == 0
+    assert similarity.nearest_by_bounds(one.limit(0), 1, 3)[0].count() == 0
+
+
 def test_local_regression_reproduces_a_parabola(spark):
     df = spark.createDataFrame([("g", float(i), 2.0 * i * i - i + 3) for i in range(12)], "g string, x double, y double")
     for r in smooth.local_quadratic(df, "x", "y", ["g"]).collect():

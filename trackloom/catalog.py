@@ -589,21 +589,20 @@ def dtw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WARPED + _nearest_sql(10) + f" SELECT src, CAST(rank AS INTEGER) AS rank, dst, {_r('dist')} FROM nearest")
 def dtw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest tracks by warping distance."""
-    return rounded(similarity.nearest_tracks(similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW)), 10))
+    return rounded(similarity.nearest_by_bounds(_series(spark, sf_dir), len(_DTW), 10)[0])
 
 
 @query(FUZZY + f" SELECT src, dst, {_r('CASE WHEN c > 1 THEN s - a * b ELSE s END AS weight')} FROM two_way")
 def fuzzy_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: symmetric membership weights."""
-    return rounded(embed.fuzzy_graph(similarity.nearest_tracks(similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW)), 15)))
+    return rounded(embed.fuzzy_graph(similarity.nearest_by_bounds(_series(spark, sf_dir), len(_DTW), 15)[0]))
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laid out once in a session; the map, its classes and the forests refer to one layout."""
 
     def build() -> DataFrame:
-        edges = similarity.dtw_pairs(_series(spark, sf_dir), len(_DTW))
-        return embed.layout(embed.fuzzy_graph(similarity.nearest_tracks(edges, 15)))
+        return embed.layout(embed.fuzzy_graph(similarity.nearest_by_bounds(_series(spark, sf_dir), len(_DTW), 15)[0]))
 
     return session_table(spark, "layout-of-tracks", sf_dir, build)
 
