@@ -87,7 +87,7 @@ def test_nearest_neighbour_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     points = [(f"p{i}", f"w{i % 3}", *map(float, rng.normal(size=3))) for i in range(90)] + [("alone", "w9", 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(points, "track_id string, well string, x double, y double, z double")
-    got = {r.track_id: r.nearest for r in spatial.nearest_neighbour(df, ["well"], cell=0.3).collect()}
+    got = {r.track_id: r.nearest for r in spatial.nearest_neighbour(df, ["well"]).collect()}
     for p in points:
         d = [math.dist(p[2:], q[2:]) for q in points if q[1] == p[1] and q[0] != p[0]]
         assert got[p[0]] == pytest.approx(min(d, default=math.inf))
@@ -129,6 +129,45 @@ def test_normalised_values_stay_in_range(spark):
         assert 0 <= r.q_disp <= 1.01 and 0 <= r.s_contact <= 1
 
 
+@pytest.mark.parametrize("leaf,fan", [(4, 2), (32, 16)])
+def test_nearest_neighbour_on_any_density(spark, leaf, fan):
+    rng = np.random.default_rng(2)
+    clump = rng.normal(size=(200, 2)) * 1e-9
+    groups = {
+        "clump": np.concatenate([clump, rng.normal(size=(20, 2)) * 1e8, [[0.0, 1.0], [-0.0, 1.0]]]),
+        "line": np.stack([np.arange(150.0) ** 3, np.zeros(150)], axis=1),
+        "equal": np.full((120, 2), 3.5),
+        "pair": np.array([[1.0, 1.0], [4.0, 5.0]]),
+        None: rng.uniform(-1, 1, size=(60, 2)),
+    }
+    points = [(f"p{i}", g, float(x), float(y)) for g, v in groups.items() for i, (x, y) in enumerate(v)]
+    points += [("null", "pair", None, 0.0), ("nan", "pair", 0.0, math.nan), ("alone", "w", 0.0, 0.0)]
+    df = spark.createDataFrame(points, "track_id string, well string, x double, y double")
+    found = spatial.nearest_neighbour(df, ["well"], axes=["x", "y"], leaf=leaf, fan=fan)
+    got = {(r.track_id, r.well): r.nearest for r in found.collect()}
+    assert len(got) == len(points) and found.count() == len(points)
+    for g, v in groups.items():
+        d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(d, np.inf)
+        for i, want in enumerate(d.min(axis=1)):
+            assert got[f"p{i}", g] == pytest.approx(want, rel=1e-12)
+    assert all(math.isinf(got[k]) for k in (("null", "pair"), ("nan", "pair"), ("alone", "w")))
+    assert spatial.nearest_neighbour(df.limit(0), ["well"], axes=["x", "y"]).count() == 0
+
+
+def test_nearest_neighbour_visits_few_leaves(spark, monkeypatch):
+    """A clump with far points among it: visits grow with the points, not with their square."""
+    visits = []
+    plain = spatial._nearest_in
+    monkeypatch.setattr(spatial, "_nearest_in", lambda v, *rest: visits.append(v.count()) or plain(v, *rest))
+    rng = np.random.default_rng(3)
+    for n in (1000, 2000):
+        place = np.concatenate([rng.normal(size=(n, 2)) * 1e-3, rng.normal(size=(n // 50, 2)) * 1e6])
+        df = spark.createDataFrame([(i, 0, float(x), float(y)) for i, (x, y) in enumerate(place)], "track_id int, well int, x double, y double")
+        spatial.nearest_neighbour(df, ["well"], axes=["x", "y"])
+    assert visits[1] < 6 * 1020 and visits[3] < 2.6 * visits[1]
+
+
 def _dtw_plain(a, b):
     n, m = len(a), len(b)
     total = [[math.inf] * m for _ in range(n)]

@@ -409,7 +409,7 @@ _DISTANCE = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z -
 @query(s.POINTS + _BRUTE.format(_r(f"coalesce(min({_DISTANCE}), CAST('inf' AS DOUBLE)) AS nearest")))
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance to the nearest other point of the group."""
-    return rounded(spatial.nearest_neighbour(s.points(spark, sf_dir), ["well"], cell=0.1))
+    return rounded(spatial.nearest_neighbour(s.points(spark, sf_dir), ["well"]))
 
 
 @query(s.POINTS + _BRUTE.format(f"max(CASE WHEN {_DISTANCE} < {s.CELL_DISTANCE} * (0.2 + a.vec_id % 3 / 5) THEN 1 ELSE 0 END) AS contact"))
