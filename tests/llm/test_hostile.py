@@ -147,6 +147,41 @@ def test_vectors_of_extreme_size(spark, scale):
         assert [i for _, i in sorted(got[q])] == want
 
 
+@pytest.mark.parametrize("measure", ["ip", "l2"])
+def test_vectors_of_mixed_sizes(spark, measure):
+    """One huge vector and some large ones among many small ones, more than the shortlist holds."""
+    rng = np.random.default_rng(18)
+    vectors = (rng.normal(size=(1500, 8)) * 1e-12).astype(np.float32)
+    vectors[3] *= np.float32(1e38)
+    vectors[3] *= np.float32(1e4)
+    vectors[5:9] *= np.float32(1e10)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), 20, measure=measure).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    v, hits = vectors.astype(np.float64), 0
+    for q, found in got.items():
+        score = v @ v[q] if measure == "ip" else -((v - v[q]) ** 2).sum(1)
+        hits += len(found & set([int(i) for i in np.lexsort((np.arange(1500), -score)) if i != q][:20]))
+    assert len(got) == 30 and hits / (20 * len(got)) >= 0.9
+
+
+def test_repeated_rows_are_not_squared(spark):
+    """Each row meets one text of its own, however often a row repeats."""
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
+    rows = [(i % 2, text, "x") for i in range(600)] + [(None, text, "x")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key string").repartition(3)
+    for found, kept in ((lines.repeated_lines(docs), lines.delete_lines), (suffixes.repeated_spans(docs), suffixes.remaining_bytes)):
+        table = found.persist()
+        assert table.count() == 900
+        texts = kept(docs, table)
+        assert texts.count() == 900 and texts.select("row").distinct().count() == 900
+        assert "CartesianProduct" not in texts._jdf.queryExecution().toString()
+    spans = suffixes.repeated_spans(docs)
+    assert spans.filter("size(spans) = 0").count() == 1  # the first row keeps all
+    assert lines.repeated_lines(docs).filter("size(blocks) = 0").count() == 1
+
+
 def test_urls_that_are_no_header_lines(spark, tmp_path):
     given = ["http://a/\r\n\r\nX: y", "http://a/\nb", " lead", "trail ", "a\x00b\x7f", "100%25 %0A", "plain é ü", "", "a: b: c", "\u2028", "%"]
     df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(given)], "page_id bigint, url string, html string")

@@ -10,8 +10,6 @@ query are scored again on the original vectors.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -67,36 +65,33 @@ def encode(vectors: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tupl
     return codes[row, best], np.linalg.norm(vectors - rest[row, best], axis=1).astype(np.float32)
 
 
-def _scaled(vectors: np.ndarray, exponent: int | np.ndarray) -> np.ndarray:
-    """Vectors times 2**exponent, as float32."""
-    return np.ldexp(vectors, exponent).astype(np.float32)
+def _scaled(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(float32 rows whose components are below 1, exponents): a row times 2**exponent is the vector."""
+    exponent = np.frexp(np.abs(values).max(axis=1, initial=0))[1]
+    return np.ldexp(values, -exponent[:, None]).astype(np.float32), exponent.astype(np.int32)
 
 
-def _matrix(column: pa.Array, exponent: int | None) -> np.ndarray:
-    """The vectors as float32 rows, scaled alike; with no exponent each by its own."""
+def _matrix(column: pa.Array) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    values = values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
-    if exponent is None:
-        exponent = -np.frexp(np.abs(values).max(axis=1, initial=0))[1][:, None]
-    return _scaled(values, exponent)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
 
 
-def _packed(batches, codebooks, block, exponent):
+def _packed(batches, codebooks, block):
     """mapInArrow body: (id, vector) -> packed blocks; with codebooks the codes and norms, else the vectors themselves.
 
-    Vectors are scaled by a power of two that is the same for all of them, or (for
-    the queries of an inner product) one for each, which changes no order and
-    keeps all products inside float32.
+    Each vector is scaled by a power of two of its own, which is kept beside it, so
+    that small ones stay what they are however large others may be.
     """
     for batch in batches:
         for lo in range(0, batch.num_rows, block):
             part = batch.slice(lo, block)
-            ids, vectors = part.column(0).to_numpy().astype(np.int64), _matrix(part.column(1), exponent)
+            ids = part.column(0).to_numpy().astype(np.int64)
+            vectors, exponents = _scaled(_matrix(part.column(1)))
             if codebooks is None:
                 body, norms = vectors, np.zeros(0, np.float32)
             else:
                 body, norms = encode(vectors, codebooks.value)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, body, norms)], names=["ids", "body", "norms"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, body, norms, exponents)], names=["ids", "body", "norms", "exponents"])
 
 
 def _scan(codebooks, measure, keep):
@@ -108,9 +103,13 @@ def _scan(codebooks, measure, keep):
         queries = np.frombuffer(tile["q_body"].iloc[0], np.float32).reshape(len(q_ids), -1)
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in tile["ids"]])
         codes = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, len(books)) for x in tile["body"]])
-        norms = np.concatenate([np.frombuffer(x, np.float32) for x in tile["norms"]])
+        norms = np.concatenate([np.frombuffer(x, np.float32) for x in tile["norms"]]).astype(np.float64)
+        exponents = np.concatenate([np.frombuffer(x, np.int32) for x in tile["exponents"]])
+        q_exponents = np.frombuffer(tile["q_exponents"].iloc[0], np.int32)
         order = np.argsort(ids, kind="stable")  # candidates with equal scores are then in order of their ids
-        ids, codes, norms = ids[order], np.ascontiguousarray(codes[order].T), norms[order]
+        ids, codes, norms, exponents = ids[order], np.ascontiguousarray(codes[order].T), norms[order], exponents[order]
+        # scores in double precision, in units of the query: nothing vanishes beside larger vectors
+        size = np.ldexp(1.0, np.clip(exponents, -1000, 1000))
         tables = np.einsum("qd,bwd->qbw", queries, books).astype(np.float32)
         out_q, out_c, out_s = [], [], []
         for q, q_id in enumerate(q_ids):
@@ -118,7 +117,11 @@ def _scan(codebooks, measure, keep):
             for b in range(1, len(books)):
                 score += tables[q, b].take(codes[b])
             if measure == "l2":
-                score = 2 * score - norms * norms
+                with np.errstate(over="ignore", invalid="ignore"):
+                    ratio = np.ldexp(1.0, np.clip(exponents - q_exponents[q], -1000, 500))
+                    score = (2 * score - norms * norms * ratio) * ratio
+            else:
+                score = score * size
             other = ids != q_id  # a query is no candidate of its own
             score, mine = score[other], np.flatnonzero(other)
             n = min(keep, len(score))
@@ -134,7 +137,7 @@ def _scan(codebooks, measure, keep):
             out_c.append(ids[best])
             out_s.append(score)
         if not out_q:
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "cand_id": np.zeros(0, np.int64), "approx": np.zeros(0, np.float32)})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "cand_id": np.zeros(0, np.int64), "approx": np.zeros(0)})
         return pd.DataFrame({"query_id": np.concatenate(out_q), "cand_id": np.concatenate(out_c), "approx": np.concatenate(out_s)})
 
     return run
@@ -166,22 +169,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "ve
     spark = vectors.sparkSession
     base = stored(usable_vectors(vectors, id_col, vector_col), "vectors")
     asked = stored(usable_vectors(queries, id_col, vector_col), "queries")
-    largest = base.unionByName(asked).agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
     sample = base.orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS).select("vector").toPandas()["vector"]
     if not len(sample):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    exponent = -math.frexp(largest)[1]  # components are below 1 after scaling
-    codebooks = spark.sparkContext.broadcast(train_codebooks(_scaled(np.stack(sample.to_numpy()).astype(np.float64), exponent)))
-    schema = "ids binary, body binary, norms binary"
-    codes = stored(base.mapInArrow(lambda it: _packed(it, codebooks, BLOCK, exponent), schema).withColumn("block", F.monotonically_increasing_id()), "codes", batch_rows=BLOCK)
-    packed = stored(asked.mapInArrow(lambda it: _packed(it, None, QUERY_BLOCK, None if measure == "ip" else exponent), schema).select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body")).withColumn("q_block", F.monotonically_increasing_id()), "packed-queries")
+    codebooks = spark.sparkContext.broadcast(train_codebooks(_scaled(np.stack(sample.to_numpy()).astype(np.float64))[0]))
+    schema = "ids binary, body binary, norms binary, exponents binary"
+    codes = stored(base.mapInArrow(lambda it: _packed(it, codebooks, BLOCK), schema).withColumn("block", F.monotonically_increasing_id()), "codes", batch_rows=BLOCK)
+    packed = stored(asked.mapInArrow(lambda it: _packed(it, None, QUERY_BLOCK), schema).select(F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.col("exponents").alias("q_exponents")).withColumn("q_block", F.monotonically_increasing_id()), "packed-queries")
     groups = max(1, -(-base.count() // GROUP))
     lanes = max(1, min(packed.count(), 64))
     # every block of queries meets every block of codes once: codes go to all lanes, a block of queries is in one
     left = packed.withColumn("lane", F.pmod(F.xxhash64("q_block"), F.lit(lanes)))
     right = codes.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lanes - 1).cast("bigint"))))
     tiles = left.join(right, "lane").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    found = tiles.groupBy("q_block", "group").applyInPandas(_scan(codebooks, measure, shortlist), "query_id bigint, cand_id bigint, approx float")
+    found = tiles.groupBy("q_block", "group").applyInPandas(_scan(codebooks, measure, shortlist), "query_id bigint, cand_id bigint, approx double")
     if groups > 1:
         by_query = Window.partitionBy("query_id").orderBy(F.desc("approx"), "cand_id")
         found = found.withColumn("place", F.row_number().over(by_query)).filter(F.col("place") <= shortlist)
