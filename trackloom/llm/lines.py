@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, passes
-from trackloom.llm.rows import quoted, text_key
+from trackloom.llm.rows import quoted, row_key, text_key
 from trackloom.llm.store import stored
 
 MIN_WORDS = 20
@@ -258,7 +258,8 @@ def delete_lines(documents: DataFrame, found: DataFrame, *, id_col: str = "doc_i
     """(row, kept) for stored rows of ``repeated_lines``: the text without its deleted lines."""
     keyed = documents.select(F.col(quoted(id_col)).alias("_id"), text_key(text_col).alias("_key"), F.col(quoted(text_col)).alias("body"))
     keyed = keyed.filter(passes(bit_filter(found.select(F.xxhash64("text_key").alias("k")), "k"), F.xxhash64("_key")))
-    texts = keyed.join(found, keyed["_id"].eqNullSafe(found[id_col]) & (keyed["_key"] == found["text_key"])).dropDuplicates(["row"])
+    once = keyed.select(row_key(F.col("_id"), F.col("_key")).alias("_row"), "body").dropDuplicates(["_row"])  # of repeated rows one text
+    texts = once.join(found.withColumn("_row", row_key(F.col(quoted(id_col)), F.col("text_key"))), "_row")
     kept = F.array_join(F.filter(F.split("body", "\n", -1), lambda _, i: ~_deleted(i)), "\n")
     return texts.select("row", kept.alias("kept"))
 

@@ -27,6 +27,11 @@ def text_key(text_col: str) -> Column:
     return F.when(text.isNull(), F.lit("")).otherwise(F.md5(text))
 
 
+def row_key(id_: Column, key: Column) -> Column:
+    """One value for an id and a text key, null ids included, on which repeated rows are dropped and then joined in one shuffle."""
+    return F.concat(F.when(id_.isNull(), "-").otherwise(F.concat(F.lit("+"), id_.cast("string"))), F.lit(":"), key.cast("string"))
+
+
 def picked(documents: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows without, rows with) an (id, text_key) of ``keys``, each as (carried, id, text_key).
 

@@ -32,6 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from trackloom.llm import text as tx
 from trackloom.llm.bits import bit_filter, frequency_filters, frequency_level, hash_ranges, passes
+from trackloom.llm.rows import row_key
 from trackloom.llm.sais import common_prefixes, suffix_array
 from trackloom.llm.store import stored
 
@@ -333,7 +334,8 @@ def repeated_spans(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     compared = folded.filter("shard IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("shard", "first", "last")).alias("wanted"))
     wanted = stored(compared.join(docs.select("row", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "row"), "wanted")
     texts = keyed.filter(passes(bit_filter(wanted, "_key"), F.col("text_key")))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["_id"]) & (texts["text_key"] == wanted["_key"]))
+    texts = texts.withColumn("_row", row_key(F.col("id"), F.col("text_key"))).dropDuplicates(["_row"])  # of repeated rows one text
+    texts = texts.join(wanted.withColumn("_row", row_key(F.col("_id"), F.col("_key"))), "_row")
     bodies = texts.select("row", "id", "body", "wanted").mapInArrow(lambda it: _contexts(it, length), f"shard bigint, row bigint, id {kind}, first int, body binary")
     any_common = wanted.filter(F.exists("wanted", lambda w: w["shard"] < 0)).limit(1).count() > 0
     sorted_ = "row bigint, first int, last int"
@@ -367,7 +369,8 @@ def remaining_bytes(documents: DataFrame, spans: DataFrame, *, id_col: str = "do
     """(row, kept) for rows of ``repeated_spans``: what stays of each text, as bytes (a cut may split a character)."""
     keyed = documents.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("body"))
     keyed = keyed.filter(passes(bit_filter(spans, "text_key"), F.col("_key")))
-    texts = keyed.join(spans, keyed["_id"].eqNullSafe(spans[id_col]) & (keyed["_key"] == spans["text_key"])).select("row", "body", "spans")
+    once = keyed.select(row_key(F.col("_id"), F.col("_key")).alias("_row"), "body").dropDuplicates(["_row"])  # of repeated rows one text
+    texts = once.join(spans.withColumn("_row", row_key(F.col(id_col), F.col("text_key"))), "_row").select("row", "body", "spans")
     return texts.mapInArrow(_cut, "row bigint, kept binary")
 
 
