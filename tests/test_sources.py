@@ -29,7 +29,7 @@ def test_statistic_files(spark, tmp_path):
         write(folder, f"{e}_Position.csv", "Position X,Position Y,Position Z,Time,TrackID,ID,", [f"{i},{i},{i},{t},{k},{i}," for t, k, i in cells])
     metadata = m.with_stats_folders(m.read_metadata(spark, str(tmp_path / "meta.csv")), str(tmp_path), "tcell_stats_folder")
     assert [r.tcell_stats_folder for r in metadata.orderBy("basename").collect()] == [f"{tmp_path}/{e}_Statistics" for e in ("E1", "E2")]
-    raw = m.raw_tcell_tracks(m.read_statistics(spark, str(tmp_path / "*_Statistics")), metadata)
+    raw = m.raw_tcell_tracks(m.read_statistics(spark, str(tmp_path)), metadata)
     got = sorted((r.basename, r.time, r.track_id or "", r.id, r.dist_org, r.red_lym, r.x) for r in raw.collect())
     assert got == [("E1", 1, "", 3, 3.0, 30.0, 3.0), ("E1", 1, "1000", 1, 1.0, 10.0, 1.0), ("E1", 2, "1000", 2, 2.0, 20.0, 2.0), ("E2", 1, "", 3, 3.5, 30.0, 3.0), ("E2", 1, "1000", 1, 1.5, 10.0, 1.0), ("E2", 2, "1000", 2, 2.5, 20.0, 2.0)]
 
@@ -39,10 +39,52 @@ def test_batch_export_takes_time_from_the_index(spark, tmp_path):
     header = "{},Original Image Name,Time,Birth [s],Death [s],TrackID,ID,"
     write(folder, "B_Speed.csv", header.format("Speed"), ["5,imgA,99,0,9,7,1,", "6,imgB,98,0,9,7,1,"])
     write(folder, "B_Time_Index.csv", header.format("Time Index"), ["1,imgA,0,0,9,7,1,", "2,imgB,0,0,9,7,1,"])
-    rows = m.observations(m.read_statistics(spark, str(folder)), "Speed", {"Speed": "speed"})
+    rows = m.observations(m.read_statistics(spark, str(tmp_path)), "speed")
     assert sorted((r.basename, r.time, r.speed) for r in rows.collect()) == [("imgA", 1, 5.0), ("imgB", 2, 6.0)]
 
 
+def test_only_asked_files_are_opened(spark, tmp_path):
+    """Files of other folders, statistics and channels can't be read, and nobody tries."""
+    for e in ("E1", "E2"):
+        for name in ("Intensity_Mean_Ch=3_Img=1", "Intensity_Mean_Ch=4_Img=1", "Speed"):
+            write(tmp_path / f"{e}_Statistics", f"{e}_{name}.csv", "Intensity Mean,Speed,Time,TrackID,ID,", [f"{i},{i},{i},t,{i}," for i in range(3)])
+    bad = [p for p in tmp_path.rglob("*.csv") if p.name != "E1_Intensity_Mean_Ch=3_Img=1.csv"]
+    for p in bad:
+        p.write_bytes(b"\xff\xfe\xff\n" * 9)  # no text
+    metadata = spark.createDataFrame([("E1", "E1_Statistics", 3)], "basename string, folder string, channel int")
+    rows = m.chosen(m.read_statistics(spark, str(tmp_path)), "mean_intensity", metadata, "folder", F.col("channel"))
+    assert sorted(r.red_lym for r in rows.collect()) == [0.0, 1.0, 2.0]
+    plan = m.read_statistics(spark, str(tmp_path)).read("speed", ["E1_Statistics"])
+    assert plan.rdd.getNumPartitions() == 1
+
+
+def test_long_files_are_read_in_parts(spark, tmp_path):
+    from trackloom.sources import statistics
+
+    lines = [f"{i / 2},{i},t{i % 3}µ,{i}," for i in range(500)]
+    write(tmp_path / "E_Statistics", "E_Speed.csv", "Speed,Time,TrackID,ID,", lines)
+    write(tmp_path / "E_Statistics", "E_Volume.csv", "Volume,Time,TrackID,ID,", [])
+    (tmp_path / "E_Statistics" / "E_Area.csv").write_text("")
+    statistics.register(spark)
+    for size in (1, 37, 1000, 1 << 20):
+        table = lambda size=size: spark.read.format(statistics.FORMAT).option("split_bytes", size if size > 1 else 13).load(str(tmp_path))
+        speed = table().filter("statistic = 'speed'")
+        assert sorted(int(r.f["Time"]) for r in speed.collect()) == list(range(500))
+        assert speed.filter("f['TrackID'] = 't1µ'").count() == 167
+        assert table().filter("statistic IN ('volume', 'area')").count() == 0
+
+
+def test_statistics_are_written_and_read_again(spark, tmp_path):
+    from trackloom.sources import exports
+
+    rows = [(f"E{i % 3}_Statistics", f"E{i % 3}_Speed.csv", "Speed,Time,TrackID,ID,", f"{i / 4},{i},t,{i},") for i in range(90)]
+    lines = spark.createDataFrame(rows, "folder string, file string, header string, line string").repartition(7)
+    exports.write_statistics(lines, f"file://{tmp_path}/out")
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.csv")) == ["E0_Speed.csv", "E1_Speed.csv", "E2_Speed.csv"]
+    back = m.observations(m.read_statistics(spark, f"file://{tmp_path}/out"), "speed")
+    assert sorted((r.basename, r.time, r.speed) for r in back.collect()) == sorted((f"E{i % 3}", i, i / 4) for i in range(90))
+
+
 def test_tables_are_reused(spark, tmp_path):
     built = []
     build = lambda: built.append(1) or spark.range(3).toDF("x")

@@ -49,7 +49,7 @@ def _written(spark: SparkSession, sf_dir: str) -> str:
     lines = parts[0]
     for p in parts[1:]:
         lines = lines.unionByName(p)
-    exports.write_statistics(lines, root).count()
+    exports.write_statistics(lines, root)
     return root
 
 
@@ -59,12 +59,8 @@ _OBSERVED = s.CELLS + f", seen AS (SELECT {_BASE_SQL} AS basename, time, CASE WH
 @query(_OBSERVED + f" SELECT basename, time, track_id, id, {_r('speed')} FROM seen")
 def statistic_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statistic from all files of all experiments, in one scan."""
-    found = m.read_statistics(spark, f"{_written(spark, sf_dir)}/*_Statistics")
-    return rounded(m.observations(found, *_pattern("speed")).select("basename", "time", "track_id", "id", "speed"))
-
-
-def _pattern(kind: str) -> tuple[str, dict[str, str]]:
-    return m.T_CELL_FILES[kind][0], {m.T_CELL_FILES[kind][1]: kind}
+    found = m.read_statistics(spark, _written(spark, sf_dir))
+    return rounded(m.observations(found, "speed").select("basename", "time", "track_id", "id", "speed"))
 
 
 @query(s.CELLS + f" SELECT {_BASE_SQL} AS basename, time, track_id, {_r('speed')} FROM cells")
@@ -76,9 +72,8 @@ def batch_export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = "Original Image Name,Birth [s],Death [s],TrackID,ID,"
     speed = exports.statistic_lines(cells, F.lit("Batch_Statistics"), file("Speed"), f"Speed,Time,{header}", [F.col("speed"), F.lit(-1), *rest])
     index = exports.statistic_lines(cells, F.lit("Batch_Statistics"), file("Time_Index"), f"Time Index,{header}", [F.col("time"), *rest])
-    exports.write_statistics(speed.unionByName(index), root).count()
-    found = m.read_statistics(spark, f"{root}/*_Statistics")
-    return rounded(m.observations(found.filter("file_name like '%Speed%' or file_name like '%Time_Index%'"), *_pattern("speed")).select("basename", "time", "track_id", "speed"))
+    exports.write_statistics(speed.unionByName(index), root)
+    return rounded(m.observations(m.read_statistics(spark, root), "speed").select("basename", "time", "track_id", "speed"))
 
 
 def _experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +100,53 @@ def metadata_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_OBSERVED + f" SELECT basename, time, track_id, id, {_r('displacement', 'speed', 'dist_org', 'red_lym', 'CAST(number AS DOUBLE) AS x', 'CAST(time AS DOUBLE) AS y')} FROM seen")
 def raw_tcell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw table joined from the files that the metadata asks for."""
-    found = m.read_statistics(spark, f"{_written(spark, sf_dir)}/*_Statistics")
-    raw = m.raw_tcell_tracks(found, _metadata(spark, sf_dir))
+    raw = m.raw_tcell_tracks(m.read_statistics(spark, _written(spark, sf_dir)), _metadata(spark, sf_dir))
     return rounded(raw.select("basename", "time", "track_id", "id", "displacement", "speed", "dist_org", "red_lym", "x", "y"))
 
 
+@query(_OBSERVED + f" SELECT basename, time, track_id, id, {_r('CASE WHEN number // 100 % 2 = 0 THEN dist_org + 0.5 ELSE dist_org END AS dist_org', 'red_lym')} FROM seen")
+def raw_tcell_by_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other experiment takes the distance to the tumour's surface instead of the channel's."""
+    root, cells = _written(spark, sf_dir), s.cells(spark, sf_dir)
+    even = F.floor(F.col("number") / 100) % 2 == 0
+    name = F.concat(_base(), F.lit("_Shortest_Distance_to_Surfaces_Surfaces=tumor.csv"))
+    header = "Shortest Distance to Surfaces,Time,TrackID,ID,"
+    exports.write_statistics(exports.statistic_lines(cells.filter(even), _folder(), name, header, [F.col("dist_org") + 0.5, *_keys()]), root)
+    by_object = F.col("exp_nr") % 2 == 0
+    metadata = _metadata(spark, sf_dir).withColumns({"imaris_object_distance": by_object, "tumor_name": F.when(by_object, F.lit("tumor"))})
+    return rounded(m.raw_tcell_tracks(m.read_statistics(spark, root), metadata).select("basename", "time", "track_id", "id", "dist_org", "red_lym"))
+
+
+_GROWN_SQL = s.ORGANOIDS + ", grown AS (SELECT *, CAST(track_id AS BIGINT) // 10 AS batch, CAST(track_id AS BIGINT) * 1000 + time + 500 AS id FROM organoids)"
+
+
+def _organoid_files(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """(root of the statistic files of all organoids, their metadata): ten organoids are an experiment, with two rows in the metadata."""
+    number = F.col("track_id").cast("bigint")
+    base = F.concat(F.lit("Org"), F.floor(number / 10).cast("string"))
+    rows, root = s.organoids(spark, sf_dir), exports.new_folder(spark, "organoids")
+    keys = [F.col("time"), F.col("track_id"), number * 1000 + F.col("time") + 500]
+    files = {"Volume": ("Volume", [F.col("volume")]), "Area": ("Area", [F.col("area")]), "Intensity_Mean_Ch=3_Img=1": ("Intensity Mean", [F.col("dead_dye_mean")]), "Intensity_Mean_Ch=4_Img=1": ("Intensity Mean", [F.col("volume")])}
+    files["Position"] = ("Position X,Position Y,Position Z", [F.col("volume") * 2, F.col("area") / 4, F.lit(0.5)])
+    folder = F.concat(base, F.lit("_Statistics"))
+    lines = [exports.statistic_lines(rows, folder, F.concat(base, F.lit(f"_{name}.csv")), f"{header},Time,TrackID,ID,", [*values, *keys]) for name, (header, values) in files.items()]
+    exports.write_statistics(joins.stacked(lines), root)
+    both = rows.select(base.alias("basename"), F.floor(number / 10).cast("int").alias("exp_nr")).distinct()
+    both = both.select("*", F.explode(F.array(F.lit("CD4"), F.lit("CD8"))).alias("tcell_line"))
+    values = {"organoid_line": F.lit("13T"), "well": F.lit("well1"), "date": F.lit("23/05/2019"), "dead_dye_channel": F.lit(3)}
+    names = [(part.split()[0], part.split()[1]) for part in METADATA.replace("\n", " ").split(",")]
+    metadata = both.select(*[(F.col(n) if n in both.columns else values.get(n, F.lit(None))).cast(t).alias(n) for n, t in names])
+    return root, m.with_stats_folders(metadata, "", "organoid_stats_folder")
+
+
+@query(_GROWN_SQL + f", ranked AS (SELECT batch, CAST(row_number() OVER (ORDER BY 'Org' || batch) AS VARCHAR) AS place FROM (SELECT DISTINCT batch FROM grown)) SELECT 'Org' || batch AS basename, place || '_' || track_id AS track_id, track_id AS original_track_id, time, id, '13T' AS organoid_line, 'CD4' AS tcell_line, CAST(batch AS INTEGER) AS exp_nr, {_r('volume', 'dead_dye_mean', 'area', 'volume * 2 AS pos_x', 'area / 4 AS pos_y')} FROM grown JOIN ranked USING (batch)")
+def raw_organoid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1-S5 for organoids: the raw table from the files that the metadata asks for, with unique track ids."""
+    root, metadata = _organoid_files(spark, sf_dir)
+    table = m.organoid_table(m.read_statistics(spark, root), metadata)
+    return rounded(table.select("basename", "track_id", "original_track_id", "time", "id", "organoid_line", "tcell_line", "exp_nr", "volume", "dead_dye_mean", "area", "pos_x", "pos_y"))
+
+
 @query(PROCESSED + f" SELECT track_id, time, {_r('speed')} FROM processed")
 def saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is built once, saved, and loaded again where it exists."""

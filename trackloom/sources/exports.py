@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.sources.measurements import PREAMBLE_LINES
+from trackloom.sources.statistics import FORMAT, register
 from trackloom.sources.tables import checkpoint_root
 
 
@@ -24,21 +22,12 @@ def statistic_lines(rows: DataFrame, folder: Column, file: Column, header: str,
     return rows.select(folder.alias("folder"), file.alias("file"), F.lit(header).alias("header"), F.concat(F.concat_ws(",", *text), F.lit(",")).alias("line"))
 
 
-def write_statistics(lines: DataFrame, root: str) -> DataFrame:
-    """Write ``folder/file`` below the URI ``root`` for each (folder, file) of ``lines`` and return (folder, file, rows).
+def write_statistics(lines: DataFrame, root: str) -> None:
+    """Write ``folder/file`` below the URI ``root`` for each (folder, file) of ``lines``: a preamble, the header and the lines, sorted.
 
-    A file has a preamble, the header and its lines, sorted; a task writes the
-    files of its keys, so one file should hold one experiment, not all of them. A
-    repeated task writes the same file again.
+    A file's lines go to one task, which streams them; files appear under their
+    names when all are written, so a repeated task leaves nothing half done.
     """
-
-    def write(table: pa.Table) -> pa.Table:
-        folder, file = table["folder"][0].as_py(), table["file"][0].as_py()
-        system, base = fs.FileSystem.from_uri(root)
-        system.create_dir(f"{base}/{folder}", recursive=True)
-        body = "\n" * PREAMBLE_LINES + table["header"][0].as_py() + "\n" + "".join(x + "\n" for x in sorted(table["line"].to_pylist()))
-        with system.open_output_stream(f"{base}/{folder}/{file}", compression=None) as out:
-            out.write(body.encode())
-        return pa.table({"folder": [folder], "file": [file], "rows": pa.array([len(table)], pa.int64())})
-
-    return lines.groupBy("folder", "file").applyInArrow(write, "folder string, file string, rows bigint")
+    register(lines.sparkSession)
+    rows = lines.repartition("folder", "file").sortWithinPartitions("folder", "file", "line").select("folder", "file", "header", "line")
+    rows.write.format(FORMAT).mode("append").save(root)

@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackloom.operators.joins import natural_join
+from trackloom.operators.ids import first_rows, unique_track_ids
+from trackloom.operators.joins import natural_join, with_metadata
 from trackloom.schema import METADATA, OBSERVATION_KEYS
-
-#: Fixed names: file name patterns of the statistics and the header of their measure.
-T_CELL_FILES = {
-    "displacement": (r"Displacement\^2", "Displacement^2"),
-    "speed": (r"Speed", "Speed"),
-    "mean_intensity": (r"Intensity_Mean_Ch=(\d+)_Img=1", "Intensity Mean"),
-    "min_intensity": (r"Intensity_Min_Ch=(\d+)_Img=1", "Intensity Min"),
-    "object_distance": (r"Shortest_Distance_to_Surfaces_Surfaces=([^.]+)", "Shortest Distance to Surfaces"),
-    "position": (r"Position\.csv", "Position X"),
+from trackloom.sources.statistics import FORMAT, register
+
+#: Fixed names: headers of the measures of the statistics, and the columns that they become.
+MEASURES = {
+    "displacement": {"Displacement^2": "displacement"},
+    "speed": {"Speed": "speed"},
+    "mean_intensity": {"Intensity Mean": "red_lym"},
+    "min_intensity": {"Intensity Min": "dist_org"},
+    "object_distance": {"Shortest Distance to Surfaces": "dist_org"},
+    "position": {"Position X": "x", "Position Y": "y", "Position Z": "z"},
+    "volume": {"Volume": "volume"},
+    "area": {"Area": "area"},
 }
-ORGANOID_FILES = {"volume": (r"Volume", "Volume"), "area": (r"Area", "Area"), "mean_intensity": T_CELL_FILES["mean_intensity"], "position": T_CELL_FILES["position"]}
-PREAMBLE_LINES = 3
 KEYS = OBSERVATION_KEYS
 
 
@@ -38,73 +43,106 @@ def with_stats_folders(metadata: DataFrame, data_dir: str, column: str) -> DataF
     return joined.withColumn(column, F.when(F.col("_any") == 1, built).otherwise(F.col(column))).drop("_one", "_any")
 
 
-def read_statistics(spark: SparkSession, paths: str | list[str], *, preamble: int = PREAMBLE_LINES) -> DataFrame:
-    """All lines of all statistic files in one scan, as (stat_folder, file_name, fields map).
+@dataclass(frozen=True)
+class StatisticFiles:
+    """The statistic files below the folders ``roots`` (URIs)."""
 
-    Files are read whole-line with their row numbers lost, so the header is
-    found by its ``TrackID`` or ``Time Index`` field, and lines before it are the
-    preamble. Each file is small; its lines are grouped by file.
-    """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    files = files.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))))
-    lines = F.filter(F.split("value", r"\r?\n"), lambda _, i: i >= preamble)
-    rows = files.select("path", lines.alias("lines")).filter(F.size("lines") > 0)
-    split = lambda line: F.transform(F.split(line, ",", -1), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
-    rows = rows.select("path", split(F.col("lines")[0]).alias("header"), F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).filter(F.trim("line") != "")
-    # a trailing comma makes an unnamed last field: names that are empty are dropped
-    names = F.filter("header", lambda n: n != "")
-    fields = F.map_from_arrays(names, F.slice(split(F.col("line")), 1, F.size(names)))
-    return rows.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder_name"), F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("stat_folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"), fields.alias("f"))
+    spark: SparkSession
+    roots: tuple[str, ...]
+
+    def read(self, statistic: str, folders: list[str] | None = None, detail: str | None = None) -> DataFrame:
+        """Lines of one statistic as ``statistics.SCHEMA``, of some folders (by their own names) and one detail, if given; no other files are opened.
+
+        Every call loads anew: scans of one loaded table share what was pushed down last.
+        """
+        register(self.spark)
+        rows = self.spark.read.format(FORMAT).load("\n".join(self.roots)).filter(F.col("statistic") == statistic)
+        rows = rows if folders is None else rows.filter(F.col("folder_name").isin(folders))
+        return rows if detail is None else rows.filter(F.col("detail") == detail)
+
+
+def read_statistics(spark: SparkSession, roots: str | list[str]) -> StatisticFiles:
+    return StatisticFiles(spark, (roots,) if isinstance(roots, str) else tuple(roots))
 
 
 def _value(name: str, kind: str = "double") -> F.Column:
     return F.nullif(F.try_element_at(F.col("f"), F.lit(name)), F.lit("")).try_cast(kind)
 
 
-def observations(statistics: DataFrame, pattern: str, measures: dict[str, str]) -> DataFrame:
-    """Rows of the files whose name matches: keys, the pattern's group as ``detail``, and measures (header -> name).
+def observations(files: StatisticFiles, statistic: str, measures: dict[str, str] | None = None, folders: list[str] | None = None, detail: str | None = None) -> DataFrame:
+    """Rows of one statistic: keys, the file's ``detail``, and measures (header -> name).
 
     Batch exports name their image in a column and give the time as an index in
     a ``_Time_Index`` file; there the image is the experiment and the time is
     taken from that file.
     """
-    rows = statistics.filter(F.col("file_name").rlike(pattern))
-    detail = F.regexp_extract("file_name", pattern, 1) if "(" in pattern else F.lit("")
+    rows = files.read(statistic, folders, detail)
+    measures = MEASURES[statistic] if measures is None else measures
     image = F.nullif(F.try_element_at(F.col("f"), F.lit("Original Image Name")), F.lit(""))
     base = F.coalesce(image, F.regexp_extract("folder_name", r"^(.*?)_Statistics$", 1))
     spans = {n: _value(h) for n, h in (("_birth", "Birth [s]"), ("_death", "Death [s]"))}
-    out = rows.select("stat_folder", base.alias("basename"), image.isNotNull().alias("_batch"), _value("Time", "int").alias("time"), _value("TrackID", "string").alias("track_id"), _value("ID", "bigint").alias("id"), detail.alias("detail"), *[_value(h).alias(n) for h, n in measures.items()], *[c.alias(n) for n, c in spans.items()])
-    index = statistics.filter(F.col("file_name").rlike("_Time_Index"))
+    out = rows.select("stat_folder", base.alias("basename"), image.isNotNull().alias("_batch"), _value("Time", "int").alias("time"), _value("TrackID", "string").alias("track_id"), _value("ID", "bigint").alias("id"), "detail", *[_value(h).alias(n) for h, n in measures.items()], *[c.alias(n) for n, c in spans.items()])
+    index = files.read("time_index", folders)
     index = index.select("stat_folder", image.alias("basename"), _value("TrackID", "string").alias("track_id"), _value("ID", "bigint").alias("id"), _value("Time Index", "int").alias("_index"), *[c.alias(n) for n, c in spans.items()]).filter("basename IS NOT NULL")
     keys = ["stat_folder", "basename", "track_id", "id", "_birth", "_death"]
     joined = natural_join([out, index], keys, "left")
     return joined.withColumn("time", F.when(F.col("_batch"), F.coalesce("_index", "time")).otherwise(F.col("time"))).drop("_index", "_batch", "_birth", "_death")
 
 
-def chosen(rows: DataFrame, metadata: DataFrame, folder: str, wanted: F.Column) -> DataFrame:
-    """Rows whose file detail is the one that the metadata of their experiment asks for."""
-    asked = metadata.select("basename", F.col(folder).alias("stat_folder"), wanted.cast("string").alias("_detail")).distinct()
-    return rows.join(asked, (rows["basename"] == asked["basename"]) & (rows["stat_folder"].endswith(asked["stat_folder"])) & (rows["detail"] == asked["_detail"])).select(*[rows[c] for c in rows.columns if c != "detail"])
+def _last(folder: str) -> Column:
+    """Name of the folder at the end of a path."""
+    return F.regexp_extract(F.rtrim(F.col(folder), F.lit("/")), r"([^/]+)$", 1)
+
+
+def folders_of(metadata: DataFrame, folder: str) -> list[str]:
+    """Names of the experiments' folders; the metadata has a row for each experiment."""
+    return sorted(r[0] for r in metadata.select(_last(folder)).dropna().distinct().collect())
 
 
-def raw_tcell_tracks(statistics: DataFrame, metadata: DataFrame, folder: str = "tcell_stats_folder") -> DataFrame:
+def chosen(files: StatisticFiles, statistic: str, metadata: DataFrame, folder: str, wanted: Column, measures: dict[str, str] | None = None) -> DataFrame:
+    """Rows of the files whose detail (channel or object) is the one that the metadata of their experiment asks for.
+
+    The asked details are a few; the files of each are read with its own filters.
+    """
+    asked = metadata.select("basename", F.col(folder).alias("_folder"), _last(folder).alias("_last"), wanted.cast("string").alias("_detail")).dropna().distinct()
+    of_detail: dict[str, set[str]] = {}
+    for r in asked.select("_detail", "_last").distinct().collect():
+        of_detail.setdefault(r["_detail"], set()).add(r["_last"])
+    parts = [observations(files, statistic, measures, sorted(of_detail[d]), d) for d in sorted(of_detail)]
+    rows = reduce(DataFrame.unionByName, parts or [observations(files, statistic, measures, []).limit(0)])
+    met = (rows["basename"] == asked["basename"]) & (rows["stat_folder"].endswith(asked["_folder"])) & (rows["detail"] == asked["_detail"])
+    return rows.join(asked, met).select(*[rows[c] for c in rows.columns if c != "detail"])
+
+
+def raw_tcell_tracks(files: StatisticFiles, metadata: DataFrame, folder: str = "tcell_stats_folder") -> DataFrame:
     """One row per cell and time with displacement, speed, dist_org, red_lym and position, joined from the statistic files.
 
     The dye and distance files are those of the channels or the tumour that the
     metadata names; both kinds of distance end in one column.
     """
-    read = lambda kind, measures: observations(statistics, T_CELL_FILES[kind][0], measures)
-    dye = chosen(read("mean_intensity", {"Intensity Mean": "red_lym"}), metadata, folder, F.col("dead_dye_channel"))
-    by_object = chosen(read("object_distance", {"Shortest Distance to Surfaces": "dist_org"}), metadata.filter("imaris_object_distance"), folder, F.col("tumor_name"))
-    by_channel = chosen(read("min_intensity", {"Intensity Min": "dist_org"}), metadata.filter("NOT coalesce(imaris_object_distance, false)"), folder, F.col("organoid_distance_channel"))
-    position = read("position", {"Position X": "x", "Position Y": "y", "Position Z": "z"}).drop("detail")
-    tables = [read("displacement", {"Displacement^2": "displacement"}).drop("detail"), read("speed", {"Speed": "speed"}).drop("detail"), by_object.unionByName(by_channel), dye, position]
-    return natural_join(tables, KEYS)
-
-
-def raw_organoid_tracks(statistics: DataFrame, metadata: DataFrame, folder: str = "organoid_stats_folder") -> DataFrame:
-    """One row per organoid and time with volume, dead_dye_mean, area and position."""
-    read = lambda kind, measures: observations(statistics, ORGANOID_FILES[kind][0], measures)
-    dye = chosen(read("mean_intensity", {"Intensity Mean": "dead_dye_mean"}), metadata, folder, F.col("dead_dye_channel"))
-    position = read("position", {"Position X": "pos_x", "Position Y": "pos_y", "Position Z": "pos_z"}).drop("detail")
-    return natural_join([read("volume", {"Volume": "volume"}).drop("detail"), dye, read("area", {"Area": "area"}).drop("detail"), position], KEYS)
+    mine = folders_of(metadata, folder)
+    dye = chosen(files, "mean_intensity", metadata, folder, F.col("dead_dye_channel"))
+    by_object = chosen(files, "object_distance", metadata.filter("imaris_object_distance"), folder, F.col("tumor_name"))
+    by_channel = chosen(files, "min_intensity", metadata.filter("NOT coalesce(imaris_object_distance, false)"), folder, F.col("organoid_distance_channel"))
+    plain = [observations(files, kind, folders=mine).drop("detail") for kind in ("displacement", "speed", "position")]
+    return natural_join([*plain[:2], by_object.unionByName(by_channel), dye, plain[2]], KEYS)
+
+
+def raw_organoid_tracks(files: StatisticFiles, metadata: DataFrame, folder: str = "organoid_stats_folder") -> DataFrame:
+    """One row per organoid and time with volume, dead_dye_mean, area and position.
+
+    An experiment has one organoid line, so of several rows of the metadata for it
+    (one for each kind of T cell) the first by number, well and line counts.
+    """
+    once = first_rows(metadata, ["basename"], ["exp_nr", "well", "tcell_line"])
+    mine = folders_of(once, folder)
+    dye = chosen(files, "mean_intensity", once, folder, F.col("dead_dye_channel"), {"Intensity Mean": "dead_dye_mean"})
+    position = observations(files, "position", {"Position X": "pos_x", "Position Y": "pos_y", "Position Z": "pos_z"}, mine).drop("detail")
+    return natural_join([observations(files, "volume", folders=mine).drop("detail"), dye, observations(files, "area", folders=mine).drop("detail"), position], KEYS)
+
+
+def organoid_table(files: StatisticFiles, metadata: DataFrame, folder: str = "organoid_stats_folder") -> DataFrame:
+    """``raw_organoid_tracks`` with the metadata of the experiments, and track ids that are unique over all of them."""
+    once = first_rows(metadata, ["basename"], ["exp_nr", "well", "tcell_line"]).drop("tcell_stats_folder", "organoid_stats_folder")
+    rows = with_metadata(raw_organoid_tracks(files, metadata, folder), once, ["basename"])
+    return unique_track_ids(rows, ["basename", "stat_folder"])
