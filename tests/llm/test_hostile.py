@@ -182,6 +182,22 @@ def test_repeated_rows_are_not_squared(spark):
     assert lines.repeated_lines(docs).filter("size(blocks) = 0").count() == 1
 
 
+@pytest.mark.parametrize("kind", ["clusters", "row", "repeated"])
+def test_range_bounds_take_few_jobs(spark, kind):
+    rng = np.random.default_rng(19)
+    far = rng.integers(-(1 << 60), 1 << 60, 50)
+    ids = {"clusters": (far[:, None] + np.arange(200)).ravel(), "row": np.arange(10_000), "repeated": np.repeat([5, 7, 9], 3000)}[kind]
+    df = spark.createDataFrame([(int(i),) for i in ids] + [(None,)], "id bigint")
+    tracker, group = spark.sparkContext.statusTracker(), f"bounds-{kind}"
+    spark.sparkContext.setJobGroup(group, "bounds")
+    bounds = warc.range_bounds(df, 2000)
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12
+    size = np.bincount(np.searchsorted(bounds, ids), minlength=len(bounds) + 1)
+    assert (np.diff(bounds) > 0).all() and size.max() <= (3000 if kind == "repeated" else 6) and size.min() > 0
+
+
 def test_urls_that_are_no_header_lines(spark, tmp_path):
     given = ["http://a/\r\n\r\nX: y", "http://a/\nb", " lead", "trail ", "a\x00b\x7f", "100%25 %0A", "plain é ü", "", "a: b: c", "\u2028", "%"]
     df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(given)], "page_id bigint, url string, html string")

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from trackloom.llm.bits import bit_filter, passes
+from trackloom.llm.prefix import running_totals
 from trackloom.llm.rows import quoted
 from trackloom.llm.store import new_path, stored
 
 DATE = "1970-01-01T00:00:00Z"  # of records whose table has no date
 SHARD_BYTES = 16 << 20  # payload bytes of a shard, about
 WRITE_ROWS = 64  # records that a task has in Python at a time
-_BINS = 4096
 
 
 _PLAIN = re.compile(r"[^\x00-\x20\x7f](?:[^\x00-\x1f\x7f]*[^\x00-\x20\x7f])?")
@@ -148,28 +148,21 @@ def _commit(batches, root):
 
 
 def range_bounds(ids: DataFrame, shards: int) -> np.ndarray:
-    """Upper ends of ``shards`` ranges of the column ``id`` (whole numbers) with nearly equal counts.
+    """Upper ends of ``shards`` ranges of the column ``id`` with nearly equal counts.
 
-    Counts are exact, so the ends depend on the rows alone. A histogram of at
-    most a few thousand bins is refined where a bin is fuller than a shard.
+    Counts are exact, so the ends depend on the rows alone. Rows are counted by
+    id, the ids sorted by range partitions with running totals, and the ids at
+    which a range is full are collected: one for each range, in one pass however
+    the ids lie.
     """
-    low, high, total = ids.agg(F.min("id"), F.max("id"), F.count("id")).collect()[0]
+    counts = ids.filter("id IS NOT NULL").groupBy("id").count()
+    total = ids.agg(F.count("id")).first()[0]
     if not total or shards <= 1:
         return np.zeros(0, np.int64)
-    pieces, limit, ranges = [], max(1, total // shards), [(int(low), int(high) + 1)]
-    for lo, hi in iter(lambda: ranges.pop() if ranges else None, None):
-        width = max(1, -(-(hi - lo) // _BINS))
-        got = ids.filter((F.col("id") >= lo) & (F.col("id") < hi)).groupBy(F.expr(f"(id - {lo}L) div {width}L").alias("bin")).count().collect()
-        for r in got:
-            start, end = lo + r["bin"] * width, min(lo + (r["bin"] + 1) * width, hi)
-            if r["count"] > limit and end - start > 1:
-                ranges.append((start, end))
-            else:
-                pieces.append((end - 1, r["count"]))
-    pieces.sort()
-    upto = np.cumsum([c for _, c in pieces])
-    ends = np.array([e for e, _ in pieces], dtype=np.int64)
-    return np.unique(ends[np.minimum(np.searchsorted(upto, total * np.arange(1, shards) / shards), len(ends) - 1)])
+    upto = running_totals(counts, ["id"], {"before": "count"})
+    filled = lambda rows: F.floor(rows * F.lit(shards) / F.lit(total))
+    full = upto.filter((filled(F.col("before") + F.col("count")) > filled(F.col("before"))) & (F.col("before") + F.col("count") < total))
+    return np.sort(full.select("id").toPandas()["id"].to_numpy(np.int64))
 
 
 def shard_by_range(column: Column, bounds: np.ndarray) -> Column:
