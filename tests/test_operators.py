@@ -239,6 +239,46 @@ def test_one_track_and_none(spark):
     assert similarity.nearest_by_bounds(one.limit(0), 1, 3)[0].count() == 0
 
 
+def test_repeated_rows_fail_the_action(spark):
+    from trackloom.plans import tcell
+
+    rows = [("a", t, 1.0 * t, 2.0, 3.0, 4.0, 0.0, "L", "CD4", 1, "w", 5.0, 10.0) for t in range(1, 30)]
+    kind = "track_id string, time int, speed double, displacement double, dist_org double, red_lym double, contact_lym double, organoid_line string, tcell_line string, exp_nr int, well string, organoid_contact_threshold double, tcell_dead_dye_threshold double"
+    carried = ["organoid_line", "tcell_line", "exp_nr", "well", "organoid_contact_threshold", "tcell_dead_dye_threshold"]
+    settings = tcell.Settings(duration=28, min_length=5, max_length=20)
+    good, bad = spark.createDataFrame(rows, kind), spark.createDataFrame(rows + rows[4:5], kind)
+    assert tcell.processed_tracks(good, settings, carried).count() == 20
+    plans = [tcell.processed_tracks(bad, settings, carried), tcell.track_funnel(bad, settings, carried)]  # no job yet
+    for df in plans:
+        with pytest.raises(Exception, match=series.REPEATED):
+            df.collect()
+    assert tcell.processed_tracks(bad, settings, carried, check=False).count() == 20
+
+
+def test_funnel_by_last_stage(spark):
+    from trackloom.operators import qc
+
+    rows = [("w1", "a", 0, 0), ("w1", "b", 0, 1), ("w1", "b", 2, 3), ("w2", "c", 0, 1), ("w3", "c", 2, 2)]
+    reached = spark.createDataFrame(rows, "well string, track_id string, _from int, _reach int")
+    got = {r[0]: tuple(r)[1:] for r in qc.funnel_by_reach(reached, ["p", "q", "r", "s"], ["well"]).collect()}
+    assert got == {"w1": (2, 1, 1, 1), "w2": (1, 1, None, None)}
+
+
+def test_carry_forward_over_partitions(spark):
+    """One scope over several partitions, some without a known value, beside short scopes and a null one."""
+    rows = [("big", t, "k", 1.0 * t if t % 97 == 5 else None, "x" if t == 40 else None) for t in range(600)]
+    rows += [(g, t, "k", float(t) if t % 2 else None, None) for g in ("a", "b", None) for t in range(3)]
+    df = spark.createDataFrame(rows, "g string, t int, k string, v double, s string").repartition(3)
+    keys = lambda d: sorted(map(tuple, d.collect()), key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = series.carry_forward(df, ["v", "s"], ["g"], ["t", "k"])
+        assert keys(got) == keys(series.fill_forward(df, ["v", "s"], ["g"], ["t", "k"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_local_regression_reproduces_a_parabola(spark):
     df = spark.createDataFrame([("g", float(i), 2.0 * i * i - i + 3) for i in range(12)], "g string, x double, y double")
     for r in smooth.local_quadratic(df, "x", "y", ["g"]).collect():

@@ -98,6 +98,25 @@ def test_tables_are_reused(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).collect()[0].ids == ["a"]
 
 
+def test_a_failed_build_is_built_again(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    with pytest.raises(Exception, match="no"):
+        tables.reused(spark, path, lambda: spark.range(5).select(F.raise_error(F.lit("no")).alias("x")))
+    assert tables.reused(spark, path, lambda: spark.range(5).toDF("x")).count() == 5
+
+
+def test_session_tables_follow_their_source(spark, tmp_path):
+    source, built = str(tmp_path / "in"), []
+    build = lambda: built.append(1) or spark.read.parquet(source)
+    for n, times in ((3, 1), (3, 1), (4, 2)):
+        if n != 3 or not built:
+            spark.range(n).write.mode("overwrite").parquet(source)
+        assert tables.session_table(spark, "test-table", source, build).count() == n
+        assert len(built) == times
+
+
 def test_model_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(str(i), float(i % 2), "ab"[i % 2]) for i in range(40)], "track_id string, f double, label string")
     model = classify.train_forest(df, "label", ["f"], trees=5)

@@ -158,7 +158,7 @@ def grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(GRID + f"SELECT {WELL}, time, track_id, dead FROM fill_w")
 def fill_well(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forward fill in order of time and id inside the well."""
-    return series.fill_forward(_grid(spark, sf_dir), ["dead"], death.WELL_KEY, ["time", "track_id"])
+    return series.carry_forward(_grid(spark, sf_dir), ["dead"], death.WELL_KEY, ["time", "track_id"])
 
 
 @query(GRID + f"SELECT {WELL}, time, track_id, dead FROM fill_t")
@@ -364,24 +364,24 @@ counted AS (SELECT * EXCLUDE (run), sum(contact) OVER (PARTITION BY track_id, ru
 quart AS (SELECT exp_nr, quantile_cont(meanspeed, 0.75) AS q FROM counted GROUP BY 1),
 processed AS (SELECT counted.* REPLACE (CAST(contact2 AS BIGINT) AS contact2, CASE WHEN meanspeed < q OR contact = 1 THEN 0.0 ELSE contact_lym END AS contact_lym) FROM counted JOIN quart USING (exp_nr))
 """
+_CARRIED = [*_KEYS, "organoid_contact_threshold", "tcell_dead_dye_threshold"]
 _PROCESSED_COLUMNS = ["track_id", "time", "time2", *_KEYS, "contact", "death", "contact2", *_M, "meanspeed"]
 
 
 def _processed(spark: SparkSession, sf_dir: str):
-    carried = [*_KEYS, "organoid_contact_threshold", "tcell_dead_dye_threshold"]
-    return tcell.processed_tracks(_observed(spark, sf_dir), _STEP, carried)
+    return tcell.processed_tracks(_observed(spark, sf_dir), _STEP, _CARRIED)
 
 
 @query(PROCESSED + f"SELECT track_id, time, time2, {', '.join(_KEYS)}, contact, death, contact2, {_r(*_M, 'meanspeed')} FROM processed")
 def processed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q2: the processed table of cell tracks."""
-    return rounded(_processed(spark, sf_dir)[0].select(*_PROCESSED_COLUMNS))
+    return rounded(_processed(spark, sf_dir).select(*_PROCESSED_COLUMNS))
 
 
 @query(PROCESSED + f"SELECT track_id, time, {_r('contact_lym')} FROM processed")
 def active_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contact between cells, only while active in the environment."""
-    return rounded(_processed(spark, sf_dir)[0].select("track_id", "time", "contact_lym"))
+    return rounded(_processed(spark, sf_dir).select("track_id", "time", "contact_lym"))
 
 
 _STAGES = {"unfiltered": "cells", "filt_exp_duration": "cut", "filt_minlength": "longer", "filt_deadcellstart": "living"}
@@ -391,7 +391,7 @@ FUNNEL = PROCESSED + ", funnel AS (SELECT * FROM " + " LEFT JOIN ".join(f"(SELEC
 @query(FUNNEL + "SELECT * FROM funnel")
 def track_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks after each filter stage."""
-    return tcell.track_funnel(_processed(spark, sf_dir)[1])
+    return tcell.track_funnel(_observed(spark, sf_dir), _STEP, _CARRIED)
 
 
 @query(FUNNEL + f"SELECT {', '.join(_KEYS)}, stage, nr_tracks FROM funnel UNPIVOT INCLUDE NULLS (nr_tracks FOR stage IN ({', '.join(_STAGES)}))")
@@ -437,7 +437,7 @@ _NORMAL_COLUMNS = ["q_disp", "q_speed", "q_red", "s_contact", "s_contact_lym"]
 
 
 def _normal(spark: SparkSession, sf_dir: str, settings) -> DataFrame:
-    return normalize.normalized(_processed(spark, sf_dir)[0], settings)
+    return normalize.normalized(_processed(spark, sf_dir), settings)
 
 
 @query(_normal_sql(*normalize.MODEL) + f"SELECT track_id, time, exp_nr, {_r(*_NORMAL_COLUMNS)} FROM normal")
@@ -482,7 +482,7 @@ def _shares_sql(keys: list[str]) -> str:
 
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _processed(spark, sf_dir)[0].select("track_id", *_KEYS).distinct().withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1)
+    return _processed(spark, sf_dir).select("track_id", *_KEYS).distinct().withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1)
 
 
 @query(_shares_sql(_KEYS) + f"SELECT *, {_r('num_cluster * 100 / total_cell AS percentage')} FROM shares")
@@ -509,7 +509,7 @@ PROFILE = PROCESSED + f", prof AS (SELECT CAST(track_id AS BIGINT) % 6 + 1 AS cl
 @query(PROFILE + f"SELECT cluster2, variable, {_r('value')} FROM sc UNPIVOT (value FOR variable IN ({', '.join(composition.PROFILE)}))")
 def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relative behaviour of each class."""
-    rows = _processed(spark, sf_dir)[0].withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1)
+    rows = _processed(spark, sf_dir).withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1)
     return rounded(composition.class_profile(rows))
 
 

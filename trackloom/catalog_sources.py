@@ -151,7 +151,7 @@ def raw_organoid_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table that is built once, saved, and loaded again where it exists."""
     path = exports.new_folder(spark, "saved")
-    build = lambda: _processed(spark, sf_dir)[0].select("track_id", "time", "speed")
+    build = lambda: _processed(spark, sf_dir).select("track_id", "time", "speed")
     tables.reused(spark, path, build)
     return rounded(tables.reused(spark, path, build))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.columns import dead_flag, hours, ratio
 from trackloom.operators.filters import complete_rows, tracks_of_length
 from trackloom.operators.joins import complete_grid
-from trackloom.operators.series import curve_summary, fill_forward, minus_first, sticky
+from trackloom.operators.series import carry_forward, curve_summary, fill_forward, minus_first, sticky
 
 WELL_KEY = ["organoid_line", "tcell_line", "exp_nr", "well", "date"]
 
@@ -49,8 +49,8 @@ def percentage_dead(organoids: DataFrame, threshold: Column, *, fill_scope: str
     """
     flagged = organoids.withColumn("dead", dead_flag("dead_dye_mean", threshold))
     grid = complete_grid(flagged.select(*WELL_KEY, "time", "track_id", "dead"), WELL_KEY, "time", "track_id")
-    scope, order = (WELL_KEY, ["time", "track_id"]) if fill_scope == "well" else ([*WELL_KEY, "track_id"], ["time"])
-    dead = sticky(fill_forward(grid, ["dead"], scope, order), "dead", [*WELL_KEY, "track_id"])
+    filled = carry_forward(grid, ["dead"], WELL_KEY, ["time", "track_id"]) if fill_scope == "well" else fill_forward(grid, ["dead"], [*WELL_KEY, "track_id"], ["time"])
+    dead = sticky(filled, "dead", [*WELL_KEY, "track_id"])
     counts = dead.groupBy("time", *WELL_KEY).agg(F.coalesce(F.sum(F.when(F.col("dead") == 1, 1)), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("_rows"))
     start = counts.groupBy(*WELL_KEY).agg(F.max(F.when(F.col("time") == 1, F.col("_rows"))).alias("starting_nr_organoids"))
     shares = counts.drop("_rows").join(start, WELL_KEY).withColumn("perc", F.try_divide(F.col("n") * 100, "starting_nr_organoids"))

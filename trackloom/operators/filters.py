@@ -29,7 +29,8 @@ def truncated(df: DataFrame, length: float, relative_time: str = "time2") -> Dat
 
 def tracks_where(df: DataFrame, condition: Column, track: str = "track_id") -> DataFrame:
     """All rows of the tracks that have a row for which ``condition`` holds."""
-    return df.join(df.filter(condition).select(track).distinct(), track, "left_semi")
+    met = F.max(F.coalesce(condition, F.lit(False))).over(Window.partitionBy(track))  # df is derived once, as a semi-join with itself would not
+    return df.withColumn("_met", met).filter(F.col("_met") & F.col(track).isNotNull()).drop("_met")
 
 
 def alive_at_start(df: DataFrame, threshold: Column, signal: str = "red_lym", track: str = "track_id", relative_time: str = "time2") -> DataFrame:
@@ -40,8 +41,8 @@ def alive_at_start(df: DataFrame, threshold: Column, signal: str = "red_lym", tr
 def alive_and_large_at_start(df: DataFrame, threshold: Column, min_volume: float, track: str = "track_id", time: str = "time") -> DataFrame:
     """Tracks that at their first time have a dye mean below the threshold and a volume above ``min_volume``."""
     first = df.withColumn("_first", F.min(time).over(Window.partitionBy(track)))
-    good = first.filter((F.col(time) == F.col("_first")) & (F.col("dead_dye_mean") < threshold) & (F.col("volume") > min_volume))
-    return df.join(good.select(track).distinct(), track, "left_semi")
+    good = (F.col(time) == F.col("_first")) & (F.col("dead_dye_mean") < threshold) & (F.col("volume") > min_volume)
+    return tracks_where(first, good, track).drop("_first")
 
 
 def complete_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -24,6 +24,16 @@ def funnel(stages: dict[str, DataFrame], keys: list[str] | None = None, track: s
     return reduce(lambda x, y: natural_join([x, y], keys, "left"), counts)
 
 
+def funnel_by_reach(reached: DataFrame, stages: list[str], keys: list[str] | None = None) -> DataFrame:
+    """The funnel from rows (keys, track, _from, _reach) in one aggregation: the track passed the stages numbered ``_from`` to ``_reach`` under these keys.
+
+    Keys of the first stage stay, a missing count is null.
+    """
+    keys = keys or FUNNEL_KEYS
+    passed = [F.nullif(F.count_if((F.col("_from") <= i) & (F.col("_reach") >= i)), F.lit(0)).alias(n) for i, n in enumerate(stages)]
+    return reached.groupBy(*keys).agg(*passed).filter(F.col(stages[0]).isNotNull())
+
+
 def funnel_long(wide: DataFrame, stages: list[str], keys: list[str] | None = None) -> DataFrame:
     """The funnel as (keys.., stage, nr_tracks)."""
     return wide.unpivot(keys or FUNNEL_KEYS, stages, "stage", "nr_tracks")

@@ -5,24 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from trackloom.operators.joins import natural_join
+from trackloom.sources.tables import checkpointed
+
+
+REPEATED = "more than one row for"
+
 
 def along(track: str | list[str], time: str) -> WindowSpec:
     return Window.partitionBy(*([track] if isinstance(track, str) else track)).orderBy(time)
 
 
-def merge_collisions(df: DataFrame, measures: list[str], track: str = "track_id", time: str = "time") -> DataFrame:
-    """One row per track and time: the mean of each measure."""
-    return df.groupBy(track, time).agg(*[F.avg(c).alias(c) for c in measures])
+def merge_collisions(df: DataFrame, measures: list[str], track: str = "track_id", time: str = "time", *, unique: bool = False) -> DataFrame:
+    """One row per track and time: the mean of each measure. With ``unique`` more than one row for a track and time fails the action, in the same aggregation."""
+    merged = df.groupBy(track, time).agg(*[F.avg(c).alias(c) for c in measures], F.count(F.lit(1)).alias("_rows"))
+    if unique:
+        said = F.raise_error(F.concat(F.lit(f"{REPEATED} {track} "), F.coalesce(F.col(track).cast("string"), F.lit("null")), F.lit(f" at {time} "), F.coalesce(F.col(time).cast("string"), F.lit("null"))))
+        merged = merged.withColumns({c: F.when(F.col("_rows") > 1, said.cast("double")).otherwise(F.col(c)) for c in measures})
+    return merged.drop("_rows")
 
 
-def gap_fill(df: DataFrame, measures: list[str], track: str = "track_id", time: str = "time") -> DataFrame:
+def gap_fill(df: DataFrame, measures: list[str], track: str = "track_id", time: str = "time", *, unique: bool = False) -> DataFrame:
     """Fill inner gaps by linear interpolation at every whole time that any track has.
 
     Nothing is made up before a track's first or after its last known value. The
     grid is each track's own span of times, cut down to the observed ones, so it
     never grows to all times by all tracks.
     """
-    known = merge_collisions(df, measures, track, time)
+    known = merge_collisions(df, measures, track, time, unique=unique)
     spans = known.groupBy(track).agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
     grid = spans.select(track, F.explode(F.sequence("_lo", "_hi")).alias(time)).join(df.select(time).distinct(), time, "left_semi")
     rows = grid.join(known, [track, time], "left")
@@ -85,6 +95,24 @@ def fill_forward(df: DataFrame, columns: list[str], scope: list[str], order: lis
     return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
 
+def carry_forward(df: DataFrame, columns: list[str], scope: list[str], order: list[str]) -> DataFrame:
+    """``fill_forward`` for scopes of any size: a scan over range partitions of (scope, order).
+
+    Each partition fills its own rows; what it knew last of each scope, a row for
+    each scope that it touches, goes on to the partitions that follow. A window
+    never holds more of a scope than a partition does.
+    """
+    parts = checkpointed(df.repartitionByRange(*scope, *order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(c).alias("_v"))))["_v"]
+    last = parts.groupBy("_part", *scope).agg(*[known(c).alias(f"_last{i}") for i, c in enumerate(columns)])
+    before = Window.partitionBy(*scope).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_part", *scope, *[F.last(f"_last{i}", ignorenulls=True).over(before).alias(f"_from{i}") for i in range(len(columns))])
+    own = parts.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns})
+    filled = natural_join([own, carried], ["_part", *scope])
+    return filled.select(*[F.coalesce(c, f"_from{columns.index(c)}").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
 def curve_summary(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     """Area under each group's curve by trapezoids (``auc``) and last minus first value (``delta``)."""
     w = along(group, x)

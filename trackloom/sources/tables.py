@@ -27,10 +27,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def reused(spark: SparkSession, path: str, build: Callable[[], DataFrame], *, force: bool = False, given: DataFrame | None = None) -> DataFrame:
-    """The given table, or the saved one; built and saved first if it is missing or ``force`` is set."""
+    """The given table, or the saved one; built and saved first if it is missing, a build of it failed half way, or ``force`` is set."""
     if given is not None:
         return given
-    if force or not exists(spark, path):
+    if force or not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
         save(build(), path)
     return load(spark, path)
 
@@ -72,7 +72,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def state_of(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of the files of a folder, in whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join([folder, *sorted(found)]).encode()).hexdigest()
+
+
 def session_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table that several queries of one application derive from ``source``: built and saved by the first, reused by the others."""
-    key = hashlib.sha256(source.encode()).hexdigest()[:16]
+    """A table that several queries of one application derive from the files of ``source``: built and saved by the first, reused by the others while the files stay as they are."""
+    key = state_of(spark, source)[:16]
     return reused(spark, f"{checkpoint_root(spark)}/{name}-{spark.sparkContext.applicationId}-{key}", build)
