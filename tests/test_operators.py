@@ -264,6 +264,22 @@ def test_funnel_by_last_stage(spark):
     assert got == {"w1": (2, 1, 1, 1), "w2": (1, 1, None, None)}
 
 
+def test_kmeans_from_many_starts(spark):
+    from trackloom.operators import kmeans
+
+    rng = np.random.default_rng(8)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [9, 9]])
+    place = np.concatenate([rng.normal(size=(60, 2)) + c for c in centres])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(place)], "i int, x double, y double").repartition(5)
+    found = kmeans.best_kmeans(df, 4, ["x", "y"], starts=20).toPandas().sort_values("i")
+    assert found.groupby(found.i // 60).cluster2.nunique().eq(1).all() and found.cluster2.nunique() == 4
+    mean = found.groupby("cluster2")[["x", "y"]].mean()
+    near = ((place[:, None] - mean.to_numpy()) ** 2).sum(2).argmin(1)
+    assert (mean.index.to_numpy()[near] == found.cluster2.to_numpy()).all()
+    assert kmeans.best_kmeans(df.limit(0), 4, ["x", "y"]).count() == 0
+    assert kmeans.best_kmeans(df.limit(1), 4, ["x", "y"], starts=3).count() == 1
+
+
 def test_carry_forward_over_partitions(spark):
     """One scope over several partitions, some without a known value, beside short scopes and a null one."""
     rows = [("big", t, "k", 1.0 * t if t % 97 == 5 else None, "x" if t == 40 else None) for t in range(600)]
