@@ -264,6 +264,16 @@ def test_funnel_by_last_stage(spark):
     assert got == {"w1": (2, 1, 1, 1), "w2": (1, 1, None, None)}
 
 
+def test_quartiles_of_a_large_facet(spark):
+    from trackloom.operators import qc
+
+    df = spark.range(1_000_000).selectExpr("IF(id % 1000 = 0, NULL, 'big') AS f", "id % 2 AS g", "pmod(xxhash64(id), 1000003) / 7.0D AS v")
+    got = {(r.f, r.g): tuple(r)[2:] for r in qc.five_numbers(df, "v", ["f", "g"]).collect()}
+    q = F.percentile("v", [0.25, 0.5, 0.75])
+    want = {(r.f, r.g): (r.n, r.lo, *r.q, r.hi) for r in df.groupBy("f", "g").agg(F.count("v").alias("n"), F.min("v").alias("lo"), q.alias("q"), F.max("v").alias("hi")).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
 def test_kmeans_from_many_starts(spark):
     from trackloom.operators import kmeans
 

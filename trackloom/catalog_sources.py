@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.catalog import _KEYS, CLASSED, PROCESSED, _classed, _processed, _r, query, rounded
+from trackloom.functions.columns import without_blanks
 from trackloom.operators import composition, death, filters, ids, joins
 from trackloom.plans import surrogates as s
 from trackloom.schema import METADATA
@@ -175,6 +176,16 @@ def id_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.filter(F.size("ids") > 0).select("basename", "cluster2", F.array_join("ids", ",").alias("ids"))
 
 
+@query(CLASSED + ", lists AS (SELECT 'E' || exp_nr AS basename, cluster2, string_agg(track_id, ',' ORDER BY track_id) AS ids FROM classed GROUP BY ALL) SELECT basename, string_agg(cluster2 || ':c(' || ids || ')', ',' ORDER BY cluster2) AS line FROM lists GROUP BY basename")
+def backprojection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of an experiment as one line of text without blanks."""
+    tracks = _classed(spark, sf_dir)
+    lists = tracks.groupBy(F.concat(F.lit("E"), F.col("exp_nr").cast("string")).alias("basename"), "cluster2").agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
+    each = F.concat(F.col("cluster2").cast("string"), F.lit(": c("), F.array_join("ids", ", "), F.lit(")"))
+    lines = lists.groupBy("basename").agg(F.array_sort(F.collect_list(F.struct("cluster2", each.alias("text")))).alias("parts"))
+    return lines.select("basename", without_blanks(F.array_join(F.col("parts.text"), ", ")).alias("line"))
+
+
 @query(_OBSERVED + f", meta AS (SELECT basename, CAST(min(number) // 100 AS INTEGER) AS exp_nr FROM seen WHERE number < 1000 GROUP BY basename) SELECT basename, time, id, {_r('speed')}, meta.exp_nr FROM seen LEFT JOIN meta USING (basename)")
 def cells_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every observation stays; experiments that the metadata lacks have nulls."""
@@ -194,6 +205,14 @@ def guarded_well_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(joins.join_once(organoids, wells, death.WELL_KEY).select("track_id", "time", *death.WELL_KEY, "n_tracks", "volume"))
 
 
+@query(_WELL_SQL + f" SELECT track_id, time, {s.WELL}, starting, {_r('volume')} FROM organoids LEFT JOIN (SELECT {s.WELL}, count(DISTINCT track_id) AS starting FROM organoids WHERE time = 1 AND exp_nr < 2 GROUP BY ALL) USING ({s.WELL})")
+def guarded_well_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 as a left join: wells that the right side lacks keep their rows."""
+    organoids = s.organoids(spark, sf_dir)
+    wells = organoids.filter("time = 1 AND exp_nr < 2").groupBy(*death.WELL_KEY).agg(F.countDistinct("track_id").alias("starting"))
+    return rounded(joins.join_once(organoids, wells, death.WELL_KEY, "left").select("track_id", "time", *death.WELL_KEY, "starting", "volume"))
+
+
 @query(CLASSED + f" SELECT track_id, {', '.join(_KEYS)}, cluster2 FROM classed WHERE cluster2 <> 1")
 def outlier_class_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tracks but those of one class."""

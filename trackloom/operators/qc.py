@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.joins import natural_join
+from trackloom.operators.quantiles import group_quantiles
+from trackloom.sources.tables import checkpointed
 
 FUNNEL_KEYS = ["organoid_line", "tcell_line", "exp_nr", "well"]
 
@@ -45,7 +47,8 @@ def histogram(df: DataFrame, column: str, width: float, facets: list[str]) -> Da
 
 
 def five_numbers(df: DataFrame, column: str, facets: list[str]) -> DataFrame:
-    """Count, minimum, quartiles and maximum per facet, as a violin or box chart shows them."""
-    q = F.percentile(column, [0.25, 0.5, 0.75])
-    out = df.groupBy(*facets).agg(F.count(column).alias("n"), F.min(column).alias("lowest"), q.alias("q"), F.max(column).alias("highest"))
-    return out.select(*facets, "n", "lowest", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "highest")
+    """Count, minimum, quartiles and maximum per facet, as a violin or box chart shows them; a facet may be of any size."""
+    rows = checkpointed(df.select(*facets, column).withColumn("_facet", F.to_json(F.struct(*facets))))
+    ends = rows.groupBy("_facet", *facets).agg(F.count(column).alias("n"), F.min(column).alias("lowest"), F.max(column).alias("highest"))
+    quartiles = group_quantiles(rows, "_facet", {"q25": (column, 0.25), "q50": (column, 0.5), "q75": (column, 0.75)})
+    return ends.join(quartiles, "_facet").select(*facets, "n", "lowest", "q25", "q50", "q75", "highest")
