@@ -264,6 +264,27 @@ def test_funnel_by_last_stage(spark):
     assert got == {"w1": (2, 1, 1, 1), "w2": (1, 1, None, None)}
 
 
+def test_local_regression_equals_sums_over_pairs(spark):
+    """A long curve with large times, repeated points and a null, short curves, and a null group."""
+    rng = np.random.default_rng(9)
+    far = np.sort(rng.choice(5000, 700)) * 1000.0
+    curves = {"long": [(1e9 + float(t), float(v)) for t, v in zip(far, rng.normal(size=700), strict=True)], None: [(float(t), t * 0.5) for t in range(5)]}
+    curves |= {"three": [(0.0, 1.0), (1.0, 2.0), (2.0, 5.0)], "one": [(4.0, 1.0)], "same": [(4.0, 1.0)] * 6, "gap": [(float(t), None if t == 3 else t * 1.0) for t in range(8)]}
+    df = spark.createDataFrame([(g, x, y) for g, v in curves.items() for x, y in v], "g string, x double, y double")
+    got = {(r.g, r.x): r.smooth for r in smooth.local_quadratic(df, "x", "y", ["g"]).collect()}
+    assert set(got) == {(g, x) for g, v in curves.items() for x, _ in v}
+    for g, v in curves.items():
+        x, y = np.array([p[0] for p in v]), np.array([p[1] or 0.0 for p in v])
+        for x0 in set(x):
+            d = (x - x0) / max(x.max() - x.min(), 1)
+            w = (1 - np.abs(d / np.abs(d).max()) ** 3) ** 3 if np.abs(d).max() else np.ones(len(x))
+            if len(set(d[w > 0])) < 3:
+                assert got[g, x0] is None
+                continue
+            a = np.stack([np.ones(len(d)), d, d * d], axis=1)
+            assert got[g, x0] == pytest.approx(np.linalg.solve(a.T * w @ a, a.T * w @ y)[0], rel=1e-7, abs=1e-9)
+
+
 def test_quartiles_of_a_large_facet(spark):
     from trackloom.operators import qc
 
