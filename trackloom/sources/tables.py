@@ -73,10 +73,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def state_of(spark: SparkSession, folder: str) -> str:
-    """A digest of the names, sizes and times of the files of a folder, in whatever file system it names."""
+    """A digest of the names, sizes and times of the files of a folder, in whatever file system it names; of the name alone where there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files, found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
-    while files.hasNext():
+    found = []
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True) if exists(spark, folder) else None
+    while files is not None and files.hasNext():
         f = files.next()
         found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
     return hashlib.sha256("\n".join([folder, *sorted(found)]).encode()).hexdigest()
