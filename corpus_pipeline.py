@@ -14,7 +14,7 @@ from trackloom.llm.store import stored
 SHARDS = 8
 THRESHOLD = 0.3  # of the quality score
 
-#: SQL has no trained classifier; the tests hold each stage against a brute-force version.
+#: SQL has no trained classifier; the tests hold the other stages against brute-force versions.
 ORACLE_SQL = None
 
 
