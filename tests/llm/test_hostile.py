@@ -166,6 +166,25 @@ def test_vectors_of_mixed_sizes(spark, measure):
     assert len(got) == 30 and hits / (20 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("measure", ["ip", "l2"])
+def test_vectors_that_codes_cannot_tell_apart(spark, measure):
+    """Far more vectors than the shortlist holds differ by less than their codes do, some rows are copies, and some lie far out of the sample's way."""
+    rng = np.random.default_rng(19)
+    centre = rng.normal(size=32)
+    vectors = (centre + rng.normal(size=(3000, 32)) * 1e-4).astype(np.float32)
+    vectors[2000:2400] = vectors[2000]
+    vectors[2900:] = rng.standard_t(1, size=(100, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 50 = 0"), 20, measure=measure).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    v = vectors.astype(np.float64)
+    assert len(got) == 60
+    for q, found in got.items():
+        score = sum(x * c for x, c in zip(v[q], v.T)) if measure == "ip" else -sum((c - x) ** 2 for x, c in zip(v[q], v.T))
+        assert [i for _, i in sorted(found)] == [int(i) for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+
+
 def test_repeated_rows_are_not_squared(spark):
     """Each row meets one text of its own, however often a row repeats."""
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6))
