@@ -200,6 +200,28 @@ def test_dtw(spark):
     assert near.filter("rank = 1 and src != dst").count() == 0 and near.count() == 30
 
 
+def test_equal_tracks_are_computed_once(spark):
+    """Twenty copies of twelve tracks, as a larger table repeats them: all pairs and the nearest are those of the tracks, the work that of twelve."""
+    rng = np.random.default_rng(9)
+    kinds = [rng.normal(size=(rng.integers(2, 7), 2)) for _ in range(12)]
+    tracks = {f"{i:03d}": kinds[i * 7 % 12] for i in range(240)}
+    data = [(k, t, float(x), float(y)) for k, v in tracks.items() for t, (x, y) in enumerate(v)]
+    series = similarity.track_series(spark.createDataFrame(data, "track_id string, time int, x double, y double"), ["x", "y"])
+    plain = {(i, j): round(_dtw_plain(kinds[i], kinds[j]), 6) for i in range(12) for j in range(12)}
+    want = {(a, b): plain[int(a) * 7 % 12, int(b) * 7 % 12] for a in tracks for b in tracks}
+    got = {(r.src, r.dst): r.dist for r in similarity.dtw_pairs(series, 2, digits=6).collect()}
+    assert len(got) == 240 * 239 // 2 and all(a < b and d == pytest.approx(want[a, b]) for (a, b), d in got.items())
+    near, work = similarity.nearest_by_bounds(series, 2, 25, block_tracks=4)
+    found = {}
+    for r in near.collect():
+        found.setdefault(r.src, []).append((r["rank"], r.dst, r.dist))
+    assert len(found) == 240 and work.first()["pairs"] == 240 * 239 // 2 and work.first()["full"] <= 66
+    for a, rows in found.items():
+        rows.sort()
+        order = sorted(tracks, key=lambda b: (want[a, b], a != b, b))[:25]
+        assert [b for _, b, _ in rows] == order and [d for *_, d in rows] == pytest.approx([want[a, b] for b in order], abs=1e-6)
+
+
 @pytest.mark.parametrize("k", [1, 3, 6])
 def test_nearest_by_bounds_equals_all_pairs(spark, k):
     rng = np.random.default_rng(6)
