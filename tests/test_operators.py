@@ -155,6 +155,23 @@ def test_nearest_neighbour_on_any_density(spark, leaf, fan):
     assert spatial.nearest_neighbour(df.limit(0), ["well"], axes=["x", "y"]).count() == 0
 
 
+def test_within_distance_of_a_dense_group(spark, monkeypatch):
+    """All points within one cube as wide as the largest threshold: contacts are right, and no point meets all others."""
+    visits = []
+    plain = spatial._nearest_in
+    monkeypatch.setattr(spatial, "_nearest_in", lambda v, *rest: visits.append(v.count()) or plain(v, *rest))
+    rng = np.random.default_rng(4)
+    place = np.concatenate([rng.uniform(0, 1, size=(1500, 2)), [[0.5, 0.5]] * 3, [[9.0, 9.0], [9.0, 9.5]]])
+    own = rng.uniform(0, 0.03, size=len(place))
+    own[-2:] = 0.5, 0.6
+    df = spark.createDataFrame([(i, 0, float(x), float(y), float(o)) for i, ((x, y), o) in enumerate(zip(place, own, strict=True))], "track_id int, well int, x double, y double, own double")
+    got = {r.track_id: r.contact for r in spatial.within_distance(df, ["well"], "own", 1.0, axes=["x", "y"]).collect()}
+    d = np.sqrt(((place[:, None] - place[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == dict(enumerate((d.min(axis=1) < own).astype(int).tolist()))
+    assert len(visits) == 2 and sum(visits) < 8 * len(place)
+
+
 def test_nearest_neighbour_visits_few_leaves(spark, monkeypatch):
     """A clump with far points among it: visits grow with the points, not with their square."""
     visits = []

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.columns import euclidean
 from trackloom.operators.numbering import numbered
 from trackloom.sources.tables import checkpointed
 
@@ -17,22 +16,6 @@ LEAF = 32  # points of a leaf of the tree of points
 FAN = 16  # nodes below a node
 
 
-def _cell(axis: str, size: Column) -> Column:
-    return F.floor(F.col(axis) / size)
-
-
-def _pairs(points: DataFrame, others: DataFrame, group: list[str], key: str, axes: list[str], size: float) -> DataFrame:
-    """Pairs of different points in the same or adjacent cubes of a grid, with their distance."""
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = points.select(*group, key, *axes, *[_cell(a, F.lit(size)).alias(f"_c{a}") for a in axes])
-    for a in axes:
-        near = near.withColumn(f"_s{a}", F.explode(steps)).withColumn(f"_c{a}", F.col(f"_c{a}") + F.col(f"_s{a}")).drop(f"_s{a}")
-    right = others.select(*[F.col(c).alias(f"_o{c}") for c in (*group, key, *axes)], *[_cell(a, F.lit(size)).alias(f"_o_c{a}") for a in axes])
-    same = reduce(lambda x, y: x & y, [near[c].eqNullSafe(right[f"_o{c}"]) for c in group] + [near[f"_c{a}"] == right[f"_o_c{a}"] for a in axes])
-    pairs = near.join(right, same & (near[key] != right[f"_o{key}"]))
-    return pairs.select(*group, key, euclidean([F.col(a) for a in axes], [F.col(f"_o{a}") for a in axes]).alias("distance"))
-
-
 def _curve(place: pa.Array) -> pa.Array:
     """Place on a Z-curve: the bits of all coordinates in turn, the highest first; doubles as whole numbers of the same order, so any density is told apart."""
     values = place.flatten().to_numpy(zero_copy_only=False).reshape(len(place), -1) + 0.0  # no negative zero
@@ -56,9 +39,12 @@ def _nearest_in(visits: DataFrame, leaves: DataFrame, key: str, axes: list[str])
     return met.select("_n", F.array_min(F.transform(others, square)).alias("_d"))
 
 
-def nearest_neighbour(points: DataFrame, group: list[str], key: str = "track_id", axes: list[str] | None = None, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
+def nearest_neighbour(points: DataFrame, group: list[str], key: str = "track_id", axes: list[str] | None = None, leaf: int = LEAF, fan: int = FAN, reach: float = float("inf")) -> DataFrame:
     """Distance of each point to the nearest other point of its group; infinite for a point alone.
 
+    With ``reach`` no point looks further than that, and what is given for a point
+    without a nearer neighbour is at least as far.
+
     Points are sorted by group and along a Z-curve and cut into leaves of at most
     ``leaf``, and these into nodes of ``fan`` each, level by level: a tree that is
     as fine as its points are dense. A point looks into its own leaf first. Then it
@@ -78,7 +64,7 @@ def nearest_neighbour(points: DataFrame, group: list[str], key: str = "track_id"
         levels += 1
     leaves = rows.groupBy("_g", "_leaf").agg(F.collect_list(F.struct(key, *axes)).alias("_points"))
     own = _nearest_in(rows.select("_n", "_g", "_leaf", key, *axes), leaves, key, axes)
-    best = rows.select("_n", "_g", F.col("_leaf").alias("_home"), key, *axes).join(own, "_n").withColumn("_best", F.coalesce("_d", F.lit(float("inf")))).drop("_d")
+    best = rows.select("_n", "_g", F.col("_leaf").alias("_home"), key, *axes).join(own, "_n").withColumn("_best", F.least(F.coalesce("_d", F.lit(float("inf"))), F.lit((reach * (1 + 1e-9)) ** 2))).drop("_d")
     best = checkpointed(best)
     ends = [f(x).alias(n) for a in axes for f, x, n in ((F.min, f"lo_{a}", f"lo_{a}"), (F.max, f"hi_{a}", f"hi_{a}"))]
     boxes = rows.select("_g", F.col("_leaf").alias("_node"), *[F.col(a).alias(f"{end}_{a}") for a in axes for end in ("lo", "hi")]).groupBy("_g", "_node").agg(*ends)
@@ -101,10 +87,13 @@ def nearest_neighbour(points: DataFrame, group: list[str], key: str = "track_id"
 def within_distance(points: DataFrame, group: list[str], threshold: str, largest: float, key: str = "track_id", axes: list[str] | None = None) -> DataFrame:
     """``contact``: 1 if another point of the group is nearer than the point's own threshold, else 0.
 
-    largest: upper bound of all thresholds, the edge of the grid's cubes; only adjacent cubes are compared.
+    largest: upper bound of all thresholds, beyond which no point looks. Whether any
+    point is so near is known from the nearest one, so a dense group costs no more
+    than a sparse one.
     """
-    axes = axes or ["x", "y", "z"]
     keys = [*group, key]
-    pairs = _pairs(points, points, group, key, axes, largest).join(points.select(*keys, threshold), keys)
-    touching = pairs.filter(F.col("distance") < F.col(threshold)).select(*keys).distinct().withColumn("contact", F.lit(1))
-    return points.join(touching, keys, "left").withColumn("contact", F.coalesce("contact", F.lit(0)))
+    near = nearest_neighbour(points, group, key, axes, reach=largest)
+    near = near.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]).agg(F.min("nearest").alias("_nearest"))
+    same = reduce(lambda x, y: x & y, [points[c].eqNullSafe(near[f"_k{i}"]) for i, c in enumerate(keys)])
+    found = points.join(near, same, "left").withColumn("contact", F.coalesce((F.col("_nearest") < F.col(threshold)).cast("int"), F.lit(0)))
+    return found.select(*points.columns, "contact")
