@@ -324,6 +324,19 @@ def test_local_regression_equals_sums_over_pairs(spark):
             assert got[g, x0] == pytest.approx(np.linalg.solve(a.T * w @ a, a.T * w @ y)[0], rel=1e-7, abs=1e-9)
 
 
+def test_kmeans_sends_one_row_a_round(spark):
+    """However many tasks there are, the driver gets one row of sums."""
+    from trackloom.operators import kmeans
+
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(500, 2))
+    rows = spark.createDataFrame([(p.tolist(),) for p in points], "_values array<double>").repartition(24)
+    centres = rng.normal(size=(3, 4, 2))
+    got = kmeans._totals(rows, centres).collect()
+    total = np.frombuffer(got[0]["sums"]).reshape(3, 4, 4)
+    assert len(got) == 1 and (total[:, :, 0].sum(axis=1) == 500).all() and np.allclose(total[:, :, 2:].sum(axis=1), points.sum(axis=0))
+
+
 def test_quartiles_of_a_large_facet(spark):
     from trackloom.operators import qc
 
