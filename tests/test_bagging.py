@@ -120,3 +120,14 @@ def test_null_features_and_labels_take_no_part(spark, data, forest):
     more = tracks.union(spark.createDataFrame([("n1", None, 1.0, 1.0, 1.0), ("n2", "x", None, 1.0, 1.0)], tracks.schema))
     assert bagging.oob_predictions(model, more, "cluster2").count() == len(data)
     assert {r.label for r in bagging.class_importance(model, more, "cluster2").select("label").distinct().collect()} == {"x", "y", "z", "all"}
+
+
+def test_votes_are_summed_up_where_they_are(spark, data, forest, monkeypatch):
+    """The error by trees needs no window and no join of votes, and importance hashes a track's bags once, not once for each copy."""
+    stored, plain = [], bagging.written
+    monkeypatch.setattr(bagging, "written", lambda df, name: stored.append((name, df.columns)) or plain(df, name))
+    tracks, model = forest
+    plan = bagging.oob_error_by_trees(model, tracks, "cluster2")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Join" not in plan
+    bagging.class_importance(model, tracks, "cluster2")
+    assert "_unseen" in dict(stored)["importance-rows"]

@@ -12,11 +12,14 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.features import FEATURES
@@ -26,6 +29,7 @@ from trackloom.sources.tables import written
 #: Cumulative Poisson(1): a uniform number is as many as it reaches.
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 AT_ONCE = 4  # trees that are trained side by side
+_ROWS = 1024  # tracks whose votes a task sums up at a time
 
 
 def bag_weight(track: Column, tree: Column, seed: int) -> Column:
@@ -109,6 +113,35 @@ def _named(forest: BaggedForest, number: Column) -> Column:
     return F.get(F.array(*[F.lit(x) for x in forest.labels.labels]), number)
 
 
+def _unseen(forest: BaggedForest, track: str) -> Column:
+    """Places of the trees whose bag lacks the track, in order."""
+    return F.filter(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1)), lambda i: bag_weight(F.col(track), i + 1, forest.seed) == 0)
+
+
+def _sums_by_trees(batches, trees: int, classes: int):
+    """mapInArrow body: (class, votes, unseen trees) -> for each tree and class, how many tracks the trees so far get wrong, and how many they vote on."""
+    wrong, n, seen = np.zeros((trees, classes), np.int64), np.zeros((trees, classes), np.int64), np.zeros(classes, bool)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, _ROWS):
+            part = batch.slice(lo, _ROWS)
+            index = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            votes = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(index), trees)
+            unseen = part.column(2)
+            row, at = np.repeat(np.arange(len(index)), pc.list_value_length(unseen).to_numpy(zero_copy_only=False)), unseen.flatten().to_numpy(zero_copy_only=False)
+            counts = np.zeros((len(index), classes), np.int32)
+            voted = np.full((len(index), trees), -1)
+            voted[row, at] = votes[row, at]
+            seen[index] = True
+            for tree in range(trees):
+                who = np.flatnonzero(voted[:, tree] >= 0)
+                counts[who, voted[who, tree]] += 1
+                some = counts.any(axis=1)
+                n[tree] += np.bincount(index[some], minlength=classes)
+                wrong[tree] += np.bincount(index[some & (counts.argmax(axis=1) != index)], minlength=classes)
+    at, label = np.nonzero(np.broadcast_to(seen, n.shape))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(label, pa.int32()), pa.array(wrong[at, label]), pa.array(n[at, label])], names=["at", "class", "wrong", "n"])
+
+
 def oob_predictions(forest: BaggedForest, tracks: DataFrame, label: str, track: str = "track_id") -> DataFrame:
     """(track, label, predicted): the class most voted for by trees that did not see the track; null if all did."""
     votes = _unseen_votes(forest, tracks, label, track)
@@ -122,19 +155,18 @@ def oob_predictions(forest: BaggedForest, tracks: DataFrame, label: str, track:
 def oob_error_by_trees(forest: BaggedForest, tracks: DataFrame, label: str, track: str = "track_id") -> DataFrame:
     """(trees, label, error): wrong share of the first 1, 2, .. trees' votes on tracks they did not see, per class and for "all".
 
-    Tracks count as soon as a tree can vote on them. A track's votes are summed up
-    tree by tree in a window of at most as many rows as there are trees.
+    Tracks count as soon as a tree can vote on them. Votes are summed up tree by tree
+    in the task that holds the track, which passes on only sums per tree and class.
     """
-    votes = _unseen_votes(forest, tracks, label, track)
-    n = len(forest.trees)
-    steps = tracks.dropna(subset=[label, *forest.features]).select(track, F.col(label).cast("string").alias("_label"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("tree"))
-    sofar = Window.partitionBy(track).orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.join(votes.select(track, "tree", "vote"), [track, "tree"], "left")
-    counts = rows.select("_label", "tree", *[c.over(sofar).alias(f"_c{i}") for i, c in enumerate(_class_counts(forest))])
-    winner = _named(forest, _winner([F.col(f"_c{i}") for i in range(len(forest.labels.labels))]))
-    judged = counts.select(F.col("tree").alias("trees"), F.col("_label").alias("label"), (winner != F.col("_label")).cast("int").alias("wrong"))
-    each = judged.groupBy("trees", "label").agg(F.avg("wrong").alias("error"))
-    return each.union(judged.groupBy("trees").agg(F.avg("wrong").alias("error")).select("trees", F.lit("all").alias("label"), "error"))
+    names, n = forest.labels.labels, len(forest.trees)
+    rows = with_votes(forest, _vectors(tracks, forest.labels, label, forest.features, track).withColumn("_unseen", _unseen(forest, track)))
+    sums = rows.select("_index", "_votes", "_unseen").mapInArrow(lambda it: _sums_by_trees(it, n, len(names)), "at int, class int, wrong bigint, n bigint")
+    labelled = sums.groupBy("at", "class").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n"))
+    every = labelled.groupBy("at").agg(F.sum("wrong").alias("wrong"), F.sum("n").alias("n"))
+    error = F.when(F.col("n") > 0, F.col("wrong") / F.col("n")).alias("error")
+    trees = F.col("at") + 1
+    each = labelled.select(trees.alias("trees"), _named(forest, F.col("class")).alias("label"), error)
+    return each.union(every.select(trees.alias("trees"), F.lit("all").alias("label"), error))
 
 
 def class_importance(forest: BaggedForest, tracks: DataFrame, label: str, track: str = "track_id", seed: int = 5) -> DataFrame:
@@ -146,14 +178,13 @@ def class_importance(forest: BaggedForest, tracks: DataFrame, label: str, track:
     all that is scored in one pass.
     """
     rows = _vectors(tracks, forest.labels, label, forest.features, track).withColumn("_key", F.xxhash64(track, F.lit(seed)))
-    rows = written(numbered(rows, ["_key", track], "_n"), "importance-rows")
+    rows = written(numbered(rows, ["_key", track], "_n").withColumn("_unseen", _unseen(forest, track)), "importance-rows")  # hashed once, not for each copy
     count = rows.count()
     other = rows.select(F.pmod(F.col("_n") + 1, F.lit(max(count, 1))).alias("_n"), F.col("_values").alias("_other"))
     copies = rows.join(other, "_n").withColumn("_at", F.explode(F.sequence(F.lit(-1), F.lit(len(forest.features) - 1))))
     dealt = F.transform("_values", lambda x, i: F.when(i == F.col("_at"), F.get("_other", i)).otherwise(x))
-    scored = with_votes(forest, copies.select(track, "_label", "_index", "_at", dealt.alias("_values")))
-    each = scored.select(track, "_label", "_index", "_at", F.posexplode("_votes").alias("_tree", "_vote"))
-    each = each.filter(bag_weight(F.col(track), F.col("_tree") + 1, forest.seed) == 0)
+    scored = with_votes(forest, copies.select("_label", "_index", "_at", "_unseen", dealt.alias("_values")))
+    each = scored.select("_label", "_index", "_at", "_votes", F.explode("_unseen").alias("_tree")).withColumn("_vote", F.get("_votes", F.col("_tree")))
     right = each.groupBy("_tree", "_at", "_label").agg(F.count_if(F.col("_vote") == F.col("_index")).alias("right"), F.count(F.lit(1)).alias("n"))
     right = written(right, "importance-counts")
     both = right.union(right.groupBy("_tree", "_at").agg(F.sum("right").alias("right"), F.sum("n").alias("n")).select("_tree", "_at", F.lit("all").alias("_label"), "right", "n"))
