@@ -136,3 +136,26 @@ def test_stream(spark, tmp_path):
     assert sorted((r.track_id, r.contact, r.death) for r in spark.table("flagged").collect()) == [("a", 1, 0), ("b", 0, 1)]
     merged = ingest.merged_fragments(spark.createDataFrame([("a", "2024-01-01 00:00:01", 1.0, 3.0), ("a", "2024-01-01 00:00:02", 3.0, 7.0)], "track_id string, at string, volume double, dead_dye_mean double").withColumn("at", F.to_timestamp("at")), "at", "1 minute", "1 minute", ["track_id"])
     assert [r.dead_dye_mean for r in merged.collect()] == [6.0]
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    """A task for each file made the seconds grow with the files."""
+    from trackloom.sources import statistics
+
+    for e in range(300):
+        write(tmp_path / f"E{e}_Statistics", f"E{e}_Speed.csv", "Speed,Time,TrackID,ID,", [f"{e},{t},t,{t}," for t in range(3)])
+    folders = [f"E{e}_Statistics" for e in range(0, 300, 2)]
+    rows = m.read_statistics(spark, str(tmp_path)).read("speed", folders)
+    assert rows.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert sorted((r.folder_name, r.f["Time"]) for r in rows.collect()) == sorted((f, str(t)) for f in folders for t in range(3))
+    part = lambda size: statistics.FilePart("", "f", "speed", "", 0, size)
+    sizes = lambda parts: [[p.end for p in x.parts] for x in parts]
+    one = statistics.OPEN_BYTES
+    assert sizes(statistics.packed([part(x) for x in (0, 0, 9 * one, 0, 0, 0)], 3 * one, 2)) == [[0, 0], [9 * one], [0, 0, 0]]
+    assert sizes(statistics.packed([part(0)] * 4, 64 * one, 4)) == [[0]] * 4 and sizes(statistics.packed([], one, 4)) == [[]]
+
+
+def test_ragged_and_quoted_lines(spark, tmp_path):
+    write(tmp_path / "E_Statistics", "E_Speed.csv", "Speed, ,Time,TrackID,ID,", ['"1.5",x,1,"a ",7,', "2.5,,2", "   ", " 3 ,y,3,b,9,more,fields", ""])
+    found = m.read_statistics(spark, str(tmp_path)).read("speed").collect()
+    assert [r.f for r in found] == [{"Speed": "1.5", "Time": "1", "TrackID": "a", "ID": "7"}, {"Speed": "2.5", "Time": "2", "TrackID": None, "ID": None}, {"Speed": "3", "Time": "3", "TrackID": "b", "ID": "9"}]

@@ -4,19 +4,24 @@ A file is ``<folder>/<experiment>_<statistic>.csv``: some lines before the
 header, the header, then a line for each object and time. Which files are opened
 follows from filters on folder, statistic and detail that Spark pushes down, so
 asking for one channel of some experiments opens these files only. A long file
-is read by several tasks. Lines are streamed; none holds a file whole.
+is read by several tasks, and many small ones by one. Lines are streamed; no task
+holds a file whole.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Fixed names: file name patterns of the statistics; a group in them is the detail (channel or object).
@@ -34,16 +39,41 @@ STATISTICS = {
 PREAMBLE_LINES = 3
 FORMAT = "track_statistics"
 SCHEMA = "folder_name string, stat_folder string, file_name string, statistic string, detail string, f map<string,string>"
-SPLIT_BYTES = 64 << 20  # of a file to a task
+SPLIT_BYTES = 64 << 20  # of files to a task
+OPEN_BYTES = 1 << 20  # that opening a file counts as
 BATCH_LINES = 8192
 
 
-class FilePart(InputPartition):
+class FilePart(NamedTuple):
     """Lines that begin in bytes [start, end) of a file, as one statistic; ``path`` is one of the file system of the URI ``root``."""
 
-    def __init__(self, root: str, path: str, statistic: str, detail: str, start: int, end: int):
+    root: str
+    path: str
+    statistic: str
+    detail: str
+    start: int
+    end: int
+
+
+class FileParts(InputPartition):
+    """Parts that one task reads, one after the other."""
+
+    def __init__(self, parts: list[FilePart]):
         super().__init__(None)
-        self.root, self.path, self.statistic, self.detail, self.start, self.end = root, path, statistic, detail, start, end
+        self.parts = parts
+
+
+def packed(parts: list[FilePart], most: int, tasks: int) -> list[FileParts]:
+    """Parts in their order, for at least ``tasks`` tasks if there are as many parts, of at most ``most`` bytes each where a task has several."""
+    sizes = [p.end - p.start + OPEN_BYTES for p in parts]
+    most, out, held = min(most, sum(sizes) // max(1, tasks)), [], 0
+    for part, size in zip(parts, sizes, strict=True):
+        if not out or held + size > most:
+            out.append(FileParts([]))
+            held = 0
+        out[-1].parts.append(part)
+        held += size
+    return out or [FileParts([])]
 
 
 def _fields(line: str) -> list[str]:
@@ -55,7 +85,8 @@ class StatisticsReader(DataSourceReader):
         self.roots = [p for p in options.get("path", "").split("\n") if p]
         self.preamble = int(options.get("preamble", PREAMBLE_LINES))
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
-        self.wanted: dict[str, set[str]] = {}
+        self.tasks = int(options.get("tasks", 1))
+        self.wanted: dict[str, set[str]] = {"folder_name": set(json.loads(options["folders"]))} if "folders" in options else {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
         """Equality and lists on folder_name, statistic and detail choose files; Spark applies all others."""
@@ -70,7 +101,7 @@ class StatisticsReader(DataSourceReader):
     def _wants(self, name: str, value: str) -> bool:
         return name not in self.wanted or value in self.wanted[name]
 
-    def partitions(self) -> list[FilePart]:
+    def partitions(self) -> list[FileParts]:
         """Lists the folders on the driver: a name and a size for each file, no contents."""
         found = []
         for root in self.roots:
@@ -80,15 +111,16 @@ class StatisticsReader(DataSourceReader):
                 if info.type != fs.FileType.File or not name.endswith(".csv") or not self._wants("folder_name", folder.rpartition("/")[2]):
                     continue
                 for statistic, pattern in STATISTICS.items():
-                    match = re.search(pattern, name)
+                    match = re.search(pattern, name) if self._wants("statistic", statistic) else None
                     detail = match[1] if match and match.re.groups else ""
-                    if match and self._wants("statistic", statistic) and self._wants("detail", detail):
+                    if match and self._wants("detail", detail):
                         found += [FilePart(root, info.path, statistic, detail, lo, min(lo + self.split, info.size)) for lo in range(0, max(info.size, 1), self.split)]
-        return found or [FilePart("", "", "", "", 0, 0)]
+        return packed(found, self.split, self.tasks)
 
-    def read(self, part: FilePart) -> Iterator[pa.RecordBatch]:
-        if part.path:
-            with fs.FileSystem.from_uri(part.root)[0].open_input_file(part.path) as file:
+    def read(self, partition: FileParts) -> Iterator[pa.RecordBatch]:
+        systems = {root: fs.FileSystem.from_uri(root)[0] for root in {p.root for p in partition.parts}}
+        for part in partition.parts:
+            with systems[part.root].open_input_file(part.path) as file:
                 yield from self._batches(file, part)
 
     def _batches(self, file: pa.NativeFile, part: FilePart) -> Iterator[pa.RecordBatch]:
@@ -105,20 +137,25 @@ class StatisticsReader(DataSourceReader):
             place += len(line)
             text = line.decode()
             if text.strip():
-                rows.append(_fields(text))
+                rows.append(text)
             if len(rows) == BATCH_LINES:
                 yield self._batch(rows, header, at, part)
                 rows = []
         if rows:
             yield self._batch(rows, header, at, part)
 
-    def _batch(self, rows: list[list[str]], header: list[str], at: list[int], part: FilePart) -> pa.RecordBatch:
+    def _batch(self, rows: list[str], header: list[str], at: list[int], part: FilePart) -> pa.RecordBatch:
         folder, _, name = part.path.rpartition("/")
         n, k = len(rows), len(at)
-        values = [r[i] if i < len(r) else None for r in rows for i in at]
-        fields = pa.MapArray.from_arrays(pa.array(range(0, n * k + 1, k) if k else [0] * (n + 1), pa.int32()), pa.array([header[i] for i in at] * n, pa.string()), pa.array(values, pa.string()))
+        split = pc.split_pattern(pa.array(rows, pa.string()), ",")
+        starts, length = split.offsets.to_numpy()[:-1, None], pc.list_value_length(split).to_numpy()[:, None]
+        place = (starts + np.array(at, dtype=np.int32)).ravel()
+        missing = (length <= np.array(at, dtype=np.int32)).ravel()  # of lines with fewer fields than the header
+        values = pc.utf8_trim_whitespace(pc.replace_substring(split.values, '"', "")).take(pa.array(place, mask=missing))
+        names = pa.array([header[i] for i in at], pa.string()).take(pa.array(np.tile(np.arange(k), n)))
+        fields = pa.MapArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), names, values)
         same = [folder.rpartition("/")[2], folder, name, part.statistic, part.detail]
-        columns = [pa.array([x] * n, pa.string()) for x in same]
+        columns = [pa.repeat(pa.scalar(x, pa.string()), n) for x in same]
         return pa.RecordBatch.from_arrays([*columns, fields], names=["folder_name", "stat_folder", "file_name", "statistic", "detail", "f"])
 
 
@@ -127,29 +164,31 @@ class Written(WriterCommitMessage):
         self.moves = moves
 
 
-class StatisticsWriter(DataSourceWriter):
+class StatisticsWriter(DataSourceArrowWriter):
     """Rows (folder, file, header, line), those of a file together: files under temporary names, which the commit turns into theirs."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.root, self.overwrite = options["path"], overwrite
         self.preamble = int(options.get("preamble", PREAMBLE_LINES))
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
         system, base = fs.FileSystem.from_uri(self.root)
         attempt, moves, open_, out = TaskContext.get().taskAttemptId(), [], None, None
-        for row in rows:
-            key = (row["folder"], row["file"])
-            if key != open_:
-                if out:
-                    out.close()
-                open_, target = key, f"{base}/{key[0]}/{key[1]}"
-                system.create_dir(f"{base}/{key[0]}", recursive=True)
-                moves.append((f"{base}/{key[0]}/.{key[1]}.{attempt}", target))
-                out = system.open_output_stream(moves[-1][0], compression=None)
-                out.write(("\n" * self.preamble + row["header"] + "\n").encode())
-            out.write((row["line"] + "\n").encode())
+        for batch in batches:
+            ends = pc.run_end_encode(pc.binary_join_element_wise(batch["folder"], batch["file"], "/")).run_ends.to_pylist() if len(batch) else []
+            for lo, hi in zip([0, *ends], ends):  # noqa: B905 - the ends are one fewer
+                key = (batch["folder"][lo].as_py(), batch["file"][lo].as_py())
+                if key != open_:
+                    if out:
+                        out.close()
+                    open_, target = key, f"{base}/{key[0]}/{key[1]}"
+                    system.create_dir(f"{base}/{key[0]}", recursive=True)
+                    moves.append((f"{base}/{key[0]}/.{key[1]}.{attempt}", target))
+                    out = system.open_output_stream(moves[-1][0], compression=None)
+                    out.write(("\n" * self.preamble + batch["header"][lo].as_py() + "\n").encode())
+                out.write(("\n".join(batch["line"].slice(lo, hi - lo).to_pylist()) + "\n").encode())
         if out:
             out.close()
         return Written(moves)
