@@ -14,7 +14,7 @@ from trackloom.operators import classify, composition, death, embed, features, f
 from trackloom.plans import organoid, tcell
 from trackloom.plans import surrogates as s
 from trackloom.sources.measurements import with_stats_folders
-from trackloom.sources.tables import session_table
+from trackloom.sources.tables import session_table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -482,7 +482,8 @@ def _shares_sql(keys: list[str]) -> str:
 
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _processed(spark, sf_dir).select("track_id", *_KEYS).distinct().withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1)
+    """A class for each track; written, as shares and lists read it several times and the whole chain is behind it."""
+    return written(_processed(spark, sf_dir).select("track_id", *_KEYS).distinct().withColumn("cluster2", F.col("track_id").cast("bigint") % 6 + 1), "classed")
 
 
 @query(_shares_sql(_KEYS) + f"SELECT *, {_r('num_cluster * 100 / total_cell AS percentage')} FROM shares")
