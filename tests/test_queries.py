@@ -89,3 +89,19 @@ def test_shares_of_predicted_classes(spark, monkeypatch):
     assert (wells["num_cluster"].sum() == wells["total_cell"].first()).all() and wells["total_cell"].first().sum() == len(tracks)
     profile = catalog_models.behaviour_profile(spark, SF).toPandas()
     assert set(profile["cluster2"]) == {1, 2} and profile["value"].between(0, 100).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_classes_are_derived_once(spark):
+    """Each reading of the classes ran the whole chain of tracks anew."""
+    for name in ("backprojection_lists", "class_share_zero_filled"):
+        files = catalog.QUERIES[name](spark, SF).inputFiles()
+        assert files and not any("events.parquet" in f for f in files)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_organoids_and_grid_rows_are_derived_once(spark):
+    """The grid read its rows three times, and the curves the organoids, each time from the line items."""
+    for name, table in (("grid_complete", "grid-rows"), ("individual_death_curve", "organoid-rows")):
+        files = catalog.QUERIES[name](spark, SF).inputFiles()
+        assert any(table in f for f in files) and not any("lineitem.parquet" in f for f in files)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators.ids import require_unique
+from trackloom.sources.tables import written
 
 
 def natural_join(tables: list[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:
@@ -42,7 +43,8 @@ def stacked(tables: list[DataFrame]) -> DataFrame:
 
 
 def complete_grid(df: DataFrame, group: list[str], time: str, track: str) -> DataFrame:
-    """Every time of a group for every track of it; rows that were missing have nulls."""
+    """Every time of a group for every track of it; rows that were missing have nulls. The rows are read three times, so they are written first."""
+    df = written(df, "grid-rows")
     times, tracks = df.select(*group, time).distinct(), df.select(*group, track).distinct()
     return natural_join([natural_join([times, tracks], group), df], [*group, time, track], "left")
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.operators import death, filters, normalize, series
+from trackloom.sources.tables import written
 
 
 def individual_curves(organoids: DataFrame, threshold: Column, min_length: int, min_volume: float) -> DataFrame:
-    """Organoids that start alive and large: the rescaled dye, held at its maximum once the maximum is reached."""
-    scaled = normalize.rescaled(organoids, {"dead_dye_mean": "dead_dye_mean_rescaled"}, (0.0, 100.0))
+    """Organoids that start alive and large: the rescaled dye, held at its maximum once the maximum is reached. They are read for their ends, their maxima and themselves, so they are written first."""
+    scaled = normalize.rescaled(written(organoids, "organoid-rows"), {"dead_dye_mean": "dead_dye_mean_rescaled"}, (0.0, 100.0))
     long = filters.tracks_of_length(scaled, min_length, strict=True)
     with_max = long.join(death.track_maxima(long, ["dead_dye_mean", "dead_dye_mean_rescaled"]), ["track_id", *death.WELL_KEY])
     alive = filters.alive_and_large_at_start(with_max, threshold, min_volume)
