@@ -271,6 +271,36 @@ def test_bounds_are_below_distances():
         assert within[near] == pytest.approx(dist[near]) and full == np.isfinite(within).sum() <= 36
 
 
+def test_bounds_in_single_precision():
+    """Below the distances, near them where the tracks have no common offset, of any scale; none where an entry is missing or infinite."""
+    rng = np.random.default_rng(8)
+    for scale, offset in ((1.0, 0.0), (1e30, 0.0), (1e-30, 0.0), (1.0, 1e7)):
+        tracks = [rng.normal(size=(n, 3)) * scale + offset for n in rng.integers(1, 30, 40)] + [np.full((5, 3), offset + 1e4 * scale)]
+        t = similarity.Tracks(pa.table({"track_id": [f"{i:02}" for i in range(41)], "length": [len(x) for x in tracks], "series": [x.ravel() for x in tracks]}), 3)
+        seen = np.full((20, 21), np.nan)
+        for a, b, least in similarity.least_distances(t, np.arange(20), np.arange(20, 41)):
+            seen[np.ix_(a, b - 20)] = least
+        dist = similarity.distances(t, *similarity._across(20, 21)).reshape(20, 21)
+        assert (seen <= dist).all() and (seen >= 0.99 * dist).all()
+    tracks[0][0], tracks[1][0] = np.nan, np.inf
+    t = similarity.Tracks(pa.table({"track_id": [f"{i:02}" for i in range(41)], "length": [len(x) for x in tracks], "series": [x.ravel() for x in tracks]}), 3)
+    for a, b, least in similarity.least_distances(t, np.arange(20), np.arange(20, 41)):
+        assert not np.isfinite(least[a <= 1]).any() and np.isfinite(least[a > 1]).all()
+
+
+def test_nearest_of_unlike_tracks(spark):
+    """Tracks that are all about equally far: hardly more than the nearest are computed in full."""
+    rng = np.random.default_rng(10)
+    data = [(f"t{i:03}", length, rng.normal(size=length * 4).tolist()) for i, length in enumerate(rng.integers(9, 12, 400).tolist())]
+    tracks = spark.createDataFrame(data, "track_id string, length int, series array<double>")
+    got, work = similarity.nearest_by_bounds(tracks, 4, 4)
+    want = similarity.nearest_tracks(similarity.dtw_pairs(tracks, 4), 4)
+    plain = lambda df: sorted((r.src, r["rank"], r.dst, round(r.dist, 6)) for r in df.collect())
+    assert plain(got) == plain(want)
+    done = work.first()
+    assert done.pairs == 400 * 399 // 2 and done.full < 0.15 * done.pairs
+
+
 def test_one_track_and_none(spark):
     one = spark.createDataFrame([("a", 2, [1.0, 2.0]), ("b", 0, [])], "track_id string, length int, series array<double>")
     assert [tuple(r) for r in similarity.nearest_by_bounds(one, 1, 3)[0].collect()] == [("a", 1, "a", 0.0)]
