@@ -105,3 +105,10 @@ def test_organoids_and_grid_rows_are_derived_once(spark):
     for name, table in (("grid_complete", "grid-rows"), ("individual_death_curve", "organoid-rows")):
         files = catalog.QUERIES[name](spark, SF).inputFiles()
         assert any(table in f for f in files) and not any("lineitem.parquet" in f for f in files)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_processed_rows_are_derived_once(spark):
+    """The active contacts ran the chain of tracks three times, and each part of a branch did so anew."""
+    files = [catalog.QUERIES[name](spark, SF).inputFiles() for name in ("processed_tracks", "active_contact")]
+    assert files[0] == files[1] and all("processed-rows" in f for f in files[0])
