@@ -107,6 +107,17 @@ def test_fill_scopes_differ(spark):
     assert rows(own.filter("time = 2 and track_id = 'a'"), "dead") == [(0,)]
 
 
+def test_rows_of_a_grid_are_not_broadcast(spark):
+    """Files of repeated values are small beside their rows, which the driver then could not hold."""
+    data = [("L", "CD4", 1, "w", "d", t, str(i), t % 2) for t in range(1, 5) for i in range(300) if (t + i) % 4]
+    df = spark.createDataFrame(data, "organoid_line string, tcell_line string, exp_nr int, well string, date string, time int, track_id string, dead int")
+    grid = joins.complete_grid(df, death.WELL_KEY, "time", "track_id")
+    above = grid._jdf.queryExecution().sparkPlan().toString().split("Scan parquet")
+    assert "SortMergeJoin" in above[0] and sum(x.count("Broadcast") for x in above) <= 1  # of the join of times and tracks
+    known = {r[5:7]: r[7] for r in data}
+    assert rows(grid, "time", "track_id", "dead") == sorted(((t, str(i), known.get((t, str(i)))) for t in range(1, 5) for i in range(300)), key=lambda r: r[:2])
+
+
 def test_zero_fill_and_empty_classes(spark):
     tracks = spark.createDataFrame([("a", "w1", 1), ("b", "w1", 2), ("c", "w2", 1)], "track_id string, well string, cluster2 int")
     shares = composition.class_shares(tracks, group=["well"])

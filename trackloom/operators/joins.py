@@ -43,10 +43,15 @@ def stacked(tables: list[DataFrame]) -> DataFrame:
 
 
 def complete_grid(df: DataFrame, group: list[str], time: str, track: str) -> DataFrame:
-    """Every time of a group for every track of it; rows that were missing have nulls. The rows are read three times, so they are written first."""
+    """Every time of a group for every track of it; rows that were missing have nulls.
+
+    The rows are read three times, so they are written first. Such files are far
+    smaller than their rows in memory, so Spark is told to sort and merge them
+    and never broadcasts them by the size of the files.
+    """
     df = written(df, "grid-rows")
     times, tracks = df.select(*group, time).distinct(), df.select(*group, track).distinct()
-    return natural_join([natural_join([times, tracks], group), df], [*group, time, track], "left")
+    return natural_join([natural_join([times, tracks], group), df.hint("merge")], [*group, time, track], "left")
 
 
 def zero_fill(shares: DataFrame, label: str, group: list[str], totals: str, zeros: list[str]) -> DataFrame:
