@@ -404,6 +404,16 @@ def test_kmeans_from_many_starts(spark):
     assert kmeans.best_kmeans(df.limit(1), 4, ["x", "y"], starts=3).count() == 1
 
 
+def test_kmeans_deals_its_rows_evenly(spark):
+    """Every round waited for the partition that had most rows, whatever the cores."""
+    from trackloom.operators import kmeans
+
+    df = spark.range(400, numPartitions=1).select(F.col("id").alias("i"), F.rand(3).alias("x"), F.rand(4).alias("y"))
+    found = kmeans.best_kmeans(df, 3, ["x", "y"], starts=4, rounds=3)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+
+
 def test_carry_forward_over_partitions(spark):
     """One scope over several partitions, some without a known value, beside short scopes and a null one."""
     rows = [("big", t, "k", 1.0 * t if t % 97 == 5 else None, "x" if t == 40 else None) for t in range(600)]

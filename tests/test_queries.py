@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom import catalog, catalog_models, catalog_sources  # noqa: F401
 from trackloom.operators import classify
@@ -112,3 +113,13 @@ def test_processed_rows_are_derived_once(spark):
     """The active contacts ran the chain of tracks three times, and each part of a branch did so anew."""
     files = [catalog.QUERIES[name](spark, SF).inputFiles() for name in ("processed_tracks", "active_contact")]
     assert files[0] == files[1] and all("processed-rows" in f for f in files[0])
+
+
+def test_behaviour_map_is_made_once(spark, monkeypatch, tmp_path):
+    """The map ran its k-means beside that of the profiles, shares and forests."""
+    points = spark.range(60).select(F.col("id").cast("string").alias("track_id"), (F.col("id") % 6 * 9.0).alias("v1"), F.rand(2).alias("v2"))
+    monkeypatch.setattr(catalog, "_layout", lambda spark, sf_dir: points)
+    whole, classes = catalog.behaviour_map(spark, str(tmp_path)), catalog_models._map_classes(spark, str(tmp_path))
+    assert whole.inputFiles() and sorted(whole.inputFiles()) == sorted(classes.inputFiles())
+    assert whole.columns == ["track_id", "v1", "v2", "cluster2"] and sorted(map(tuple, whole.select("track_id", "cluster2").collect())) == sorted(map(tuple, classes.collect()))
+    assert whole.count() == 60 and whole.select("cluster2").distinct().count() == 6
