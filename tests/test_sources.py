@@ -1,5 +1,8 @@
 """Readers on files written by hand, table helpers, models, a stream."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from trackloom.operators import classify
@@ -128,6 +131,29 @@ def test_model_round_trip(spark, tmp_path):
     assert classify.permutation_importance(model, df, "label", ["f"])["f"] > 0.1
 
 
+def test_features_are_dealt_anew_in_one_pass(spark):
+    """Each feature took a join and a scoring of all tracks of its own; the losses stay those of one feature after the other."""
+    rng = random.Random(6)
+    data = [(str(i), x, y, None if i == 7 else rng.random(), "ab"[x + 0.3 * y > 0.6]) for i in range(120) for x, y in [(rng.random(), rng.random())]]
+    df = spark.createDataFrame(data, "track_id string, x double, y double, z double, label string")
+    model = classify.train_forest(df, "label", ["x", "y", "z"], trees=8)
+    jobs = lambda: {j for j in spark.sparkContext.statusTracker().getJobIdsForGroup("dealt")}
+    counts = []
+    for names in (["x"], ["x", "y", "z"]):
+        before = len(jobs())
+        spark.sparkContext.setJobGroup("dealt", "dealt")
+        lost = classify.permutation_importance(model, df, "label", names)
+        counts.append(len(jobs()) - before)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[1] == counts[0]
+    place = lambda *key: {r.track_id: i for i, r in enumerate(df.select("track_id", F.xxhash64("track_id", *key).alias("h")).orderBy("h", "track_id").collect())}
+    n, m = place(), {i: t for t, i in place(F.lit(5)).items()}
+    rows = {r[0]: r for r in data}
+    right = lambda k: spark.createDataFrame([tuple(rows[m[n[r[0]]]][i] if i == k else v for i, v in enumerate(r)) for r in data], df.schema)
+    share = [classify.accuracy(classify.predict(model, right(k), "label")) for k in range(4)]
+    assert lost == pytest.approx({c: share[0] - share[k + 1] for k, c in enumerate("xyz")}) and lost["x"] > 0
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1, 1.0, 5.0, 2.0, 10.0), ("a", 50, 1.0, 5.0, 2.0, 10.0), ("b", 2, 3.0, 15.0, 2.0, 10.0)], "track_id string, time int, dist_org double, red_lym double, organoid_contact_threshold double, tcell_dead_dye_threshold double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
