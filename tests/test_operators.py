@@ -404,6 +404,63 @@ def test_kmeans_from_many_starts(spark):
     assert kmeans.best_kmeans(df.limit(1), 4, ["x", "y"], starts=3).count() == 1
 
 
+def test_what_is_known_next_is_found_in_one_scan(spark):
+    """Frames from a row to the end of its track were read anew for each row, so a track of n rows took n squared."""
+    rng = random.Random(9)
+    data = [(t, i, rng.random() if rng.random() < 0.3 else None) for t in "ab" for i in range(200) if rng.random() < 0.8]
+    df = spark.createDataFrame(data, "track_id string, time int, v double")
+    carried, filled = series.carry_backward(df, "v"), series.gap_fill(df, ["v"])
+    for found in (carried, filled):
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    known = {t: [(i, v) for k, i, v in data if k == t and v is not None] for t in "ab"}
+    assert rows(carried.filter("v IS NOT NULL"), "track_id", "time", "v") == sorted((t, i, min((j, w) for j, w in known[t] if j >= i)[1]) for t, i, _ in data if any(j >= i for j, _ in known[t]))
+    times = {i for _, i, _ in data}
+    got = rows(filled, "track_id", "time", "v")
+    assert [r[:2] for r in got] == [(t, i) for t in "ab" for i in sorted(times) if known[t][0][0] <= i <= known[t][-1][0]]
+    for t, i, v in got:
+        assert v == pytest.approx(np.interp(i, *zip(*known[t])))
+
+
+def test_memberships_of_many_tracks_are_bisected_together(monkeypatch):
+    """A track took up to 64 steps of its own."""
+    from trackloom.operators import embed
+
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.gamma(2, 3, n)) for n in rng.choice([9, 14], 300)] + [np.zeros(14), np.r_[0.0, 0.0, rng.random(12)], np.zeros(0), np.ones(14)]
+    calls, exp = [], np.exp
+    monkeypatch.setattr(embed.np, "exp", lambda x: calls.append(1) or exp(x))
+    found = embed._weights(embed.pd.Series(lists))
+    assert len(calls) <= 3 * 65
+    for d, w in zip(lists, found):
+        rho, target = min(d[d > 0], default=0.0), math.log2(max(len(d), 2))
+        sigma, lo, hi = 1.0, 0.0, math.inf
+        for _ in range(64):
+            total = exp(-np.maximum(d - rho, 0) / sigma).sum()
+            if abs(total - target) < 1e-9:
+                break
+            lo, hi = (lo, sigma) if total > target else (sigma, hi)
+            sigma = sigma * 2 if hi == math.inf else (lo + hi) / 2
+        assert len(w) == len(d) and np.allclose(w, exp(-np.maximum(d - rho, 0) / max(sigma, 1e-12)), rtol=1e-12, atol=0)
+
+
+def test_layout_keeps_edges_in_order(spark, monkeypatch):
+    """An epoch's moves of a track were spread over all tasks, so few were added up before the shuffle."""
+    from trackloom.operators import embed
+
+    kept, written = {}, embed.written
+    monkeypatch.setattr(embed, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    rng = random.Random(4)
+    edges = [(str(i), str((i + j) % 300), rng.random()) for i in range(300) for j in (1, 2, 5, 299, 298, 295)]
+    rng.shuffle(edges)
+    embed.layout(spark.createDataFrame(edges, "src string, dst string, weight double").repartition(3), epochs=1)
+    files = {}
+    for r in kept["layout-edges"].select(F.input_file_name().alias("f"), "s").collect():
+        files.setdefault(r.f, []).append(r.s)
+    assert sum(map(len, files.values())) == len(edges) and len(files) == spark.sparkContext.defaultParallelism
+    spans = sorted((s[0], s[-1]) for s in files.values() if s == sorted(s))
+    assert len(spans) == len(files) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_kmeans_deals_its_rows_evenly(spark):
     """Every round waited for the partition that had most rows, whatever the cores."""
     from trackloom.operators import kmeans
