@@ -443,6 +443,17 @@ def test_memberships_of_many_tracks_are_bisected_together(monkeypatch):
         assert len(w) == len(d) and np.allclose(w, exp(-np.maximum(d - rho, 0) / max(sigma, 1e-12)), rtol=1e-12, atol=0)
 
 
+def test_pairs_are_made_by_all_cores(spark):
+    """The tiles of few tracks came to one task by their bytes, which then made the pairs and handed them on to all copies alone."""
+    rng = random.Random(12)
+    data = [(f"{i:03d}-{copy}", 3, values) for i in range(90) for values in [[rng.random() for _ in range(3)]] for copy in range(3)]
+    found = similarity.dtw_pairs(spark.createDataFrame(data, "track_id string, length int, series array<double>"), 1)
+    apart = found.filter(F.substring("src", 1, 3) != F.substring("dst", 1, 3))
+    sizes = [r["count"] for r in apart.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 90 * 89 // 2 * 9 and found.count() == 270 * 269 // 2
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 0.6 * sum(sizes)
+
+
 def test_layout_keeps_edges_in_order(spark, monkeypatch):
     """An epoch's moves of a track were spread over all tasks, so few were added up before the shuffle."""
     from trackloom.operators import embed
